@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import SPACES
+from quarrylight.llm.common import SPACES, materialize
 
 SYMBOLS = "#*$%&|<>"
 #: Measures in thousandths, and the cutoffs tried: reject if the measure is above.
@@ -50,9 +50,11 @@ def base_measures(docs: DataFrame) -> DataFrame:
         lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")),
     )
     rows = rows.withColumn("s", F.when(n >= 3, F.array_sort(window)))
+    # one element at a time: a field of the whole array would copy it each time
+    h = lambda i: F.get("s", i)["h"]
     at = F.sequence(F.lit(0), F.size("s") - 1)
-    rows = rows.withColumn("again", F.filter(at, lambda i: (F.get(F.col("s.h"), i) == F.get(F.col("s.h"), i - 1)) | (F.get(F.col("s.h"), i) == F.get(F.col("s.h"), i + 1))))
-    rows = rows.withColumn("at", F.array_sort(F.transform("again", lambda i: F.get(F.col("s.i"), i))))
+    rows = rows.withColumn("again", F.filter(at, lambda i: (h(i) == h(i - 1)) | (h(i) == h(i + 1))))
+    rows = rows.withColumn("at", F.array_sort(F.transform("again", lambda i: F.get("s", i)["i"])))
     # each window in order covers three words less those of the window before it
     covered = F.aggregate(
         "at",
@@ -127,7 +129,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     labels prove nothing. Repeated rows are each judged. An empty ``labels``
     leaves only the base rules.
     """
-    rated = with_rates(base_measures(docs))
+    # written once: the counts are used twice, and a filter must not be pushed into them
+    rated = with_rates(materialize(base_measures(docs), "measures"))
     chosen = cutoffs(rated, labels, **options).withColumnRenamed("stratum", "_stratum")
     judged = rated.join(F.broadcast(chosen), F.col("stratum") == F.col("_stratum"), "left")
     over = F.lit(False)
