@@ -128,7 +128,7 @@ def _train(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float,
     return w, float(bias)
 
 
-def fit(labelled: DataFrame, sample_rows: int = 16_000, seed: int = 11, keep: int = 1 << 14, least_told: float = 13.0, penalty: float = 1e-3, steps: int = 250) -> ToxicModel:
+def fit(labelled: DataFrame, sample_rows: int = 8_000, seed: int = 11, keep: int = 1 << 12, least_told: float = 13.0, penalty: float = 1e-3, steps: int = 250) -> ToxicModel:
     """Learn from ``text`` and ``toxic`` (0 or 1; other rows are left out).
 
     Works on a seeded sample of about ``sample_rows`` labelled rows (all, if
