@@ -10,8 +10,9 @@ Candidate pairs are verified by their partial overlaps, one for each fragment
 of the pair's shared shingles, summed for the pair. Candidates come in two
 turns, so that large groups of near copies never give all their pairs:
 
-1. documents that agree in a minimum hash are paired with one of them; verified
-   links make first components;
+1. documents that agree in a few minimum hashes are paired with one of them, and
+   verified links make first components; then, a few times, documents of a
+   prefix shingle are paired with one of its largest component;
 2. the complete turn: documents that share a shingle of their prefix, rare
    shingles first (two sets with 75 % overlap must), and are not in one
    component yet. Pairs inside a component would change nothing.
@@ -35,7 +36,8 @@ from quarrylight.llm.components import connected_components
 #: Shingles of a fragment, about; and those that a task holds before it sends them.
 PER_FRAGMENT = 3_000_000
 HELD = 4_000_000
-_SIGNATURES = 4
+_SIGNATURES = 48
+_ROUNDS = 2
 _SUPER = 2  # partial overlaps are counted in 2**_SUPER ranges of a pair's shingles
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -179,6 +181,20 @@ def _shared(fragment_bits: int, buckets: int):
 _SETS = "key long, n int, shared int, signature array<long>, prefix array<long>, range int, items array<long>"
 
 
+def _bands(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Hashes of runs of three and of four minimum hashes of a set: two sets that
+    agree in one are very likely to have most shingles in common."""
+    least = np.concatenate([mix64(own[None, :] ^ seeds[k : k + 8, None]).min(axis=1) for k in range(0, len(seeds), 8)])
+    out = []
+    with np.errstate(over="ignore"):
+        for rows in (3, 4):
+            band = np.zeros(len(seeds) // rows, np.uint64)
+            for r in range(rows):
+                band = mix64(band * _GAMMA + least.reshape(-1, rows)[:, r])
+            out.append(band)
+    return np.concatenate(out).astype(np.int64)
+
+
 def _assemble(table: pa.Table) -> pa.Table:
     """The segments of some documents -> rows of those that can be linked: one
     with signature and prefix (range -1), and one for each range with its items."""
@@ -197,7 +213,7 @@ def _assemble(table: pa.Table) -> pa.Table:
         if n == 0 or 4 * shared < 3 * n:
             continue
         own = items[a:b]
-        signature = [int(mix64(own ^ s).min().astype(np.int64)) for s in seeds]
+        signature = _bands(own, seeds)
         # of the n - ceil(3n/4) + 1 first shingles those that only this set has are no use
         prefix = own[: n - (3 * n + 3) // 4 + 1 - (n - shared)].astype(np.int64)
         place = (own & np.uint64((1 << 55) - 1)) >> np.uint64(55 - _SUPER)
@@ -227,6 +243,17 @@ def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return summed.filter("7 * overlap >= 3 * (na + nb)").select("a", "b")
 
 
+def _in_mixed_company(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """Prefix entries of shingles that two components share, with their home
+    component and its size."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    known = labels.join(sizes, "component").select(F.col("id").alias("key"), F.col("component"), "size")
+    placed = places.join(known, "key", "left").select("item", "key", "n", "shared", "at", F.coalesce("component", "key").alias("home"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = materialize(placed, "homes")
+    mixed = placed.groupBy("item").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("item")
+    return placed.join(mixed, "item", "left_semi")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(documents, components) of the join at similarity 0.75.
 
@@ -247,25 +274,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     segments = sets.filter("range >= 0").select("key", "n", "range", "items")
     heads = sets.filter("range = -1")
 
-    # first turn: one partner for each minimum hash
+    # first turn: one partner for each run of minimum hashes
     signed = heads.select("key", F.posexplode("signature").alias("turn", "value"))
     pivots = signed.groupBy("turn", "value").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     pairs = signed.join(pivots, ["turn", "value"]).filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     first = materialize(verified(pairs, segments), "first-links")
     labels = connected_components(first, "first-components")
 
-    # second turn: every pair that shares a prefix shingle, across components
-    known = labels.select(F.col("id"), "component")
+    # then with one other at each shingle of the prefix
     unique = F.col("n") - F.col("shared")
-    placed = heads.join(known, F.col("key") == F.col("id"), "left").select("key", "n", F.coalesce("component", "key").alias("home"), unique.alias("u"), F.posexplode("prefix").alias("i", "item"))
-    placed = materialize(placed.select("item", "key", "home", F.col("n"), (F.col("u") + F.col("i")).cast("int").alias("at")), "prefixes")
-    mixed = placed.groupBy("item").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("item")
-    left = placed.join(mixed, "item", "left_semi")
+    places = heads.select("key", "n", "shared", unique.alias("u"), F.posexplode("prefix").alias("i", "item"))
+    places = materialize(places.select("item", "key", "n", "shared", (F.col("u") + F.col("i")).cast("int").alias("at")), "prefixes")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for _ in range(_ROUNDS):
+        # of edited copies of one text, the one that shares most is closest to all
+        mixed = _in_mixed_company(places, labels)
+        most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
+        star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
+        star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        star = materialize(star, "star-pairs")
+        new = materialize(verified(star, segments), "star-links")
+        tried = tried.union(star)
+        if new.isEmpty():
+            break
+        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), "star-components")
+
+    # second turn: every pair that shares a prefix shingle, across components
+    left = _in_mixed_company(places, labels)
     p = left.select("item", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("na"), F.col("at").alias("pa"))
     q = left.select("item", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     # at the first shared shingle nothing before it overlaps: the rest must be enough
-    enough = "ha < hb and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * (1 + least(na - pa - 1, nb - pb - 1)) >= 3 * (na + nb)"
-    more = p.join(q, "item").filter(enough).select("a", "b").distinct()
+    enough = "ha <> hb and a < b and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * (1 + least(na - pa - 1, nb - pb - 1)) >= 3 * (na + nb)"
+    more = p.join(q, "item").filter(enough).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     second = verified(more, segments)
     links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second)
     return documents, connected_components(links, "components")
