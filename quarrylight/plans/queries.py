@@ -1,6 +1,644 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL.
+
+The tables stand in for the engine's record sets: documents are evidence,
+embeddings are vector items, line items are facts (an order depends on a part, a
+part is supplied by a supplier), orders before and after a date are two snapshots,
+events are runs, jobs and observations, labels are expectations.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylight.functions import content as C
+from quarrylight.functions.text import collapse, content_id, normalize_terms, tokens_of_bytes, tokens_of_characters
+from quarrylight.functions.vectors import cosine_distance, unit
+from quarrylight.operators import evaluation as E
+from quarrylight.operators import extract as X
+from quarrylight.operators import facts as A
+from quarrylight.operators import graph as G
+from quarrylight.operators import incremental as I
+from quarrylight.operators import relations as L
+from quarrylight.operators import retrieval as R
+from quarrylight.operators import selection as S
+from quarrylight.runtime import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# --- retrieval -----------------------------------------------------------------
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as evidence; the source and the language are exact terms."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("content"), normalize_terms(F.array("source", "lang")).alias("exact_terms"), F.sha2("text", 256).alias("content_hash"), "source", "lang")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of searches: every benchmark item whose id divides by 20."""
+    return table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.concat(F.col("text"), F.lit(" src3 fr")).alias("query"))
+
+
+def wanted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def vector_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("evidence_id"), F.col("embedding").alias("vector"), "label")
+
+
+_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> '') || regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_-]+'))"
+_TEXT_SQL = f"""
+q AS (SELECT item_id AS query_id, unnest({_TERMS.format("text || ' src3 fr'")}) AS term FROM benchmark WHERE item_id % 20 = 0),
+t AS (SELECT doc_id AS evidence_id, unnest({_TERMS.format("text")}) AS term, 0 AS exact FROM documents
+      UNION ALL SELECT doc_id, unnest(list_distinct([lower(source), lower(lang)])), 1 FROM documents),
+hits AS (SELECT query_id, evidence_id, count(*) AS score, max(exact) = 1 AS exact_match FROM t JOIN q USING (term) GROUP BY 1, 2),
+text_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, exact_match DESC, evidence_id) AS rank FROM hits)"""
+_VECTOR_SQL = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+pairs AS (SELECT w.vec_id AS query_id, i.vec_id AS evidence_id,
+                 round(least(2, greatest(0, 1 - list_cosine_similarity(w.v, i.v))), 9) AS distance FROM e w, e i WHERE w.vec_id % 20 = 0),
+vector_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, evidence_id) AS rank FROM pairs)"""
+
+
+@query("vector_topk_cosine", f"WITH {_VECTOR_SQL} SELECT query_id, evidence_id, round(distance, 6) AS distance, rank FROM vector_ranked WHERE rank <= 20")
+def vector_topk_cosine(spark, sf_dir):
+    return R.vector_topk(wanted_vectors(spark, sf_dir), vector_items(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+@query("text_overlap_topk", f"WITH {_TEXT_SQL} SELECT query_id, evidence_id, score, exact_match, rank FROM text_ranked WHERE rank <= 20")
+def text_overlap_topk(spark, sf_dir):
+    return R.text_overlap(questions(spark, sf_dir), evidence(spark, sf_dir))
+
+
+@query("exact_match_hits", f"""WITH {_TEXT_SQL} SELECT query_id, evidence_id,
+  row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS rank FROM (SELECT DISTINCT query_id, evidence_id FROM t JOIN q USING (term) WHERE exact = 1)""")
+def exact_match_hits(spark, sf_dir):
+    return R.exact_hits(questions(spark, sf_dir), evidence(spark, sf_dir))
+
+
+_RRF_SQL = f"""WITH {_TEXT_SQL},{_VECTOR_SQL},
+parts AS (SELECT query_id, evidence_id, 'text' AS signal, 1.0::DOUBLE / (60 + rank) AS part FROM text_ranked WHERE rank <= 20
+          UNION ALL SELECT query_id, evidence_id, 'vector', 1.0::DOUBLE / (60 + rank) FROM vector_ranked WHERE rank <= 20),
+fused AS (SELECT query_id, evidence_id, round(sum(part), 12) AS score, list_sort(list(DISTINCT signal)) AS signals FROM parts GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM fused)"""
+
+
+def _fused(spark, sf_dir):
+    return R.fuse({"text": text_overlap_topk(spark, sf_dir), "vector": QUERIES["vector_topk_cosine"](spark, sf_dir)})
+
+
+@query("hybrid_rrf", _RRF_SQL + " SELECT query_id, evidence_id, round(score, 9) AS score, array_to_string(signals, ',') AS signals, rank FROM placed WHERE rank <= 20")
+def hybrid_rrf(spark, sf_dir):
+    """The flagship query: text and vector signals of several questions, fused."""
+    return _fused(spark, sf_dir).select("query_id", "evidence_id", F.round("score", 9).alias("score"), F.array_join("signals", ",").alias("signals"), "rank")
+
+
+@query("candidate_projection", _RRF_SQL + """ SELECT query_id, evidence_id, CASE WHEN list_contains(signals, 'text') OR list_contains(signals, 'vector') THEN 'text' ELSE 'relation' END AS kind,
+  round(least(greatest(score, 0.01::DOUBLE), 1.0::DOUBLE), 9) AS relevance FROM placed WHERE rank <= 20""")
+def candidate_projection(spark, sf_dir):
+    return _fused(spark, sf_dir).select("query_id", "evidence_id", R.candidate_kind(F.col("signals")).alias("kind"), F.round(R.relevance(F.col("score")), 9).alias("relevance"))
+
+
+@query("retrieval_degradations", f"""WITH {_TEXT_SQL} SELECT item_id AS query_id,
+  array_to_string(list_filter(['relation_unavailable', CASE WHEN item_id NOT IN (SELECT query_id FROM hits) THEN 'no_retrieval_candidates' END], lambda x: x IS NOT NULL), ',') AS degradations
+  FROM benchmark WHERE item_id % 20 = 0""")
+def retrieval_degradations(spark, sf_dir):
+    q, hits = questions(spark, sf_dir), text_overlap_topk(spark, sf_dir)
+    return R.degradations(q, hits, hits, None).select("query_id", F.array_join("degradations", ",").alias("degradations"))
+
+
+@query("hash_consistency", """SELECT r.r AS query_id, label AS evidence_id, count(DISTINCT vec_id % 3) AS hashes FROM embeddings, (VALUES (0), (1)) r(r) GROUP BY 1, 2 HAVING count(DISTINCT vec_id % 3) > 1""")
+def hash_consistency(spark, sf_dir):
+    hits = table(spark, sf_dir, "embeddings").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("query_id"), F.col("label").alias("evidence_id"), (F.col("vec_id") % 3).alias("content_hash"))
+    return R.inconsistent_hashes(hits)
+
+
+@query("vector_validation", "SELECT vec_id AS evidence_id, CASE WHEN len(embedding) <> 64 THEN 'dimension' ELSE 'zero_norm' END AS reason FROM embeddings WHERE len(embedding) <> 64 OR list_sum(list_transform(embedding, lambda x: abs(x))) = 0")
+def vector_validation(spark, sf_dir):
+    return R.validate_vectors(vector_items(spark, sf_dir), 64)
+
+
+@query("label_centroid_distance", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+  first AS (SELECT label, arg_min(v, vec_id) AS c FROM e GROUP BY label)
+  SELECT vec_id, round(least(2, greatest(0, 1 - list_cosine_similarity(v, c))), 6) AS distance, round(list_sum(list_transform(v, lambda x: x * x / list_sum(list_transform(v, lambda y: y * y)))), 6) AS unit_norm FROM e JOIN first USING (label)""")
+def label_centroid_distance(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("c"))
+    squares = F.aggregate(unit(F.col("embedding")), F.lit(0.0), lambda s, x: s + x * x)
+    return e.join(first, "label").select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("c")), 6).alias("distance"), F.round(squares, 6).alias("unit_norm"))
+
+
+@query("full_text_search")
+def full_text_search(spark, sf_dir):
+    return R.full_text(evidence(spark, sf_dir), '"of the" or license -worthless')
+
+
+# --- facts and graph -------------------------------------------------------------
+
+
+def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item says of a part who supplies it; the return flag tells who says so."""
+    li = table(spark, sf_dir, "lineitem")
+    part, supplier = F.concat(F.lit("part-"), F.col("l_partkey")), F.concat(F.lit("supplier-"), F.col("l_suppkey"))
+    return li.select(
+        F.concat_ws("-", F.lit("f"), "l_orderkey", "l_linenumber").alias("fact_id"), F.col("l_linestatus").alias("scope"), F.lit("definition").alias("predicate"),
+        F.lit("symbol").alias("subject_kind"), part.alias("subject_id"), F.lit("symbol").alias("object_kind"), supplier.alias("object_id"), supplier.alias("assertion"),
+        F.col("l_returnflag").alias("producer"), F.col("l_orderkey").alias("order"), "l_partkey", "l_suppkey",
+    )
+
+
+_FACTS_SQL = """facts AS (SELECT concat_ws('-', 'f', l_orderkey, l_linenumber) AS fact_id, l_linestatus AS scope, 'definition' AS predicate,
+  'part-' || l_partkey AS subject_id, 'supplier-' || l_suppkey AS object_id, l_returnflag AS producer, l_orderkey, l_partkey, l_suppkey FROM lineitem)"""
+
+
+@query("fact_conflicts", f"""WITH {_FACTS_SQL} SELECT scope, subject_id, count(DISTINCT object_id) AS assertions, count(DISTINCT producer) AS producers, count(DISTINCT fact_id) AS facts
+  FROM facts GROUP BY 1, 2 HAVING count(DISTINCT object_id) >= 2 AND count(DISTINCT producer) >= 2""")
+def fact_conflicts(spark, sf_dir):
+    return A.conflicts(line_facts(spark, sf_dir)).select("scope", "subject_id", "assertions", "producers", F.size("fact_ids").cast("long").alias("facts"))
+
+
+@query("membership_unique", f"""WITH {_FACTS_SQL} SELECT scope, subject_id AS symbol, min(object_id) AS artifact, min(fact_id) AS fact_id FROM facts GROUP BY 1, 2 HAVING count(DISTINCT object_id) = 1""")
+def membership_unique(spark, sf_dir):
+    f = line_facts(spark, sf_dir)
+    return A.unique_membership(f.select("scope", F.col("subject_id").alias("symbol"), F.col("object_id").alias("artifact"), "fact_id"))
+
+
+@query("entity_projection", f"""WITH {_FACTS_SQL}, sides AS (SELECT scope, subject_id AS id, fact_id FROM facts UNION ALL SELECT scope, object_id, fact_id FROM facts)
+  SELECT scope, id, count(DISTINCT fact_id) AS facts FROM sides GROUP BY 1, 2""")
+def entity_projection(spark, sf_dir):
+    return L.entities_of(line_facts(spark, sf_dir)).select("scope", "id", "facts")
+
+
+@query("relation_projection", f"""WITH {_FACTS_SQL} SELECT scope, subject_id, object_id, array_to_string(list_sort(list(DISTINCT fact_id)), ',') AS fact_ids FROM facts GROUP BY 1, 2, 3""")
+def relation_projection(spark, sf_dir):
+    return L.relations_of(line_facts(spark, sf_dir)).select("scope", "subject_id", "object_id", F.array_join("fact_ids", ",").alias("fact_ids"))
+
+
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("from_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("to_id"), F.lit("supplied_by").alias("type")).distinct().withColumn("edge_id", F.concat_ws(">", "from_id", "to_id"))
+
+
+_EDGES_SQL = "edges AS (SELECT DISTINCT 'p' || l_partkey AS from_id, 's' || l_suppkey AS to_id, 'supplied_by' AS type, 'p' || l_partkey || '>' || 's' || l_suppkey AS edge_id FROM lineitem)"
+
+
+@query("relation_one_hop", f"""WITH {_EDGES_SQL}, anchors AS (SELECT 's' || s_suppkey AS anchor FROM supplier WHERE s_suppkey % 20 = 0 UNION SELECT 'p' || p_partkey FROM part WHERE p_partkey % 20 = 0),
+  hits AS (SELECT anchor, edges.* FROM edges JOIN anchors ON from_id = anchor UNION SELECT anchor, edges.* FROM edges JOIN anchors ON to_id = anchor),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY from_id, to_id, type, edge_id) AS position FROM hits)
+  SELECT anchor, edge_id, from_id, to_id, type, position FROM placed WHERE position <= 25""")
+def relation_one_hop(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("anchor"))
+    p = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("anchor"))
+    return L.one_hop(s.union(p), supply_edges(spark, sf_dir))
+
+
+@query("dependency_composition", """WITH d AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem), e AS (SELECT DISTINCT l_partkey AS b, l_suppkey AS c FROM lineitem)
+  SELECT a AS src, c AS dst, count(*) AS paths FROM d JOIN e USING (b) GROUP BY 1, 2""")
+def dependency_composition(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    d, e = li.select(F.col("l_orderkey").alias("src"), "l_partkey").distinct(), li.select("l_partkey", F.col("l_suppkey").alias("dst")).distinct()
+    return d.join(e, "l_partkey").groupBy("src", "dst").agg(F.count("*").alias("paths"))
+
+
+def binary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as derivations: each from the customer with half its number."""
+    return table(spark, sf_dir, "customer").filter("c_custkey > 1").select(F.floor(F.col("c_custkey") / 2).cast("long").alias("src"), F.col("c_custkey").alias("dst"))
+
+
+_TREE_SQL = "e AS (SELECT c_custkey // 2 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 1)"
+_CLOSURE_SQL = f"""WITH RECURSIVE {_TREE_SQL}, c AS (SELECT src, dst, 1 AS depth FROM e UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN e ON c.dst = e.src)"""
+
+
+@query("dependency_transitive", _CLOSURE_SQL + " SELECT DISTINCT src, dst FROM c WHERE src <> dst")
+def dependency_transitive(spark, sf_dir):
+    return G.transitive_closure(binary_tree(spark, sf_dir))
+
+
+@query("lineage_dependents", _CLOSURE_SQL + " SELECT src AS root, dst AS node, min(depth) AS depth FROM c WHERE src <> dst AND src % 20 = 0 GROUP BY 1, 2")
+def lineage_dependents(spark, sf_dir):
+    roots = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("node"))
+    return G.reachable(roots, binary_tree(spark, sf_dir))
+
+
+@query("lineage_support", _CLOSURE_SQL + " SELECT dst AS root, src AS node, min(depth) AS depth FROM c WHERE src <> dst AND dst % 20 = 0 GROUP BY 1, 2")
+def lineage_support(spark, sf_dir):
+    roots = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("node"))
+    return G.reachable(roots, binary_tree(spark, sf_dir), forward=False)
+
+
+@query("invalidation_fanout", _CLOSURE_SQL + """ SELECT dst AS fact_id, min(depth) AS depth, array_to_string(list_sort(list(DISTINCT CASE WHEN src % 40 = 0 THEN 'changed' ELSE 'removed' END)), ',') AS reasons
+  FROM c WHERE src % 20 = 0 AND src <> dst GROUP BY 1""")
+def invalidation_fanout(spark, sf_dir):
+    changed = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("fact_id"), F.when(F.col("c_custkey") % 40 == 0, "changed").otherwise("removed").alias("reason"))
+    out = G.invalidated(changed, binary_tree(spark, sf_dir).select(F.col("src").alias("input_id"), F.col("dst").alias("fact_id")))
+    return out.select("fact_id", "depth", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("lineage_acyclic", "SELECT 0 AS cyclic")
+def lineage_acyclic(spark, sf_dir):
+    return G.cyclic_nodes(binary_tree(spark, sf_dir)).agg(F.count("*").cast("int").alias("cyclic"))
+
+
+@query("direct_dependents", f"WITH {_TREE_SQL} SELECT DISTINCT dst AS path FROM e WHERE src % 20 = 0")
+def direct_dependents(spark, sf_dir):
+    changed = table(spark, sf_dir, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("path"))
+    return G.direct_dependents(changed, binary_tree(spark, sf_dir).select(F.col("dst").alias("path"), F.col("src").alias("depends_on")))
+
+
+@query("derivation_fixpoint", """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey AS a FROM customer), e AS (SELECT a AS src, a + 1 AS dst FROM n WHERE a < 24),
+  c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src, dst FROM c""")
+def derivation_fixpoint(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("src")).distinct().filter("src < 24").withColumn("dst", F.col("src") + 1)
+    base = n.withColumn("fact_id", content_id("fact", F.col("src"), F.col("dst")))
+
+    def transitive(known: DataFrame) -> DataFrame:
+        two = known.alias("x").join(known.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst")).filter("src <> dst").distinct()
+        return two.withColumn("fact_id", content_id("fact", F.col("src"), F.col("dst")))
+
+    return G.derive(base, [("transitive", transitive)]).facts.select("src", "dst")
+
+
+# --- content, policy, selection -----------------------------------------------------
+
+_RE = {k: v.replace("'", "''") for k, v in (("secret", C.SECRET), ("auth", C.AUTHORIZATION), ("key", C.PRIVATE_KEY), ("prompt", C.INJECTION), ("binary", C.BINARY))}
+_INSPECT_SQL = f"""i AS (SELECT doc_id, text, list_sort(list_filter([CASE WHEN regexp_matches(text, '{_RE["secret"]}') THEN 'secret_assignment' END,
+  CASE WHEN regexp_matches(text, '{_RE["auth"]}') THEN 'authorization' END, CASE WHEN regexp_matches(text, '{_RE["key"]}') THEN 'pem_private_key' END,
+  CASE WHEN regexp_matches(text, '{_RE["prompt"]}') THEN 'prompt_injection' END], lambda x: x IS NOT NULL)) AS f FROM documents),
+k AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'safe_text' WHEN regexp_matches(text, '{_RE["binary"]}') THEN 'binary' WHEN len(list_filter(f, lambda x: x <> 'prompt_injection')) > 0 THEN 'sensitive'
+  WHEN len(f) > 0 THEN 'prompt_injection' ELSE 'safe_text' END AS kind FROM i)"""
+
+
+def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang").withColumn("f", C.findings(F.col("text")))
+    rows = rows.withColumn("kind", C.classify(F.col("text"), F.col("f")))
+    return rows.withColumn("state", C.content_state(F.col("text"), F.col("kind")))
+
+
+@query("content_inspection", f"WITH {_INSPECT_SQL} SELECT doc_id, kind, array_to_string(f, ',') AS findings FROM k")
+def content_inspection(spark, sf_dir):
+    return inspected(spark, sf_dir).select("doc_id", "kind", F.array_join("f", ",").alias("findings"))
+
+
+@query("policy_resolution", f"""WITH {_INSPECT_SQL} SELECT doc_id, CASE WHEN kind IN ('sensitive', 'prompt_injection') THEN 'redact' WHEN kind = 'binary' THEN 'deny' ELSE 'allow' END AS persist,
+  'deny' AS transfer, CASE WHEN kind IN ('sensitive', 'prompt_injection') THEN 10 WHEN kind = 'binary' THEN NULL ELSE nullif(strlen(text), 0) END AS kept_bytes FROM k""")
+def policy_resolution(spark, sf_dir):
+    rows = inspected(spark, sf_dir).withColumn("persist", C.strictest(F.lit("allow"), C.floor_of(F.col("kind"), 0)))
+    kept = C.represent(F.col("text"), F.col("state"), F.col("persist"))
+    return rows.select("doc_id", "persist", C.strictest(F.lit("deny"), C.floor_of(F.col("kind"), 1)).alias("transfer"), F.octet_length(kept).cast("long").alias("kept_bytes"))
+
+
+@query("token_estimate", "SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS by_bytes, CAST(ceil(length(text) / 4.0) AS BIGINT) AS by_characters FROM documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tokens_of_bytes(F.col("text")).alias("by_bytes"), tokens_of_characters(F.col("text")).alias("by_characters"))
+
+
+@query("evidence_dedup", "SELECT sha256(text) AS content_hash, min(doc_id) AS evidence_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def evidence_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text is not null").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("evidence_id"), F.count("*").alias("copies"))
+
+
+@query("artifact_cap", "SELECT source, doc_id, position FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS position FROM documents) WHERE position <= 8")
+def artifact_cap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("artifact_id"), F.col("n_chars").alias("line"), F.col("doc_id").alias("evidence_id"))
+    return X.capped_evidence(d).select(F.col("artifact_id").alias("source"), F.col("evidence_id").alias("doc_id"), "position")
+
+
+def package_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = text_overlap_topk(spark, sf_dir)
+    ev = evidence(spark, sf_dir).select("evidence_id", "content", "content_hash", F.col("source").alias("artifact_id"), F.col("lang").alias("kind"))
+    return hits.select("query_id", "evidence_id", F.col("score").cast("double").alias("score"), "rank").join(ev, "evidence_id")
+
+
+@query("package_compose")
+def package_compose(spark, sf_dir):
+    return S.compose(package_candidates(spark, sf_dir), S.PackageLimits(units=10, tokens=4096, per_artifact=2, per_type=6))
+
+
+@query("greedy_select")
+def greedy_select(spark, sf_dir):
+    c = package_candidates(spark, sf_dir)
+    items = c.select(
+        "query_id", F.col("evidence_id").alias("item_id"), "kind", "artifact_id", (F.col("score") / 100).alias("relevance"), "rank", F.array("kind", "artifact_id").alias("aspects"),
+        F.col("content_hash").alias("redundancy_key"), tokens_of_bytes(F.col("content")).alias("tokens"), F.char_length("content").cast("long").alias("characters"), F.octet_length("content").cast("long").alias("bytes"),
+    )
+    return S.greedy_select(items)
+
+
+@query("support_closure")
+def support_closure(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rel = li.groupBy(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("relation_id")).agg(
+        F.sum("l_quantity").alias("score"), F.min("l_orderkey").alias("rank"), F.array_sort(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey")))).alias("needs"), F.lit(10).alias("tokens")
+    )
+    parts = li.select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("item_id")).distinct().withColumn("tokens", F.lit(20))
+    return S.support_closure(rel, parts, parts.join(table(spark, sf_dir, "part").filter("p_size = 10"), F.expr("item_id = concat('p', p_partkey)"), "left_semi"))
+
+
+@query("abstention_decision", """SELECT doc_id, CASE WHEN n_chars % 5 = 0 AND doc_id % 2 = 1 THEN 'transfer_prohibited' WHEN n_chars % 5 = 0 THEN 'no_transferable_evidence'
+  WHEN lang <> 'en' AND lang <> '' THEN 'kind_mismatch' WHEN n_chars < 1000 THEN 'insufficient_support' END AS reason FROM documents""")
+def abstention_decision(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    level = F.when(F.col("n_chars") < 1000, "insufficient").otherwise("sufficient")
+    return d.select("doc_id", S.abstention(F.col("n_chars") % 5, F.col("doc_id") % 2, F.col("lang"), F.lit("en"), level).alias("reason"))
+
+
+@query("spend_budget", """SELECT event_id, round(total, 4) AS total, total <= 1000 AS admitted FROM (
+  SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)""")
+def spend_budget(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("account"), F.struct("ts", "event_id").alias("seq"), F.col("value").alias("cost"))
+    return S.spend(e, 1000).select("event_id", F.round("total", 4).alias("total"), "admitted")
+
+
+@query("continuation_page", """SELECT * FROM (SELECT c_mktsegment AS query_id, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place BETWEEN 11 AND 20""")
+def continuation_page(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("query_id", F.col("c_mktsegment"))
+    return S.Continuation.page(c, 10, 10, F.desc("c_acctbal"), F.asc("c_custkey")).select("query_id", "c_custkey", "place")
+
+
+# --- incremental ----------------------------------------------------------------------
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' orders before a date and all of them: keys are customers and
+    priorities, digests the number of orders and their price."""
+    o = table(spark, sf_dir, "orders")
+
+    def shot(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("o_orderpriority").alias("kind"), F.col("o_custkey").alias("key")).agg(F.concat_ws(":", F.count("*"), F.round(F.sum("o_totalprice") * 100).cast("long")).alias("digest"))
+
+    return shot(o.filter("o_orderdate < timestamp'1996-01-01'")), shot(o.filter("o_orderdate >= timestamp'1993-01-01'"))
+
+
+_SHOT = "SELECT o_orderpriority AS kind, o_custkey AS key, count(*) || ':' || CAST(round(sum(o_totalprice) * 100) AS BIGINT) AS digest FROM orders WHERE {} GROUP BY 1, 2"
+_DIFF_SQL = f"""a AS ({_SHOT.format("o_orderdate < TIMESTAMP '1996-01-01'")}), b AS ({_SHOT.format("o_orderdate >= TIMESTAMP '1993-01-01'")}),
+diff AS (SELECT kind, key, CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' WHEN a.digest = b.digest THEN 'reused' ELSE 'changed' END AS status FROM a FULL JOIN b USING (kind, key))"""
+
+
+@query("snapshot_diff", f"WITH {_DIFF_SQL} SELECT * FROM diff")
+def snapshot_diff(spark, sf_dir):
+    return I.snapshot_diff(*snapshots(spark, sf_dir))
+
+
+@query("work_saved", f"""WITH {_DIFF_SQL} SELECT kind, count(*) FILTER (WHERE status = 'reused') AS reused, count(*) FILTER (WHERE status = 'changed') AS changed,
+  count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed FROM diff GROUP BY 1""")
+def work_saved(spark, sf_dir):
+    return I.work_saved(snapshot_diff(spark, sf_dir))
+
+
+@query("projection_impact", f"""WITH {_DIFF_SQL}, r AS (SELECT key AS depends_on, max(CASE WHEN status IN ('changed', 'added') THEN 1 WHEN status = 'removed' THEN 2 ELSE 0 END) AS r FROM diff GROUP BY 1),
+  d AS (SELECT c_mktsegment AS projection, c_nationkey AS key, max(coalesce(r, 0)) AS r FROM customer LEFT JOIN r ON c_custkey = depends_on GROUP BY 1, 2)
+  SELECT projection, key, CASE r WHEN 2 THEN 'removed' WHEN 1 THEN 'affected' ELSE 'reusable' END AS status FROM d""")
+def projection_impact(spark, sf_dir):
+    deps = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("projection"), F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("depends_on"))
+    return I.projection_impact(snapshot_diff(spark, sf_dir), deps)
+
+
+@query("ambiguous_keys", """WITH a AS (SELECT CAST(floor(c_acctbal) AS BIGINT) AS key, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT CAST(floor(s_acctbal) AS BIGINT) AS key, count(*) AS n FROM supplier GROUP BY 1)
+  SELECT key, CASE WHEN coalesce(a.n, 0) = 1 AND coalesce(b.n, 0) = 1 THEN 1 ELSE coalesce(a.n, 0) + coalesce(b.n, 0) END AS rows, coalesce(a.n, 0) = 1 AND coalesce(b.n, 0) = 1 AS matched FROM a FULL JOIN b USING (key)""")
+def ambiguous_keys(spark, sf_dir):
+    a = table(spark, sf_dir, "customer").select(F.lit("n").alias("kind"), F.floor("c_acctbal").alias("key"), F.col("c_custkey").cast("string").alias("digest"))
+    b = table(spark, sf_dir, "supplier").select(F.lit("n").alias("kind"), F.floor("s_acctbal").alias("key"), F.col("s_suppkey").cast("string").alias("digest"))
+    return I.snapshot_diff(a, b).groupBy("key").agg(F.count("*").alias("rows"), F.bool_or(F.col("status").isin("reused", "changed")).alias("matched"))
+
+
+@query("embedding_cache_missing", """WITH c AS (SELECT label AS h, min(vec_id) AS item_id FROM embeddings WHERE vec_id % 2 = 0 AND label < 6 GROUP BY 1)
+  SELECT doc_id, CASE WHEN c.item_id IS NOT NULL THEN 'cache' WHEN doc_id % 10 = 7 THEN 'supplied' ELSE 'missing' END AS origin, c.item_id FROM documents LEFT JOIN c ON doc_id % 10 = c.h""")
+def embedding_cache_missing(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    cache = e.select(F.when(F.col("label") < 6, "p").otherwise("q").alias("profile_id"), F.col("label").cast("long").alias("content_hash"), F.col("vec_id").alias("item_id"), F.when(F.col("vec_id") % 2 == 0, "ready").otherwise("stale").alias("state"), F.col("embedding").alias("vector"))
+    supplied = spark.createDataFrame([(7, [1.0, 0.0])], "content_hash long, vector array<float>")
+    asked = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("content_hash"))
+    return I.embedding_rebuild(asked, cache, supplied, "p").select("doc_id", "origin", "item_id")
+
+
+@query("job_claim_order", """SELECT queue, job_id, place, attempt FROM (SELECT o_orderpriority AS queue, o_orderkey AS job_id, o_custkey + 1 AS attempt, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place
+  FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01'))""")
+def job_claim_order(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("job_id"), state.alias("state"), F.col("o_orderdate").alias("lease_until"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("attempt"))
+    return I.claim_order(jobs, F.expr("timestamp'1996-01-01'")).select("queue", "job_id", "place", "attempt")
+
+
+@query("scan_limits", """WITH f AS (SELECT c_mktsegment AS root, c_name AS path, CAST(floor(abs(c_acctbal)) AS BIGINT) AS size FROM customer),
+  r AS (SELECT *, row_number() OVER w AS place, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS total FROM f WINDOW w AS (PARTITION BY root ORDER BY path)),
+  b AS (SELECT *, max(CASE WHEN place > 50 OR size > 9900 OR total > 200000 THEN 1 ELSE 0 END) OVER (PARTITION BY root ORDER BY path ROWS UNBOUNDED PRECEDING) AS broken FROM r)
+  SELECT root, path, size, place FROM b WHERE broken = 0""")
+def scan_limits(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("root"), F.col("c_name").alias("path"), F.floor(F.abs("c_acctbal")).cast("long").alias("size"))
+    return I.limited_walk(files, 50, 9_900, 200_000).select("root", "path", "size", "place")
+
+
+@query("content_digest", """SELECT source, sha256(string_agg(strlen(k) || ':' || k || strlen(v) || ':' || v, '' ORDER BY k, v)) AS digest, count(*) AS n FROM (SELECT source, CAST(doc_id AS VARCHAR) AS k, sha256(text) AS v FROM documents) GROUP BY 1""")
+def content_digest(spark, sf_dir):
+    return A.ordered_digest(table(spark, sf_dir, "documents"), ["source"], F.col("doc_id").cast("string"), F.sha2("text", 256))
+
+
+@query("content_identity", """SELECT p_partkey, 'artifact-' || sha256(strlen(trim(p_name)) || ':' || trim(p_name) || strlen(trim(p_brand)) || ':' || trim(p_brand)) AS id, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS kind FROM part""")
+def content_identity(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", content_id("artifact", F.col("p_name"), F.col("p_brand")).alias("id"), collapse(F.col("p_type")).alias("kind"))
+
+
+# --- joins of the relational projection ---------------------------------------------------
+
+
+@query("semi_rule_usage", "SELECT DISTINCT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def semi_rule_usage(spark, sf_dir):
+    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").filter("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
+
+
+@query("left_observation", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
+def left_observation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 300000")
+    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("relation_seed_join", """SELECT n_name, r_name, count(*) AS facts, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag = 'R' GROUP BY 1, 2""")
+def relation_seed_join(spark, sf_dir):
+    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "region")}
+    out = t["lineitem"].filter("l_returnflag = 'R'").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    out = out.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return out.groupBy("n_name", "r_name").agg(F.count("*").alias("facts"), F.count_distinct("l_partkey").alias("parts"))
+
+
+@query("json_observation", "SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def json_observation(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long") % 10
+    return table(spark, sf_dir, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("referential_integrity", "SELECT count(*) AS broken FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def referential_integrity(spark, sf_dir):
+    return A.missing(table(spark, sf_dir, "events"), "user_id", table(spark, sf_dir, "customer"), "c_custkey").agg(F.count("*").alias("broken"))
+
+
+@query("unique_basename", """WITH f AS (SELECT DISTINCT p_brand || '/' || p_name AS path, p_name AS base FROM part), u AS (SELECT base, min(path) AS path FROM f GROUP BY 1 HAVING count(*) = 1)
+  SELECT p_partkey, u.path AS resolved FROM part LEFT JOIN u ON base = p_name""")
+def unique_basename(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.concat_ws("/", "p_brand", "p_name").alias("path")).distinct()
+    return E.unique_by_name(p.select("p_partkey", F.col("p_name").alias("target")), files).select("p_partkey", "resolved")
+
+
+@query("link_extraction", """SELECT page_id, unnest(range(len(l))) AS position, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)""")
+def link_extraction(spark, sf_dir):
+    return X.link_lines(table(spark, sf_dir, "pages")).select("page_id", F.col("position").cast("long").alias("position"), "href")
+
+
+# --- evaluation ------------------------------------------------------------------------------
+
+_RUNS_SQL = """runs AS (SELECT event_id, user_id AS case_id, event_type AS variant, value, event_id % 7 AS seven FROM events)"""
+
+
+@query("recall_precision_at_k", """WITH x AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS evidence_id FROM lineitem), r AS (SELECT l_orderkey AS case_id, l_partkey AS evidence_id, l_linenumber AS rank FROM lineitem WHERE l_quantity > 20),
+  w AS (SELECT case_id, count(*) AS expected FROM x GROUP BY 1), f AS (SELECT case_id, evidence_id, min(rank) AS rank FROM r WHERE rank <= 3 GROUP BY 1, 2),
+  g AS (SELECT case_id, count(*) AS got, min(rank) AS first_hit FROM f GROUP BY 1)
+  SELECT case_id, round(coalesce(got, 0) / CAST(expected AS DOUBLE), 6) AS recall, CASE WHEN got > 0 THEN 1.0::DOUBLE END AS precision, coalesce(first_hit, -1) AS first_hit FROM w LEFT JOIN g USING (case_id)""")
+def recall_precision_at_k(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("evidence_id"), F.col("l_linenumber").alias("rank"), "l_quantity")
+    out = E.retrieval_metrics(li, li.filter("l_quantity > 20"), 3)
+    return out.select("case_id", F.round("recall", 6).alias("recall"), "precision", "first_hit")
+
+
+@query("metric_distribution", """SELECT event_type, count(value) AS count, min(value) AS min, round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(value) AS max, round(stddev_pop(value), 6) AS stddev FROM events GROUP BY 1""")
+def metric_distribution(spark, sf_dir):
+    out = E.distribution(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.select("event_type", "count", "min", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "max", F.round("stddev", 6).alias("stddev"))
+
+
+@query("efficiency_per_success", """SELECT event_type, user_id % 5 AS g, count(*) AS attempted, sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS successful,
+  round(CASE WHEN sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) > 0 THEN sum(value) / sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) END, 6) AS per_success FROM events GROUP BY 1, 2""")
+def efficiency_per_success(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").withColumns({"g": F.col("user_id") % 5, "success": F.col("event_id") % 3 == 0, "observer": F.lit("o")})
+    return E.per_success(runs, ["event_type", "g"], "value").withColumn("per_success", F.round("per_success", 6))
+
+
+@query("variant_savings", """WITH r AS (SELECT o_custkey AS case_id, o_orderpriority AS variant, sum(o_totalprice) AS m, bool_and(o_orderstatus <> 'P') AS s FROM orders GROUP BY 1, 2), b AS (SELECT case_id, m AS bm, s AS bs FROM r WHERE variant = '1-URGENT'),
+  j AS (SELECT case_id, variant, m, bm, CASE WHEN bs IS NULL THEN 'baseline_missing' WHEN NOT bs THEN 'baseline_unsuccessful' WHEN NOT s THEN 'candidate_unsuccessful' END AS reason FROM r LEFT JOIN b USING (case_id) WHERE variant <> '1-URGENT')
+  SELECT case_id, variant, reason IS NULL AS comparable, reason, round(CASE WHEN reason IS NULL AND bm > 0 THEN 1 - m / bm END, 6) AS saving FROM j""")
+def variant_savings(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("variant")).agg(F.sum("o_totalprice").alias("m"), F.bool_and(F.col("o_orderstatus") != "P").alias("success"))
+    return E.savings(runs, "1-URGENT", "m").withColumn("saving", F.round("saving", 6))
+
+
+@query("evaluation_summary", """SELECT count(*) AS cases, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed, count(*) FILTER (WHERE o_orderstatus = 'O') AS failed, 0::BIGINT AS abstained,
+  round(avg(CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 2 END), 6) AS mean_recall, round(avg(o_custkey % 3), 6) AS mean_precision FROM orders""")
+def evaluation_summary(spark, sf_dir):
+    o = F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.when(o == "F", "completed").when(o == "O", "failed").otherwise("other").alias("outcome"), F.when(F.col("o_custkey") % 4 > 0, F.col("o_custkey") % 2).alias("recall"), (F.col("o_custkey") % 3).alias("precision"))
+    return E.summary(rows).withColumns({"mean_recall": F.round("mean_recall", 6), "mean_precision": F.round("mean_precision", 6)})
+
+
+@query("coverage_status", """WITH c AS (SELECT o_custkey AS scope, bool_or(o_orderstatus NOT IN ('F', 'O')) AS bad FROM orders GROUP BY 1), g AS (SELECT DISTINCT c_custkey AS scope FROM customer WHERE c_acctbal < 0)
+  SELECT coalesce(c.scope, g.scope) AS scope, coalesce(bad, false) OR g.scope IS NOT NULL AS partial FROM c FULL JOIN g ON c.scope = g.scope""")
+def coverage_status(spark, sf_dir):
+    cov = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.when(F.col("o_orderstatus") == "F", "produced").when(F.col("o_orderstatus") == "O", "not_applicable").otherwise("limited").alias("state"))
+    gaps = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("scope"))
+    return E.coverage_status(cov, gaps, gaps.limit(0))
+
+
+@query("locator_overlap_match", """WITH x AS (SELECT l_orderkey AS case_id, l_linenumber AS id, l_partkey % 50 AS path, greatest(l_suppkey % 20, 1) AS s, greatest(l_suppkey % 20 + 5, greatest(l_suppkey % 20, 1)) AS e FROM lineitem WHERE l_returnflag = 'R'),
+  a AS (SELECT l_orderkey AS case_id, l_linenumber AS id, l_partkey % 50 AS path, greatest(l_suppkey % 30, 1) AS s, greatest(l_suppkey % 30 + 3, greatest(l_suppkey % 30, 1)) AS e FROM lineitem WHERE l_returnflag <> 'R')
+  SELECT case_id, x.id AS expected_id, a.id AS actual_id FROM x JOIN a USING (case_id, path) WHERE x.s <= a.e AND a.s <= x.e""")
+def locator_overlap_match(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+
+    def side(rows, name, mod, length):
+        return rows.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias(name), (F.col("l_partkey") % 50).alias("path"), (F.col("l_suppkey") % mod).alias("start_line"), (F.col("l_suppkey") % mod + length).alias("end_line"))
+
+    out = E.overlapping(side(li.filter("l_returnflag = 'R'"), "expected_id", 20, 5), side(li.filter("l_returnflag <> 'R'"), "evidence_id", 30, 3))
+    return out.select("case_id", "expected_id", "actual_id")
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    from quarrylight.streaming.jobs import event_windows as windows
+
+    return windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- sources to facts ----------------------------------------------------------------------------
+
+
+@query("markup_extract")
+def markup_extract(spark, sf_dir):
+    """Observations in the pages' markup; a page that isn't well-formed is a failure row."""
+    return X.xml_observations(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text")))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers as small source files: a class per part with its calls."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.lit("Part"), F.col("p_partkey"))
+    java = F.format_string("package shop.%s;\nimport shop.Base;\npublic class %s extends Base {\n  // class Hidden {}\n  public int size() { return Stock.count(%d); }\n}\n", F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", ""), name, F.col("p_size"))
+    return p.select(F.concat(F.lit("src/"), name, F.lit(".java")).alias("path"), java.alias("text"), F.lower(F.regexp_replace("p_brand", "(?i)[^a-z0-9]", "")).alias("brand"), name.alias("name"))
+
+
+@query("java_extract", """SELECT 'src/Part' || p_partkey || '.java' AS path, unnest([1, 2, 3, 3, 5, 5]) AS line, unnest(['package', 'import', 'type', 'extends', 'method', 'call']) AS type,
+  unnest(['shop.' || regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g'), 'shop.Base', 'Part' || p_partkey, 'Base', 'size', 'Stock.count']) AS name,
+  unnest([NULL, NULL, 'class', 'Part' || p_partkey, NULL, NULL]) AS detail FROM part""")
+def java_extract(spark, sf_dir):
+    return X.java_observations(sources(spark, sf_dir))
+
+
+@query("python_extract", """SELECT 'p' || p_partkey || '.py' AS path, unnest([1, 2, 3, 4]) AS line, unnest(['import', 'symbol', 'symbol', 'framework_call']) AS type,
+  unnest(['a.b', 'C' || p_partkey, 'C' || p_partkey || '.m', p_brand]) AS name, unnest(['from', 'class', 'function', 'get_doc']) AS detail FROM part""")
+def python_extract(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    text = F.format_string("from a import b\nclass C%d:\n  def m(self):\n    return frappe.get_doc('%s')  # import x\n", "p_partkey", "p_brand")
+    return X.python_observations(p.select(F.concat(F.lit("p"), F.col("p_partkey"), F.lit(".py")).alias("path"), text.alias("text")))
+
+
+@query("xml_extract", """SELECT 's' || s_suppkey || '.xml' AS path, unnest([1, 2, 3]) AS line, unnest(['type', 'endpoint', 'gap']) AS type,
+  unnest(['P' || s_suppkey, 'http://h/' || s_suppkey, 'dynamic_expression']) AS name, unnest(['proxy', 'address', 'property.value']) AS detail FROM supplier""")
+def xml_extract(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    text = F.format_string('<proxy name="P%d">\n<address uri="http://u:p@h/%d?token=1"/>\n<property value="${x}"/></proxy>', "s_suppkey", "s_suppkey")
+    return X.xml_observations(s.select(F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".xml")).alias("path"), text.alias("text")))
+
+
+@query("java_facts", """SELECT predicate, count(*) AS facts FROM (
+  SELECT unnest(['artifact', 'membership', 'symbol', 'definition', 'symbol_m', 'definition', 'reference', 'dependency', 'dependency', 'call']) AS predicate, p_partkey FROM part) WHERE predicate <> 'symbol_m' GROUP BY 1
+  UNION ALL SELECT 'named_element', count(DISTINCT p_brand) FROM part""")
+def java_facts(spark, sf_dir):
+    from quarrylight.operators.normalize import normalize
+
+    facts = normalize(X.java_observations(sources(spark, sf_dir)), "java", "s")
+    # of the methods' symbols, which all files share, there is one fact
+    return facts.filter("not (predicate = 'symbol' and subject_id = 'size')").groupBy("predicate").agg(F.count("*").alias("facts"))
+
+
+@query("generic_extract", "SELECT CAST(doc_id AS VARCHAR) AS path, len(string_split(text, chr(10))) AS n FROM documents")
+def generic_extract(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    out = X.generic_observations(d).join(d.select("path", F.size(F.split("text", "\n", -1)).cast("long").alias("n")), "path")
+    return out.select("path", "n")
+
+
+@query("job_state_machine", """WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS job_id, n, CASE WHEN n >= 3 THEN 2 ELSE n - 1 END AS stage FROM e""")
+def job_state_machine(spark, sf_dir):
+    """Each user's events as a job: the first claims it, later ones advance it to
+    the third stage at most."""
+    from pyspark.sql import Window
+
+    from quarrylight.streaming.jobs import job_states
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(w).cast("long"))
+    ev = e.select(F.col("user_id").cast("string").alias("job_id"), "seq", F.when(F.col("seq") == 1, "claim").otherwise("advance").alias("event"), F.col("seq").alias("at"), F.lit(1_000_000).cast("long").alias("lease"), F.least(F.col("seq") - 1, F.lit(2)).cast("int").alias("stage"), F.col("seq").alias("processed"))
+    return job_states(ev).groupBy("job_id").agg(F.count_if("accepted").alias("n"), F.max("stage").cast("long").alias("stage"))
