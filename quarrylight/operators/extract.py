@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pandas as pd
@@ -217,6 +218,29 @@ def xml_observations(files: DataFrame) -> DataFrame:
     return _rows(files, _xml)
 
 
+def _html(text: str) -> Iterator[tuple[int, str, str, str | None]]:
+    out: list[tuple[int, str, str, str | None]] = []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attributes):
+            n, _ = self.getpos()
+            for k, v in attributes:
+                if v and k in ("href", "src"):
+                    out.append((n, "include" if k == "src" or tag == "link" else "reference", clean_literal(v), f"{tag}.{k}"))
+                elif v and k == "content":
+                    out.append((n, "config", clean_literal(v), tag))
+
+    reader = Reader()
+    reader.feed(text)
+    reader.close()
+    yield from out
+
+
+def html_observations(files: DataFrame) -> DataFrame:
+    """References, includes and metadata of pages, however ill-formed."""
+    return _rows(files, _html)
+
+
 def generic_observations(files: DataFrame, most_lines: int = 8) -> DataFrame:
     """One inventory row per file with its first block of non-blank lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")

@@ -577,8 +577,8 @@ def event_windows(spark, sf_dir):
 
 @query("markup_extract")
 def markup_extract(spark, sf_dir):
-    """Observations in the pages' markup; a page that isn't well-formed is a failure row."""
-    return X.xml_observations(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text")))
+    """References, includes and metadata in the pages' markup."""
+    return X.html_observations(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text")))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def scan_directory(spark: SparkSession, root: str, include: tuple[str, ...] = ()
 
     artifacts: path, size, sha256, classification, format, text (at most
     ``extract_bytes``), truncated. Excluded files aren't opened: their content
-    column is never used.
+    column is never used. Spark doesn't list names that begin with a dot or an
+    underscore, so those are in neither.
     """
     from quarrylight.operators.incremental import limited_walk
 
