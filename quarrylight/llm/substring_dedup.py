@@ -93,7 +93,8 @@ def _unit_shingles(h: np.ndarray, first: np.ndarray, last: np.ndarray, k: int) -
 
 
 def _bands(x: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Units x bands: a hash of each band's minimum hashes."""
+    """Units x bands: 32 bits of a hash of each band's minimum hashes. More would
+    only spare a few false candidates, which verification finds."""
     starts = np.cumsum(n) - n
     low = (x >> np.uint64(32)).astype(np.uint32)
     seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * _GAMMA)
@@ -105,10 +106,10 @@ def _bands(x: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
             y *= np.uint32(0x2C1B3C6D)
             least = np.minimum.reduceat(y, starts).astype(np.uint64)
             out[:, i // rows] = (out[:, i // rows] ^ least) * _GAMMA + np.uint64(i % rows)
-    return mix64(out).astype(np.int64)
+    return (mix64(out) >> np.uint64(32)).astype(np.uint32)
 
 
-_PARAGRAPHS = "doc_id long, start long, stop long, n_words int, key long, n int, bands array<long>"
+_PARAGRAPHS = "doc_id long, start long, stop long, n_words int, key long, bands binary"
 
 
 def _list_paragraphs(bands: int, rows: int, k: int):
@@ -127,10 +128,9 @@ def _list_paragraphs(bands: int, rows: int, k: int):
                 table = _bands(x, n, bands, rows)
                 columns = [
                     pa.array(names[i:j][doc]), pa.array(s[first] - borders[doc]), pa.array(e[last - 1] - borders[doc]), pa.array((last - first).astype(np.int32)),
-                    pa.array(set_keys(x, n).view(np.int64)), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(table.ravel())),
+                    pa.array(set_keys(x, n).view(np.int64)), pa.array([row.tobytes() for row in table], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "n_words", "key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "n_words", "key", "bands"])
 
     return run
 
@@ -158,40 +158,44 @@ def _sets(k: int):
 
 
 def _scatter(fragment_bits: int):
-    """(key, n, bands) -> (bucket, key, n) of every band, packed for each
-    fragment of the bucket hashes."""
+    """(key, bands) -> (bucket, key) of every band, packed for each fragment of
+    the bucket hashes: twelve bytes a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-            table = np.array(batch.column(2).flatten(), np.int64).reshape(batch.num_rows, -1)[at]
-            n = batch.column(1).to_numpy()[at].astype(np.uint32)
+            table = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)[at]
             bands = table.shape[1]
-            h = mix64((table.view(np.uint64) + np.arange(bands, dtype=np.uint64)).ravel())
-            key, size = np.repeat(keys, bands), np.repeat(n, bands)
+            h = mix64((table.astype(np.uint64) | np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(32)).ravel())
+            key = np.repeat(keys, bands)
             fragment = (h >> np.uint64(64 - fragment_bits)).astype(np.int32) if fragment_bits else np.zeros(len(h), np.int32)
+            low = (h >> np.uint64(max(0, 32 - fragment_bits))).astype(np.uint32)
             order = np.argsort(fragment, kind="stable")
             borders = np.searchsorted(fragment[order], np.arange((1 << fragment_bits) + 1))
             full = [f for f in range(1 << fragment_bits) if borders[f] < borders[f + 1]]
             parts = [order[borders[f] : borders[f + 1]] for f in full]
-            columns = [pa.array(full, pa.int32())] + [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (h, key, size)]
-            yield pa.RecordBatch.from_arrays(columns, names=["fragment", "buckets", "keys", "sizes"])
+            columns = [pa.array(full, pa.int32())] + [pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (low, key)]
+            yield pa.RecordBatch.from_arrays(columns, names=["fragment", "buckets", "keys"])
 
     return run
 
 
 def _crowded(table: pa.Table) -> pa.Table:
-    """One fragment's buckets -> (bucket, key, n, pivot) of those with two keys."""
-    h, key, n = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(c)]) for c, k in (("buckets", np.uint64), ("keys", np.int64), ("sizes", np.uint32)))
-    order = np.lexsort((key, h))
-    h, key, n = h[order], key[order], n[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-    h, key, n = h[new], key[new], n[new]
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    count = np.diff(np.concatenate([starts, [len(h)]]))
+    """One fragment's buckets -> (bucket, key, pivot) of those with two keys."""
+    f = np.uint64(table.column("fragment")[0].as_py())
+    low, key = (np.concatenate([np.frombuffer(x.as_py(), k) for x in table.column(c)]) for c, k in (("buckets", np.uint32), ("keys", np.int64)))
+    order = np.lexsort((key, low))
+    low, key = low[order], key[order]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (key[1:] != key[:-1])
+    low, key = low[new], key[new]
+    starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    count = np.diff(np.concatenate([starts, [len(low)]]))
     pivot, many = np.repeat(key[starts], count), np.repeat(count > 1, count)
-    return pa.table({"bucket": h[many].view(np.int64), "key": key[many], "n": n[many].astype(np.int32), "pivot": pivot[many]})
+    bucket = (f << np.uint64(32) | low.astype(np.uint64)).view(np.int64)
+    return pa.table({"bucket": bucket[many], "key": key[many], "pivot": pivot[many]})
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -215,8 +219,8 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> D
     entries = found.count() * bands
     bits = max(0, math.ceil(math.log2(max(1.0, entries / PER_FRAGMENT))))
     bits = max(bits, int(math.log2(max(1, min(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
-    packed = found.select("key", "n", "bands").mapInArrow(_scatter(bits), "fragment int, buckets binary, keys binary, sizes binary")
-    crowded = materialize(packed.groupBy("fragment").applyInArrow(_crowded, "bucket long, key long, n int, pivot long"), "crowded-buckets")
+    packed = found.select("key", "bands").mapInArrow(_scatter(bits), "fragment int, buckets binary, keys binary")
+    crowded = materialize(packed.groupBy("fragment").applyInArrow(_crowded, "bucket long, key long, pivot long"), "crowded-buckets")
     # one occurrence stands for all with the same shingles
     wanted = found.join(crowded.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
     wanted = wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.stop", "key")).alias("places"))
@@ -226,10 +230,10 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> D
     pairs = crowded.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     links = materialize(_verified(pairs, sets), "paragraph-links")
     labels = connected_components(links, "paragraph-components")
-    homed = crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("home"))
+    homed = crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", F.coalesce("component", "key").alias("home"))
     homed = materialize(homed, "homed-buckets")
     mixed = homed.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("bucket")
-    left = homed.join(mixed, "bucket", "left_semi")
+    left = homed.join(mixed, "bucket", "left_semi").join(sets.select("key", "n"), "key")
     p = left.select("bucket", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("xa"))
     q = left.select("bucket", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("xb"))
     more = p.join(q, "bucket").filter("ha < hb and 4 * xa >= 3 * xb and 4 * xb >= 3 * xa").select("a", "b").distinct()
