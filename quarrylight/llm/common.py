@@ -48,9 +48,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """Just the named columns, so that extra columns can't clash with our own."""
-    return df.select(*[df[n] for n in names])
+class Scratch:
+    """Intermediate tables that go once the results are written: what a lazy
+    result still reads must not be kept here."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, new_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *, but_last: bool = False) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for k in range(1, self.n + 1 - but_last):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{k}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 # --- words and shingles of UTF-8 buffers -------------------------------------

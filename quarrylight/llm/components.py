@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import materialize
+from quarrylight.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,14 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     smallest id reachable. Loops, repeated edges and nulls are left out; ids
     without an edge to another don't appear. No edges: no rows."""
     now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct()
-    seen = None
+    seen, steps = None, Scratch(edges.sparkSession, name)
     while True:
-        now = materialize(_small_star(_large_star(now)), name)
+        now = steps.keep(_small_star(_large_star(now)))
+        steps.drop(but_last=True)
         found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if found["n"] == 0 or (found["n"], found["x"]) == seen:
             break
         seen = (found["n"], found["x"])
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+    out = steps.keep(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct()))
+    steps.drop(but_last=True)
+    return out

@@ -45,7 +45,8 @@ def _pairs(text: Column) -> Column:
 
 def templates(spark: SparkSession, values=TEMPLATES) -> DataFrame:
     """license, template, pair, weight: unit vectors, one row for each pair."""
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(values)], "template int, license string, notice string")
+    each = [F.struct(F.lit(i).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("notice")) for i, (a, b) in enumerate(values)]
+    rows = spark.range(1).select(F.inline(F.array(*each)))
     tf = rows.select("template", "license", F.explode(_pairs(F.col("notice"))).alias("pair")).groupBy("template", "license", "pair").agg(F.count("*").alias("tf"))
     df = tf.groupBy("pair").agg(F.count_distinct("template").alias("df"))
     weighted = tf.join(df, "pair").withColumn("idf", F.log1p(F.lit(float(len(values))) / F.col("df"))).withColumn("w", F.col("tf") * F.col("idf"))

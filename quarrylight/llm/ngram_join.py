@@ -11,7 +11,7 @@ of the pair's shared shingles, summed for the pair. Candidates come in two
 turns, so that large groups of near copies never give all their pairs:
 
 1. documents that agree in a few minimum hashes are paired with one of them, and
-   verified links make first components; then, a few times, documents of a
+   verified links make first components; then documents of a
    prefix shingle are paired with one of its largest component;
 2. the complete turn: documents that share a shingle of their prefix, rare
    shingles first (two sets with 75 % overlap must), and are not in one
@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _GAMMA, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_hashes
+from quarrylight.llm.common import _GAMMA, Scratch, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_hashes
 from quarrylight.llm.components import connected_components
 
 #: Shingles of a fragment, about; and those that a task holds before it sends them.
 PER_FRAGMENT = 3_000_000
 HELD = 4_000_000
 _SIGNATURES = 48
-_ROUNDS = 2
+_ROUNDS = 1
 _SUPER = 2  # partial overlaps are counted in 2**_SUPER ranges of a pair's shingles
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -243,13 +243,13 @@ def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return summed.filter("7 * overlap >= 3 * (na + nb)").select("a", "b")
 
 
-def _in_mixed_company(places: DataFrame, labels: DataFrame) -> DataFrame:
+def _in_mixed_company(places: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Prefix entries of shingles that two components share, with their home
     component and its size."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     known = labels.join(sizes, "component").select(F.col("id").alias("key"), F.col("component"), "size")
     placed = places.join(known, "key", "left").select("item", "key", "n", "shared", "at", F.coalesce("component", "key").alias("home"), F.coalesce("size", F.lit(1)).alias("size"))
-    placed = materialize(placed, "homes")
+    placed = scratch.keep(placed)
     mixed = placed.groupBy("item").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("item")
     return placed.join(mixed, "item", "left_semi")
 
@@ -268,39 +268,40 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / 6 / PER_FRAGMENT)))))
     bits = max(bits, int(np.floor(np.log2(max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))))))
     shared = rows.mapInArrow(_cut(bits, k), _BLOBS).groupBy("fragment").applyInArrow(_shared(bits, 1 << bits), _SEGMENTS)
-    shared = materialize(shared, "shared-shingles")
+    scratch = Scratch(spark, "ngram-join")
+    shared = scratch.keep(shared)
     documents = materialize(shared.filter(F.octet_length("doc_ids") > 0).select("doc_ids", "doc_keys", "doc_sizes").mapInArrow(_list_documents, "doc_id long, key long, n_shingles long"), "shingle-sets")
-    sets = materialize(shared.drop("doc_ids").groupBy("bucket").applyInArrow(_assemble, _SETS), "linkable-sets")
+    sets = scratch.keep(shared.drop("doc_ids").groupBy("bucket").applyInArrow(_assemble, _SETS))
     segments = sets.filter("range >= 0").select("key", "n", "range", "items")
     heads = sets.filter("range = -1")
 
     # first turn: one partner for each run of minimum hashes
     signed = heads.select("key", F.posexplode("signature").alias("turn", "value"))
     pivots = signed.groupBy("turn", "value").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    pairs = signed.join(pivots, ["turn", "value"]).filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    first = materialize(verified(pairs, segments), "first-links")
+    pairs = scratch.keep(signed.join(pivots, ["turn", "value"]).filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
+    first = scratch.keep(verified(pairs, segments))
     labels = connected_components(first, "first-components")
 
     # then with one other at each shingle of the prefix
     unique = F.col("n") - F.col("shared")
     places = heads.select("key", "n", "shared", unique.alias("u"), F.posexplode("prefix").alias("i", "item"))
-    places = materialize(places.select("item", "key", "n", "shared", (F.col("u") + F.col("i")).cast("int").alias("at")), "prefixes")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    places = scratch.keep(places.select("item", "key", "n", "shared", (F.col("u") + F.col("i")).cast("int").alias("at")))
+    tried = pairs
     for _ in range(_ROUNDS):
         # of edited copies of one text, the one that shares most is closest to all
-        mixed = _in_mixed_company(places, labels)
+        mixed = _in_mixed_company(places, labels, scratch)
         most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
         star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
         star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        star = materialize(star, "star-pairs")
-        new = materialize(verified(star, segments), "star-links")
+        star = scratch.keep(star)
+        new = scratch.keep(verified(star, segments))
         tried = tried.union(star)
         if new.isEmpty():
             break
         labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), "star-components")
 
     # second turn: every pair that shares a prefix shingle, across components
-    left = _in_mixed_company(places, labels)
+    left = _in_mixed_company(places, labels, scratch)
     p = left.select("item", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("na"), F.col("at").alias("pa"))
     q = left.select("item", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     # at the first shared shingle nothing before it overlaps: the rest must be enough
@@ -308,7 +309,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     more = p.join(q, "item").filter(enough).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     second = verified(more, segments)
     links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second)
-    return documents, connected_components(links, "components")
+    components = connected_components(links, "components")
+    scratch.drop()
+    return documents, components
 
 
 def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:

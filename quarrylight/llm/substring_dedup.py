@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_ranges
+from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_ranges
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.ngram_join import set_keys
 
@@ -220,18 +220,19 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> D
     bits = max(0, math.ceil(math.log2(max(1.0, entries / PER_FRAGMENT))))
     bits = max(bits, int(math.log2(max(1, min(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
     packed = found.select("key", "bands").mapInArrow(_scatter(bits), "fragment int, buckets binary, keys binary")
-    crowded = materialize(packed.groupBy("fragment").applyInArrow(_crowded, "bucket long, key long, pivot long"), "crowded-buckets")
+    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    crowded = scratch.keep(packed.groupBy("fragment").applyInArrow(_crowded, "bucket long, key long, pivot long"))
     # one occurrence stands for all with the same shingles
     wanted = found.join(crowded.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
     wanted = wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.stop", "key")).alias("places"))
     sets = texts.join(wanted, "doc_id").select("text", "places").mapInArrow(_sets(k), "key long, n int, items array<long>").dropDuplicates(["key"])
-    sets = materialize(sets, "paragraph-sets")
+    sets = scratch.keep(sets)
 
-    pairs = crowded.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = materialize(_verified(pairs, sets), "paragraph-links")
+    pairs = scratch.keep(crowded.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
+    links = scratch.keep(_verified(pairs, sets))
     labels = connected_components(links, "paragraph-components")
     homed = crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", F.coalesce("component", "key").alias("home"))
-    homed = materialize(homed, "homed-buckets")
+    homed = scratch.keep(homed)
     mixed = homed.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("bucket")
     left = homed.join(mixed, "bucket", "left_semi").join(sets.select("key", "n"), "key")
     p = left.select("bucket", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("xa"))
@@ -240,6 +241,7 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> D
     more = more.join(pairs, ["a", "b"], "left_anti")
     edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_verified(more, sets))
     components = connected_components(edges, "paragraph-clusters")
+    scratch.drop()
 
     occurrences = found.select("doc_id", "start", "stop", "n_words", "key").distinct()
     placed = occurrences.join(components, F.col("key") == F.col("id"), "left").select("doc_id", "start", "stop", "n_words", F.coalesce("component", "key").alias("cluster"))
