@@ -141,18 +141,20 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            keys, sizes, items = [], [], []
-            for row, places in enumerate(batch.column(1).to_pylist()):
-                text = data[offsets[row] : offsets[row + 1]]
-                for p in places:
-                    part = text[p["start"] : p["stop"]]
-                    s, e = word_ranges(part, np.array([0, len(part)]))
-                    x, n = _unit_shingles(Hasher(part, _BYTE_FOLDED).of(s, e), np.array([0]), np.array([len(s)]), k)
-                    if int(set_keys(x, n).view(np.int64)[0]) == p["key"]:  # else another text of this doc_id
-                        keys.append(p["key"])
-                        sizes.append(int(n[0]))
-                        items.append(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(items, pa.list_(pa.int64()))], names=["key", "n", "items"])
+            spans = [(offsets[row] + p["start"], min(offsets[row] + p["stop"], offsets[row + 1]), p["key"]) for row, places in enumerate(batch.column(1).to_pylist()) for p in places]
+            for i in range(0, len(spans), 1024):  # paragraphs are hashed together, as texts that meet at borders
+                parts = [data[a : max(a, b)] for a, b, _ in spans[i : i + 1024]]
+                joined = np.concatenate(parts)
+                borders = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                s, e = word_ranges(joined, borders)
+                at = np.searchsorted(s, borders)
+                h = Hasher(joined, _BYTE_FOLDED).of(s, e) if len(s) else np.zeros(0, np.uint64)
+                x, n = _unit_shingles(h, at[:-1], at[1:], k)
+                keys = np.array([key for _, _, key in spans[i : i + 1024]], np.int64)
+                same = set_keys(x, n).view(np.int64) == keys  # else another text of this doc_id
+                items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.view(np.int64)))
+                rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32)), items], names=["key", "n", "items"])
+                yield rows.filter(pa.array(same))
 
     return run
 
