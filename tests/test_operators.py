@@ -245,3 +245,34 @@ def test_job_machine_on_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [tuple(r) for r in spark.table("jobs").orderBy("seq").collect()] == [tuple(r) for r in batch]
+
+
+def test_embedding_batches_retry_and_isolate_failures(spark):
+    from quarrylight.operators import embedding
+
+    rows = spark.createDataFrame([(f"h{i}", f"t{i}") for i in range(10)] + [("bad", "boom")], "content_hash string, content string").coalesce(1)
+    plain = embedding.seeded_vectors(12)
+
+    def provider(texts):
+        if "boom" in texts:
+            raise ValueError("no")
+        return plain(texts)
+
+    got = {r["content_hash"]: r for r in embedding.embed(rows, provider, batch=5, backoff=0.0).collect()}
+    assert got["bad"]["vector"] is None and got["bad"]["error"].startswith("ValueError")
+    assert got["h3"]["vector"] == pytest.approx(plain(["t3"])[0]) and sum(x * x for x in got["h3"]["vector"]) == pytest.approx(1)
+    item = spark.createDataFrame([("p", "m", "1", 12, True, "ready"), ("p", "m", "2", 12, True, "ready"), ("p", "m", "1", 12, True, "stale")], "provider string, model string, model_version string, dimension int, normalized boolean, state string")
+    profile = {"provider": "p", "model": "m", "model_version": "1", "dimension": 12, "normalized": True}
+    assert [r["action"] for r in embedding.to_rebuild(item, profile).collect()] == ["reuse", "rebuild", "rebuild"]
+
+
+def test_event_windows_on_a_stream(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10) AS ts, 'a' AS event_type, 1.0D AS value FROM range(30)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = jobs.event_windows(stream).writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [(r["n"], r["total"]) for r in spark.table("windows").orderBy("start").collect()] == [(6, 6.0)] * 5
