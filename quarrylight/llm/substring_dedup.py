@@ -1,8 +1,10 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are the lines of a text and, so that a passage inside a long line is
-found as well, stretches of sentences in lines of over ``LONG`` words, cut where
-the hash of a sentence's last word says so; both only from ``MIN_WORDS`` words.
+Paragraphs are the lines of a text and stretches of sentences in lines of over
+``LONG`` words, cut where the hash of a sentence's last word says so; a stretch
+of under ``MIN_WORDS`` words is merged with the next, and lines under it have none.
+So that a passage inside other text is found as well, windows of ``MIN_WORDS``
+words, which begin where the words themselves say, are compared word for word.
 The bands are tuned for high recall at similarity 0.75: pairs there are missed
 with probability 1e-4. Colliding paragraphs are joined and their exact Jaccard
 similarity of 5-word shingles verified; components of verified links are
@@ -45,6 +47,60 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, most: int =
     return best
 
 
+def _stretches(first: np.ndarray, last: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Stretches of lines between cuts, which hold all words of a line: one under
+    the minimum goes on to the next cut, the last one may join the one before."""
+    out: list[tuple[int, int]] = []
+    for a, b, i, j in zip(first.tolist(), last.tolist(), np.searchsorted(cuts, first, "right").tolist(), np.searchsorted(cuts, last, "left").tolist(), strict=True):
+        edges = [a]
+        for c in cuts[i:j].tolist():
+            if c - edges[-1] >= MIN_WORDS:
+                edges.append(c)
+        if b - edges[-1] < MIN_WORDS:
+            edges.pop()
+        edges.append(b)
+        if len(edges) > 2:
+            out += zip(edges[:-1], edges[1:], strict=True)
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _windows(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and keys of windows of ``MIN_WORDS`` words in runs of words.
+
+    A window begins where a 5-word shingle has the least hash of ``MIN_WORDS``
+    neighbouring ones, so any passage of ``2 * MIN_WORDS - 1`` words has the
+    same window wherever it stands, and consecutive windows leave no gap; the
+    first and the last words of a run have a window too.
+    """
+    w = MIN_WORDS
+    enough = last - first >= w
+    first, last = first[enough], last[enough]
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        c = mix64((np.arange(w, dtype=np.uint64) + np.uint64(101)) * _GAMMA) | np.uint64(1)
+        grams = mix64(sum(h[j : len(h) - 4 + j] * c[j] for j in range(5)))
+        # a window of starts lies in one run: its first start is no later than the run's last window less w - 1
+        m = last - first - 2 * (w - 1)
+        m = np.maximum(m, 0)
+        lead = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        least = lead + np.lib.stride_tricks.sliding_window_view(grams, w)[lead].argmin(axis=1) if len(lead) else lead
+        at = np.unique(np.concatenate([least, first, last - w]))
+        key = np.zeros(len(at), np.uint64)
+        for j in range(w):
+            key += h[at + j] * c[j]
+    return at, mix64(key)
+
+
+def _lines(data: np.ndarray, borders: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last + 1 word of each line, of words that start at ``s``:
+    a line begins with the first word of a text and the first after a line feed."""
+    feeds = np.cumsum(np.concatenate([[0], data == 10]))
+    line = feeds[s] + np.searchsorted(borders[1:], s, "right")
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return first, np.concatenate([first[1:], [len(s)]])
+
+
 def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Paragraphs of texts that meet at ``borders``: hashes of all words, starts
     and ends of the words, and the first and the last + 1 word of each unit."""
@@ -53,27 +109,12 @@ def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarra
         zero = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), s, e, zero, zero
     h = Hasher(data, _BYTE_FOLDED).of(s, e)
-    # a line begins with the first word of a text and the first after a line feed
-    feeds = np.cumsum(np.concatenate([[0], data == 10]))
-    line = feeds[s] + np.searchsorted(borders[1:], s, "right")
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    last = np.concatenate([first[1:], [len(s)]])
+    first, last = _lines(data, borders, s)
     # stretches of sentences: cut after a word that ends a sentence and has an even hash
-    ends = np.isin(data[e - 1], (46, 33, 63)) & (h & np.uint64(1) == 0)
+    cuts = np.flatnonzero(np.isin(data[e - 1], (46, 33, 63)) & (h & np.uint64(1) == 0)) + 1
     long = last - first > LONG
-    inner = np.zeros(len(s), bool)
-    inner[np.flatnonzero(ends)] = True
-    in_long = np.repeat(long, last - first)
-    cut = np.flatnonzero(inner & in_long) + 1
-    edges = np.unique(np.concatenate([first[long], last[long], cut])) if long.any() else np.zeros(0, np.int64)
-    a, b = edges[:-1], edges[1:]
-    within = in_long[a] if len(a) else np.zeros(0, bool)
-    a, b = a[within], b[within]
-    whole = np.isin(a, first[long]) & np.isin(b, last[long])  # such a stretch is its line
-    same = np.zeros(len(a), bool)
-    at = np.searchsorted(first, a[whole])
-    same[np.flatnonzero(whole)] = last[np.minimum(at, len(last) - 1)] == b[whole]
-    first, last = np.concatenate([first, a[~same]]), np.concatenate([last, b[~same]])
+    inner = _stretches(first[long], last[long], cuts)
+    first, last = np.concatenate([first, inner[:, 0]]), np.concatenate([last, inner[:, 1]])
     keep = last - first >= MIN_WORDS
     order = np.lexsort((last[keep], first[keep]))
     return h, s, e, first[keep][order], last[keep][order]
@@ -135,6 +176,25 @@ def _list_paragraphs(bands: int, rows: int, k: int):
     return run
 
 
+def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> the windows of every text's lines."""
+    for batch in batches:
+        names = np.array(batch.column(0).to_pylist(), np.int64)
+        data, offsets = utf8(batch.column(1))
+        for i, j in groups_of_texts(offsets, 2 * CHUNK):
+            lo = int(offsets[i])
+            part, borders = data[lo : int(offsets[j])], offsets[i : j + 1] - lo
+            s, e = word_ranges(part, borders)
+            if not len(s):
+                continue
+            at, key = _windows(Hasher(part, _BYTE_FOLDED).of(s, e), *_lines(part, borders, s))
+            if not len(at):
+                continue
+            doc = np.searchsorted(borders[1:], s[at], "right")
+            columns = [pa.array(names[i:j][doc]), pa.array(s[at] - borders[doc]), pa.array(e[at + MIN_WORDS - 1] - borders[doc]), pa.array(key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "key"])
+
+
 def _sets(k: int):
     """(text, places) -> key, n, items of the paragraphs at those places."""
 
@@ -255,10 +315,28 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> D
     return out.select("doc_id", "start", "stop", "n_words", "cluster", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"))
 
 
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """One row for each window of ``MIN_WORDS`` words that occurs at least twice,
+    word for word (A-Z as a-z); columns as those of ``paragraph_clusters``."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
+    windows = texts.mapInArrow(_list_windows, "doc_id long, start long, stop long, key long")
+    often = windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    placed = materialize(windows.join(often, "key", "left_semi").distinct(), "windows")
+    kept = placed.groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("kept"), F.count("*").alias("members")).filter("members > 1")
+    out = placed.join(kept, "key")
+    stays = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.stop")) & (F.col("stop") > F.col("kept.start"))
+    return out.select("doc_id", "start", "stop", F.lit(MIN_WORDS).alias("n_words"), F.col("key").alias("cluster"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"))
+
+
 def removals(docs: DataFrame, **options) -> DataFrame:
-    """The paragraphs to remove: doc_id, start, stop, n_words, cluster,
-    kept_doc_id, kept_start."""
-    return paragraph_clusters(docs, **options).filter("removed").drop("removed")
+    """What to remove: doc_id, start, stop, n_words, cluster, kept_doc_id,
+    kept_start. Repeated paragraphs, and repeated windows outside of them."""
+    paragraphs = materialize(paragraph_clusters(docs, **options).filter("removed").drop("removed"), "removals")
+    windows = repeated_windows(docs).filter("removed").drop("removed")
+    spans = paragraphs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    inside = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop")))
+    beside = windows.join(spans, F.col("doc_id") == F.col("_id"), "left").filter(F.col("spans").isNull() | ~inside).select(paragraphs.columns)
+    return paragraphs.unionByName(beside)
 
 
 def _without(at_text: int, at_spans: int, at_chars: int | None, columns: list[str]):

@@ -324,6 +324,39 @@ def test_repeated_passages_are_found(spark):
     assert all(clean[i] == t for i, t in rows[:30])
 
 
+def removed_words(out, texts):
+    """(doc_id, word) of all words that lie in a removed span."""
+    cuts = {(r["doc_id"], r["start"], r["stop"]) for r in out}
+    return {(i, texts[i].encode()[m.start() : m.end()].decode()) for i, a, b in cuts for m in WORD.finditer(texts[i].encode()) if a <= m.start() and m.end() <= b}
+
+
+@pytest.mark.parametrize("mark", ["", "."])
+def test_passages_inside_lines_are_found(spark, mark):
+    """Of 51 words and more, in the middle of a line, at other places than their
+    first occurrence; with sentences of seven words or none."""
+    rng = random.Random(9)
+    new = iter(range(10**6))
+
+    def words(n):
+        return [f"w{next(new)}x{rng.random()}"[:12] + (mark if i % 7 == 6 else "") for i in range(n)]
+
+    passages = [words(51 + i % 10) for i in range(40)]
+    texts = {i: " ".join(words(rng.randrange(30, 80)) + p + words(rng.randrange(30, 80))) for i, p in enumerate(passages)}
+    texts |= {100 + i: " ".join(words(rng.randrange(30, 80)) + p + words(rng.randrange(30, 80))) for i, p in enumerate(passages)}
+    gone = removed_words(substring_dedup.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    for i, p in enumerate(passages):
+        assert sum((100 + i, w) in gone for w in p) >= 25
+    assert gone <= {(100 + i, w) for i, p in enumerate(passages) for w in p} if not mark else all(i >= 100 for i, _ in gone)
+
+
+def test_stretches_hold_every_word_of_a_line():
+    rng = random.Random(10)
+    text = " ".join(f"w{rng.random()}" + ("." if rng.random() < 0.2 else "") for _ in range(900)).encode()
+    _, s, _, first, last = substring_dedup._units(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    inner = [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b - a < len(s)]
+    assert len(inner) > 5 and {w for a, b in inner for w in range(a, b)} == set(range(900))
+
+
 def test_paragraph_pairs_are_brute_force(spark, docs):
     paragraphs = []
     for r in docs.collect():
