@@ -2,9 +2,10 @@
 
 Paragraphs are the lines of a text and stretches of sentences in lines of over
 ``LONG`` words, cut where the hash of a sentence's last word says so; a stretch
-of under ``MIN_WORDS`` words is merged with the next, and lines under it have none.
-So that a passage inside other text is found as well, windows of ``MIN_WORDS``
-words, which begin where the words themselves say, are compared word for word.
+of under ``MIN_WORDS`` words is merged with the next, and neighbouring lines under
+it are one paragraph. So that a passage inside other text is found as well, however
+its lines are broken, windows of ``MIN_WORDS`` words, which begin where the words
+themselves say, are compared word for word.
 The bands are tuned for high recall at similarity 0.75: pairs there are missed
 with probability 1e-4. Colliding paragraphs are joined and their exact Jaccard
 similarity of 5-word shingles verified; components of verified links are
@@ -101,6 +102,24 @@ def _lines(data: np.ndarray, borders: np.ndarray, s: np.ndarray) -> tuple[np.nda
     return first, np.concatenate([first[1:], [len(s)]])
 
 
+def _runs(borders: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last + 1 word of each text that has words."""
+    at = np.unique(np.searchsorted(s, borders))
+    return at[:-1], at[1:]
+
+
+def _blocks(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, last: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of at least two lines under the minimum, up to a blank line, a longer
+    line or the text's end."""
+    short = last - first < MIN_WORDS
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    text = np.searchsorted(borders[1:], s[first], "right")
+    joined = short[1:] & short[:-1] & (text[1:] == text[:-1]) & (feeds[s[first[1:]]] - feeds[e[last[:-1] - 1]] == 1)
+    a = np.flatnonzero(np.concatenate([[True], ~joined]))
+    b = np.concatenate([a[1:], [len(first)]]) - 1
+    return first[a[b > a]], last[b[b > a]]
+
+
 def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Paragraphs of texts that meet at ``borders``: hashes of all words, starts
     and ends of the words, and the first and the last + 1 word of each unit."""
@@ -114,7 +133,8 @@ def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cuts = np.flatnonzero(np.isin(data[e - 1], (46, 33, 63)) & (h & np.uint64(1) == 0)) + 1
     long = last - first > LONG
     inner = _stretches(first[long], last[long], cuts)
-    first, last = np.concatenate([first, inner[:, 0]]), np.concatenate([last, inner[:, 1]])
+    a, b = _blocks(data, s, e, first, last, borders)
+    first, last = np.concatenate([first, inner[:, 0], a]), np.concatenate([last, inner[:, 1], b])
     keep = last - first >= MIN_WORDS
     order = np.lexsort((last[keep], first[keep]))
     return h, s, e, first[keep][order], last[keep][order]
@@ -177,7 +197,7 @@ def _list_paragraphs(bands: int, rows: int, k: int):
 
 
 def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> the windows of every text's lines."""
+    """(doc_id, text) -> the windows of every text."""
     for batch in batches:
         names = np.array(batch.column(0).to_pylist(), np.int64)
         data, offsets = utf8(batch.column(1))
@@ -187,7 +207,7 @@ def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             s, e = word_ranges(part, borders)
             if not len(s):
                 continue
-            at, key = _windows(Hasher(part, _BYTE_FOLDED).of(s, e), *_lines(part, borders, s))
+            at, key = _windows(Hasher(part, _BYTE_FOLDED).of(s, e), *_runs(borders, s))
             if not len(at):
                 continue
             doc = np.searchsorted(borders[1:], s[at], "right")

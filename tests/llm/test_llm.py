@@ -349,6 +349,37 @@ def test_passages_inside_lines_are_found(spark, mark):
     assert gone <= {(100 + i, w) for i, p in enumerate(passages) for w in p} if not mark else all(i >= 100 for i, _ in gone)
 
 
+def test_passages_of_short_lines_are_found(spark):
+    """Wrapped, and wrapped elsewhere; and a near copy of a paragraph of verse."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"w{rng.random()}"[:12] for _ in range(n)]
+
+    def wrap(w, n):
+        return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+    passages, verse = [words(51 + i) for i in range(20)], words(80)
+    texts = {i: "\n".join([wrap(words(31), 9), wrap(p, 12), wrap(words(40), 9)]) for i, p in enumerate(passages)}
+    texts |= {100 + i: "\n".join([wrap(words(44), 10), wrap(p, 12 - i % 3), wrap(words(35), 10)]) for i, p in enumerate(passages)}
+    for i in (200, 201):
+        texts[i] = f"{wrap(words(40), 8)}\n\n{wrap(verse, 8)}\n \n{wrap(words(40), 8)}"
+        verse = [*verse[:20], "changed", *verse[21:40], "too", *verse[41:]]
+    gone = removed_words(substring_dedup.removals(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+    for i, p in enumerate(passages):
+        assert sum((100 + i, w) in gone for w in p) >= 25
+    assert {w for i, w in gone if i == 201} == {*verse} and all(i >= 100 and i != 200 for i, _ in gone)
+
+
+def test_windows_hold_every_word_of_a_text():
+    rng = random.Random(12)
+    text = "\n".join(" ".join(f"w{rng.random()}" for _ in range(rng.randrange(1, 15))) for _ in range(200)).encode()
+    data, borders = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    s, e = common.word_ranges(data, borders)
+    at, _ = substring_dedup._windows(common.Hasher(data, common._BYTE_FOLDED).of(s, e), *substring_dedup._runs(borders, s))
+    assert {w for a in at.tolist() for w in range(a, a + 25)} == set(range(len(s))) and len(at) < len(s) / 10
+
+
 def test_stretches_hold_every_word_of_a_line():
     rng = random.Random(10)
     text = " ".join(f"w{rng.random()}" + ("." if rng.random() < 0.2 else "") for _ in range(900)).encode()
