@@ -1,9 +1,9 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
 Built-in functions only. A document's header (its lines up to the first blank
-one, and any line that names a licence) or a licence file's whole text becomes a
-sparse vector of word pairs weighted by TF-IDF, with document frequencies over
-the templates. The cosine to each template is a join on the pairs, so only
+one), its blocks and sentences, lines that name a licence with their neighbours,
+and a licence file's whole text become sparse vectors of word pairs weighted by
+TF-IDF, with document frequencies over the templates. The cosine to each template is a join on the pairs, so only
 documents that share a pair with a template are looked at further. Files without
 a licence of their own inherit that of the nearest directory above which has a
 licence file: each file is joined with its ancestor directories, and the deepest
@@ -12,9 +12,33 @@ wins.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.llm.common import materialize
+
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+    "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: Identifiers, and the notices by which a header states them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -28,9 +52,22 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("Proprietary", "All rights reserved."),
+    # whole files, and the titles of those that are too long to be held here
+    ("MIT", f"MIT License Copyright (c) {_MIT}"),
+    ("BSD-3-Clause", f"Copyright (c) All rights reserved. {_BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_AS_IS}"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    # paragraphs of headers
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
 )
-#: Lines that may state a licence.
-_HINT = r"(?i)licen[sc]|copyright|all rights reserved|redistribution and use|permission is hereby|creative commons"
+#: Notices that may state a licence; every one that matches holds one of _PARTS.
+_HINT = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|redistribution\W+and\W+use|permission\W+is\W+hereby|permission\W+to\W+use|creative\W+commons"
+_PARTS = ("licen", "copyright", "rights", "redistribution", "permission", "creative")
+#: Marks of comments at the ends of a line.
+_MARKS = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+)?\s*|\s*(?:\*+/|-->)?\s*$"
+#: Lines before and after one that may state a licence.
+_AROUND = ((0, 1), (1, 0), (0, 2), (1, 1), (2, 0), (0, 3), (1, 2), (2, 1), (3, 0))
 _LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
@@ -54,26 +91,53 @@ def templates(spark: SparkSession, values=TEMPLATES) -> DataFrame:
     return weighted.join(norm, "template").select("template", "license", "pair", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _notices(text: Column) -> Column:
+    """(line, notice) of what may state a licence, without comment marks: single
+    lines with and without neighbours, the header, blocks between blank lines,
+    and the sentences of blocks."""
+    lines = F.transform(F.split(text, "\\r?\\n"), lambda x: F.regexp_replace(x, _MARKS, ""))
+    plain = F.array_join(lines, "\n")
+
+    def hints(x: Column) -> Column:
+        return F.filter(x, lambda y: y["notice"].rlike(_HINT))
+
+    def of(line: Column, notice: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), notice.alias("notice"))
+
+    single = hints(F.transform(lines, lambda x, i: of(i, x)))
+    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _AROUND])
+    # slices past the end are cut; those before the start have fewer lines
+    around = F.flatten(F.transform(single, lambda x: F.transform(spans, lambda y: of(F.greatest(x["line"] - y["a"], F.lit(0)), F.array_join(F.slice(lines, F.greatest(x["line"] - y["a"], F.lit(0)) + 1, F.least(x["line"], y["a"]) + y["b"] + 1), " ")))))
+    header = F.array(of(F.lit(0), F.array_join(F.transform(F.split(F.get(F.split(F.ltrim(text), r"\n[ \t\r]*\n", 2), F.lit(0)), "\n"), lambda x: F.regexp_replace(x, _MARKS, "")), " ")))
+    blocks = hints(F.transform(F.split(plain, "\n\n"), lambda x, i: of(i, x)))
+    placed = F.transform(blocks, lambda x: of(F.when(x["line"] == 0, F.lit(0)).otherwise(F.size(F.split(F.call_function("substring_index", plain, F.lit("\n\n"), x["line"]), "\n")) + 1), x["notice"]))
+    sentences = hints(F.flatten(F.transform(placed, lambda x: F.transform(F.split(x["notice"], r"(?<=[.!?])\s+"), lambda y: of(x["line"], y)))))
+    return F.array_distinct(F.concat(single, around, hints(header), placed, sentences))
+
+
 def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> DataFrame:
     """file_id, license, similarity, line of each file that states a licence.
 
-    Every line that may state one is compared as a vector of its own, whole
-    texts of licence files too; the most similar template of all lines wins
-    (ties: the first line, then the licence by name). Pairs that no template has
-    count in a line's norm with the weight of a template's rarest pair.
+    Every notice that may state one is compared as a vector of its own, whole
+    texts of licence files (line -1) too; the most similar template of all wins
+    (ties: the first line, then the licence by name), a reserved right only where
+    no licence is granted. Pairs that no template has count in a notice's norm
+    with the weight of a template's rarest pair.
     """
-    notices = templates(files.sparkSession, values)
-    lines = files.select("file_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_HINT))).alias("line", "notice"))
-    whole = files.filter(F.col("path").rlike(_LICENSE_FILE)).select("file_id", F.lit(-1).alias("line"), F.coalesce("text", F.lit("")).alias("notice"))
-    tf = lines.unionByName(whole).select("file_id", "line", F.explode(_pairs(F.col("notice"))).alias("pair")).groupBy("file_id", "line", "pair").agg(F.count("*").alias("tf"))
+    notices = materialize(templates(files.sparkSession, values), "templates")
+    lower = F.lower("text")
+    hinted = files.filter(reduce(or_, [lower.contains(x) for x in _PARTS])).select("file_id", "path", "text")
+    whole = hinted.filter(F.col("path").rlike(_LICENSE_FILE)).select("file_id", F.lit(-1).alias("line"), F.col("text").alias("notice"))
+    found = hinted.select("file_id", F.inline(_notices(F.col("text")))).unionByName(whole).select("file_id", "line", F.xxhash64("notice").alias("part"), _pairs(F.col("notice")).alias("pairs"))
+    tf = found.distinct().select("file_id", "line", "part", F.explode("pairs").alias("pair")).groupBy("file_id", "line", "part", "pair").agg(F.count("*").alias("tf"))
     # the template table is a constant of this module: a few hundred pairs
     idf = notices.groupBy("pair").agg(F.first("idf").alias("idf"))
     weighted = tf.join(F.broadcast(idf), "pair", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log1p(F.lit(float(len(values))))))
-    norm = weighted.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = weighted.groupBy("file_id", "line", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.filter("idf is not null").join(F.broadcast(notices.select("template", "license", "pair", "weight")), "pair")
-    dots = dots.groupBy("file_id", "line", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["file_id", "line"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= least)
-    best = F.max(F.struct("similarity", (-F.col("line")).alias("up"), "license"))
+    dots = dots.groupBy("file_id", "line", "part", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norm, ["file_id", "line", "part"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= least)
+    best = F.max(F.struct((F.col("license") != "Proprietary").alias("granted"), "similarity", (-F.col("line")).alias("up"), "license"))
     return scored.groupBy("file_id").agg(best.alias("b")).select("file_id", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), (-F.col("b.up")).alias("line"))
 
 
@@ -94,7 +158,7 @@ def license_scan(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> Data
     the most similar counts, then the licence by name.
     """
     files = files.select(files["file_id"], files["path"], files["text"])
-    stated = stated_licenses(files, values, least)
+    stated = materialize(stated_licenses(files, values, least), "licenses")
     placed = files.select("file_id", "path").join(stated, "file_id", "left")
     granting = placed.filter(F.col("path").rlike(_LICENSE_FILE) & F.col("license").isNotNull())
     directory = F.regexp_replace("path", r"/?[^/]*$", "")

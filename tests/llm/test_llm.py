@@ -170,6 +170,27 @@ def test_licenses_are_stated_or_inherited(spark):
     assert licenses.license_scan(spark.createDataFrame([], "file_id long, path string, text string")).count() == 0
 
 
+GPL_HEADER = """/*
+ * A program.  Copyright (C) 2019  Jo Doe
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+
+int main() {}"""
+
+
+def test_wrapped_notices_and_whole_files_state_licenses(spark):
+    mit = "\n".join(["MIT License", "", "Copyright (c) 2021 Jo Doe", "", *re.findall(r".{1,70}(?: |$)", licenses._MIT)])
+    bsd = "# Copyright (c) 2020, Jo Doe. All rights reserved.\n#\n" + "\n".join("# " + x for x in re.findall(r".{1,70}(?: |$)", licenses.TEMPLATES[9][1])) + "\nx = 1"
+    inner = "first words\nof a text\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense version 3.\nmore of the text"
+    rows = [(1, "a/x.c", GPL_HEADER), (2, "b/LICENSE", mit), (3, "b/y.c", "int x;"), (4, "c/z.py", bsd), (5, "d/t.txt", inner), (6, "e/n.txt", "Ask for a licence to fish.\nThe copyright\nof a song")]
+    out = {r["file_id"]: (r["license"], r["origin"]) for r in licenses.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert out == {1: ("GPL-3.0", "stated"), 2: ("MIT", "stated"), 3: ("MIT", "inherited"), 4: ("BSD-3-Clause", "stated"), 5: ("GPL-3.0", "stated"), 6: (None, "none")}
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 
