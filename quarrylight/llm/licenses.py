@@ -61,6 +61,54 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
 )
+#: Identifier, further SPDX tags, and the names by which texts call the licence.
+_NAMES = (
+    ("Apache-2.0", (), ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license")),
+    ("MIT", (), ("MIT License",)),
+    ("BSD-2-Clause", (), ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", (), ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License")),
+    ("ISC", (), ("ISC License",)),
+    ("MPL-2.0", (), ("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0 license")),
+    ("EPL-2.0", (), ("Eclipse Public License, Version 2.0", "Eclipse Public License v2.0")),
+    ("Unlicense", (), ("Unlicense license",)),
+    ("CC0-1.0", (), ("CC0 1.0 Universal license", "Creative Commons CC0 1.0 Universal Public Domain Dedication")),
+    ("CC-BY-4.0", (), ("CC BY 4.0 license", "Creative Commons Attribution 4.0 International License")),
+    ("CC-BY-SA-4.0", (), ("CC BY-SA 4.0 license", "Creative Commons Attribution-ShareAlike 4.0 International License")),
+    ("CC-BY-NC-4.0", (), ("CC BY-NC 4.0 license", "Creative Commons Attribution-NonCommercial 4.0 International License")),
+) + tuple(
+    (f"{short}-{v}", (f"{short}-{v}-only", f"{short}-{v}-or-later", f"{short}-{v}+"), (f"GNU {long}General Public License, version {n}", f"GNU {long}General Public License v{n}", f"{short} version {n} license", f"{short} v{n} license", f"{short}v{n} license"))
+    for short, long, v, n in (
+        ("GPL", "", "2.0", "2"), ("GPL", "", "3.0", "3"), ("LGPL", "Lesser ", "2.1", "2.1"), ("LGPL", "Lesser ", "3.0", "3"), ("AGPL", "Affero ", "3.0", "3"),
+    )
+)
+_PHRASES = (
+    "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This file is available under the {}.", "This work is licensed under the {}.", "This project is licensed under the {}.",
+    "This software is released under the terms of the {}.", "This project is licensed under the {} - see the LICENSE file for details.", "under the {}.", "{}",
+)
+
+
+def _paragraph(long: str, version: str) -> str:
+    return f"you can redistribute it and/or modify it under the terms of the GNU {long}General Public License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+#: What common licences have in headers and files, in words that aren't made of names.
+_TEXTS = (
+    ("BSD-2-Clause", f"Copyright (c) All rights reserved. {_BSD_2} {_AS_IS}"),
+    ("BSD-2-Clause", _BSD_2),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0", f"This program is free software; {_paragraph('', '2')}"),
+    ("LGPL-2.1", f"This library is free software; {_paragraph('Lesser ', '2.1')}"),
+    ("LGPL-3.0", f"This library is free software: {_paragraph('Lesser ', '3')}"),
+    ("AGPL-3.0", f"This program is free software: {_paragraph('Affero ', '3')}"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+TEMPLATES += _TEXTS + tuple((i, f"SPDX-License-Identifier: {x}") for i, more, _ in _NAMES for x in (i, *more)) + tuple((i, p.format(x)) for i, _, names in _NAMES for x in names for p in _PHRASES)
 #: Notices that may state a licence; every one that matches holds one of _PARTS.
 _HINT = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|redistribution\W+and\W+use|permission\W+is\W+hereby|permission\W+to\W+use|creative\W+commons"
 _PARTS = ("licen", "copyright", "rights", "redistribution", "permission", "creative")
@@ -82,8 +130,7 @@ def _pairs(text: Column) -> Column:
 
 def templates(spark: SparkSession, values=TEMPLATES) -> DataFrame:
     """license, template, pair, weight: unit vectors, one row for each pair."""
-    each = [F.struct(F.lit(i).alias("template"), F.lit(a).alias("license"), F.lit(b).alias("notice")) for i, (a, b) in enumerate(values)]
-    rows = spark.range(1).select(F.inline(F.array(*each)))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(values)], "template int, license string, notice string")
     tf = rows.select("template", "license", F.explode(_pairs(F.col("notice"))).alias("pair")).groupBy("template", "license", "pair").agg(F.count("*").alias("tf"))
     df = tf.groupBy("pair").agg(F.count_distinct("template").alias("df"))
     weighted = tf.join(df, "pair").withColumn("idf", F.log1p(F.lit(float(len(values))) / F.col("df"))).withColumn("w", F.col("tf") * F.col("idf"))
@@ -91,13 +138,10 @@ def templates(spark: SparkSession, values=TEMPLATES) -> DataFrame:
     return weighted.join(norm, "template").select("template", "license", "pair", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _notices(text: Column) -> Column:
+def _notices(text: Column, lines: Column, plain: Column) -> Column:
     """(line, notice) of what may state a licence, without comment marks: single
     lines with and without neighbours, the header, blocks between blank lines,
-    and the sentences of blocks."""
-    lines = F.transform(F.split(text, "\\r?\\n"), lambda x: F.regexp_replace(x, _MARKS, ""))
-    plain = F.array_join(lines, "\n")
-
+    and the sentences of blocks, whole and from "under" on."""
     def hints(x: Column) -> Column:
         return F.filter(x, lambda y: y["notice"].rlike(_HINT))
 
@@ -112,7 +156,9 @@ def _notices(text: Column) -> Column:
     blocks = hints(F.transform(F.split(plain, "\n\n"), lambda x, i: of(i, x)))
     placed = F.transform(blocks, lambda x: of(F.when(x["line"] == 0, F.lit(0)).otherwise(F.size(F.split(F.call_function("substring_index", plain, F.lit("\n\n"), x["line"]), "\n")) + 1), x["notice"]))
     sentences = hints(F.flatten(F.transform(placed, lambda x: F.transform(F.split(x["notice"], r"(?<=[.!?])\s+"), lambda y: of(x["line"], y)))))
-    return F.array_distinct(F.concat(single, around, hints(header), placed, sentences))
+    # what a sentence says of its subject doesn't count: from "under" on
+    tails = hints(F.transform(sentences, lambda x: of(x["line"], F.regexp_extract(x["notice"], r"(?is)\bunder\s.*", 0))))
+    return F.array_distinct(F.concat(single, around, hints(header), placed, sentences, tails))
 
 
 def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> DataFrame:
@@ -128,7 +174,9 @@ def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> D
     lower = F.lower("text")
     hinted = files.filter(reduce(or_, [lower.contains(x) for x in _PARTS])).select("file_id", "path", "text")
     whole = hinted.filter(F.col("path").rlike(_LICENSE_FILE)).select("file_id", F.lit(-1).alias("line"), F.col("text").alias("notice"))
-    found = hinted.select("file_id", F.inline(_notices(F.col("text")))).unionByName(whole).select("file_id", "line", F.xxhash64("notice").alias("part"), _pairs(F.col("notice")).alias("pairs"))
+    # columns of their own, so that no notice computes them again
+    split = hinted.withColumn("lines", F.transform(F.split("text", "\\r?\\n"), lambda x: F.regexp_replace(x, _MARKS, ""))).withColumn("plain", F.array_join("lines", "\n"))
+    found = split.select("file_id", F.inline(_notices(F.col("text"), F.col("lines"), F.col("plain")))).unionByName(whole).select("file_id", "line", F.xxhash64("notice").alias("part"), _pairs(F.col("notice")).alias("pairs"))
     tf = found.distinct().select("file_id", "line", "part", F.explode("pairs").alias("pair")).groupBy("file_id", "line", "part", "pair").agg(F.count("*").alias("tf"))
     # the template table is a constant of this module: a few hundred pairs
     idf = notices.groupBy("pair").agg(F.first("idf").alias("idf"))

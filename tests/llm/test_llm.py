@@ -191,6 +191,26 @@ def test_wrapped_notices_and_whole_files_state_licenses(spark):
     assert out == {1: ("GPL-3.0", "stated"), 2: ("MIT", "stated"), 3: ("MIT", "inherited"), 4: ("BSD-3-Clause", "stated"), 5: ("GPL-3.0", "stated"), 6: (None, "none")}
 
 
+def test_real_notices_state_licenses(spark):
+    notices = {
+        "Copyright (c) 2020 The Authors. All rights reserved.": "Proprietary",
+        "This file is available under the MIT license": "MIT",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "# SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "SPDX-License-Identifier: MyOwn-7": None,
+        "This library is distributed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This program is licensed under the GNU Affero General Public License v3": "AGPL-3.0",
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": "MPL-2.0",
+        "Copyright (c) 2004 Jo Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.": "GPL-2.0",
+        "Anglers need a licence for the lake, and the copyright of the map is unclear.": None,
+    }
+    rows = [(i, f"t/{i}.txt", x) for i, x in enumerate(notices)]
+    out = {r["file_id"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert {x: out[i] for i, x in enumerate(notices)} == notices
+
+
 # --- 4 ---------------------------------------------------------------------------------
 
 
