@@ -4,6 +4,7 @@ and vectorised word hashing over UTF-8 buffers."""
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,12 +23,14 @@ CHUNK = 256 << 10
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where it is unset (tests,
-    a single machine) a temporary folder is made and set.
+    ``spark.checkpoint.dir`` of the session; only where it is unset and the
+    master is local (tests, a single machine) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quarrylight-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -48,6 +51,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Each name, lengthened until no column has it (cases are no difference)."""
+    seen, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts that no DataFrame needs any more:
+    Spark removes them when the driver collects what referred to them, which
+    long jobs of small plans hardly ever make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables that go once the results are written: what a lazy
     result still reads must not be kept here."""
@@ -67,6 +89,14 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{k}")
             path.getFileSystem(conf).delete(path, True)
 
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete these tables, which nothing reads any more, before the others."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+                path = jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(conf).delete(path, True)
+
 
 # --- words and shingles of UTF-8 buffers -------------------------------------
 

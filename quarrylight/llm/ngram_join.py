@@ -6,9 +6,10 @@ segments of its range, so it knows in how many sets each of its shingles is and
 sends back those of at least two sets; the others can't be shared. A document
 with fewer than 75 % of its shingles shared can't be linked and goes no further.
 
-Candidate pairs are verified by their partial overlaps, one for each fragment
-of the pair's shared shingles, summed for the pair. Candidates come in two
-turns, so that large groups of near copies never give all their pairs:
+Candidate pairs are verified by their partial overlaps, one for each range of
+fragments that holds shingles of both, counted by itself and summed for the
+pair. Candidates come in two turns, so that large groups of near copies never
+give all their pairs:
 
 1. documents that agree in a few minimum hashes are paired with one of them, and
    verified links make first components; then documents of a
@@ -27,22 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _GAMMA, Scratch, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_hashes
+from quarrylight.llm.common import _GAMMA, Scratch, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_hashes
 from quarrylight.llm.components import connected_components
 
 #: Shingles of a fragment, about; and those that a task holds before it sends them.
 PER_FRAGMENT = 3_000_000
 HELD = 4_000_000
 _SIGNATURES = 48
-_ROUNDS = 1
 _SUPER = 2  # partial overlaps are counted in 2**_SUPER ranges of a pair's shingles
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
-_BLOBS = "fragment int, keys binary, counts binary, hashes binary, doc_ids binary, doc_keys binary, doc_sizes binary"
-_SEGMENTS = "bucket int, keys binary, counts binary, items binary, doc_ids binary, doc_keys binary, doc_sizes binary"
+_BLOBS = "fragment int, keys binary, counts binary, hashes binary, doc_ids binary, doc_texts binary, doc_keys binary, doc_sizes binary"
+_SEGMENTS = "bucket int, keys binary, counts binary, items binary, doc_ids binary, doc_texts binary, doc_keys binary, doc_sizes binary"
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -80,7 +80,7 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cut(fragment_bits: int, k: int):
-    """(doc_id, text) -> the segments of each fragment, and the documents."""
+    """(doc_id, text, text_id) -> the segments of each fragment, and the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -93,7 +93,7 @@ def _cut(fragment_bits: int, k: int):
             h = np.concatenate([x[0] for x in held] or [np.zeros(0, np.uint64)])
             keys = np.concatenate([x[1] for x in held] or [np.zeros(0, np.uint64)])
             n = np.concatenate([x[2] for x in held] or [np.zeros(0, np.int64)])
-            ids, doc_keys, sizes = (np.concatenate(x) for x in zip(*docs, strict=True))
+            ids, text_ids, doc_keys, sizes = (np.concatenate(x) for x in zip(*docs, strict=True))
             fragment = (h >> np.uint64(64 - fragment_bits)).astype(np.int32) if fragment_bits else np.zeros(len(h), np.int32)
             owner = np.repeat(np.arange(len(n)), n)
             order = np.argsort(fragment, kind="stable")
@@ -107,19 +107,19 @@ def _cut(fragment_bits: int, k: int):
                 starts = np.flatnonzero(np.concatenate([[True], owner[at][1:] != owner[at][:-1]])) if len(at) else np.zeros(0, int)
                 counts = np.diff(np.concatenate([starts, [len(at)]]))
                 low = (h[at] >> np.uint64(max(0, 16 - fragment_bits))) & np.uint64((1 << 48) - 1)
-                row = [f, keys[owner[at][starts]].tobytes(), counts.astype(np.uint32).tobytes(), _pack48(low), ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].astype(np.int64).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x], pa.binary()) for x in row[1:]], names=["fragment", "keys", "counts", "hashes", "doc_ids", "doc_keys", "doc_sizes"])
+                row = [f, keys[owner[at][starts]].tobytes(), counts.astype(np.uint32).tobytes(), _pack48(low), ids[mine].tobytes(), text_ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x], pa.binary()) for x in row[1:]], names=["fragment", "keys", "counts", "hashes", "doc_ids", "doc_texts", "doc_keys", "doc_sizes"])
             held.clear()
             docs.clear()
             total = 0
 
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), np.int64)
+            names, text_ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in groups_of_texts(offsets):
                 h, n = distinct_shingles(data, offsets[i : j + 1], k)
                 keys = set_keys(h, n)
-                docs.append((names[i:j], keys, n))
+                docs.append((names[i:j], text_ids[i:j], keys, n))
                 fresh = np.array([size > 0 and not (key in seen or seen.add(key)) for key, size in zip(keys.tolist(), n.tolist(), strict=True)])
                 if len(seen) > 100_000:
                     seen.clear()
@@ -158,7 +158,7 @@ def _shared(fragment_bits: int, buckets: int):
             df = np.zeros(0)
         # rare first: the number of sets, in eighths of a doubling, above the hash
         item = (np.minimum(8 * np.log2(np.maximum(df, 1)), 255).astype(np.uint64) << np.uint64(55)) | h
-        ids, doc_keys, sizes = (_join_column(table, c, k) for c, k in (("doc_ids", np.int64), ("doc_keys", np.uint64), ("doc_sizes", np.int64)))
+        ids, text_ids, doc_keys, sizes = (_join_column(table, c, k) for c, k in (("doc_ids", np.int64), ("doc_texts", np.int64), ("doc_keys", np.uint64), ("doc_sizes", np.int64)))
         bucket, home = (keys % np.uint64(buckets)).astype(np.int64), (doc_keys % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((keys, bucket))
         item, keys = item[order], keys[order]
@@ -171,9 +171,9 @@ def _shared(fragment_bits: int, buckets: int):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
             counts = np.diff(np.concatenate([starts, [len(own)]])).astype(np.uint32)
-            rows.append((b, own[starts].tobytes(), counts.tobytes(), item[part].tobytes(), ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        return pa.table([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "keys", "counts", "items", "doc_ids", "doc_keys", "doc_sizes"])
+            rows.append((b, own[starts].tobytes(), counts.tobytes(), item[part].tobytes(), ids[mine].tobytes(), text_ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        return pa.table([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "keys", "counts", "items", "doc_ids", "doc_texts", "doc_keys", "doc_sizes"])
 
     return run
 
@@ -229,8 +229,8 @@ def _assemble(table: pa.Table) -> pa.Table:
 def _list_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        columns = [pa.array(_join_column(table, c, np.int64)) for c in ("doc_ids", "doc_keys", "doc_sizes")]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles"])
+        columns = [pa.array(_join_column(table, c, np.int64)) for c in ("doc_ids", "doc_texts", "doc_keys", "doc_sizes")]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "key", "n_shingles"])
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -257,21 +257,26 @@ def _in_mixed_company(places: DataFrame, labels: DataFrame, scratch: Scratch) ->
 def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(documents, components) of the join at similarity 0.75.
 
-    documents: doc_id, key, n_shingles of every row with a doc_id; rows with the
-    same set have the same key. components: key, component of every key that is
-    linked with another. A null or wordless text has an empty set and is linked
-    with nothing, even with others like it. Repeated rows are copies.
+    documents: doc_id, text_id (a hash of the text), key, n_shingles of every row
+    with a doc_id; rows with the same set have the same key. components: key,
+    component of every key that is linked with another. A null or wordless text
+    has an empty set and is linked with nothing, even with others like it.
+    Repeated rows are copies.
     """
     spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_id")).filter("doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1.0, size / 6 / PER_FRAGMENT)))))
     bits = max(bits, int(np.floor(np.log2(max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))))))
     shared = rows.mapInArrow(_cut(bits, k), _BLOBS).groupBy("fragment").applyInArrow(_shared(bits, 1 << bits), _SEGMENTS)
     scratch = Scratch(spark, "ngram-join")
     shared = scratch.keep(shared)
-    documents = materialize(shared.filter(F.octet_length("doc_ids") > 0).select("doc_ids", "doc_keys", "doc_sizes").mapInArrow(_list_documents, "doc_id long, key long, n_shingles long"), "shingle-sets")
-    sets = scratch.keep(shared.drop("doc_ids").groupBy("bucket").applyInArrow(_assemble, _SETS))
+    release(spark)
+    listed = shared.filter(F.octet_length("doc_ids") > 0).select("doc_ids", "doc_texts", "doc_keys", "doc_sizes")
+    documents = materialize(listed.mapInArrow(_list_documents, "doc_id long, text_id long, key long, n_shingles long"), "shingle-sets")
+    sets = scratch.keep(shared.drop("doc_ids", "doc_texts").groupBy("bucket").applyInArrow(_assemble, _SETS))
+    scratch.forget(shared)
+    release(spark)
     segments = sets.filter("range >= 0").select("key", "n", "range", "items")
     heads = sets.filter("range = -1")
 
@@ -279,26 +284,21 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     signed = heads.select("key", F.posexplode("signature").alias("turn", "value"))
     pivots = signed.groupBy("turn", "value").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     pairs = scratch.keep(signed.join(pivots, ["turn", "value"]).filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
-    first = scratch.keep(verified(pairs, segments))
-    labels = connected_components(first, "first-components")
+    labels = connected_components(verified(pairs, segments), "first-components")
+    release(spark)
 
     # then with one other at each shingle of the prefix
     unique = F.col("n") - F.col("shared")
     places = heads.select("key", "n", "shared", unique.alias("u"), F.posexplode("prefix").alias("i", "item"))
     places = scratch.keep(places.select("item", "key", "n", "shared", (F.col("u") + F.col("i")).cast("int").alias("at")))
-    tried = pairs
-    for _ in range(_ROUNDS):
-        # of edited copies of one text, the one that shares most is closest to all
-        mixed = _in_mixed_company(places, labels, scratch)
-        most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
-        star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
-        star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        star = scratch.keep(star)
-        new = scratch.keep(verified(star, segments))
-        tried = tried.union(star)
-        if new.isEmpty():
-            break
-        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new), "star-components")
+    # of edited copies of one text, the one that shares most is closest to all
+    mixed = _in_mixed_company(places, labels, scratch)
+    most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
+    star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
+    star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    star = scratch.keep(star)
+    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(star, segments)), "star-components")
+    release(spark)
 
     # second turn: every pair that shares a prefix shingle, across components
     left = _in_mixed_company(places, labels, scratch)
@@ -306,14 +306,24 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     q = left.select("item", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
     # at the first shared shingle nothing before it overlaps: the rest must be enough
     enough = "ha <> hb and a < b and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * (1 + least(na - pa - 1, nb - pb - 1)) >= 3 * (na + nb)"
-    more = p.join(q, "item").filter(enough).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    second = verified(more, segments)
-    links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second)
-    components = connected_components(links, "components")
+    more = scratch.keep(p.join(q, "item").filter(enough).select("a", "b").distinct().join(pairs.union(star), ["a", "b"], "left_anti"))
+    components = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(more, segments)), "components")
     scratch.drop()
+    release(spark)
     return documents, components
 
 
+def _least_members(documents: DataFrame, components: DataFrame) -> DataFrame:
+    """key, doc_id, text_id for every key of a set that isn't empty: the smallest
+    (doc_id, text_id) of its component. Copies meet by partial minima, and only
+    keys, not rows, are joined with components."""
+    firsts = documents.filter("n_shingles > 0").groupBy("key").agg(F.min(F.struct("doc_id", "text_id")).alias("first"))
+    rooted = materialize(firsts.join(components, F.col("key") == F.col("id"), "left").select("key", "first", "component"), "firsts")
+    least = materialize(rooted.filter("component is not null").groupBy("component").agg(F.min("first").alias("least")), "least-members")
+    found = rooted.filter("component is not null").join(least, "component").select("key", "least.*")
+    return materialize(found.union(rooted.filter("component is null").select("key", "first.*")), "members")
+
+
 def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -321,19 +331,31 @@ def jaccard_join(docs: DataFrame, k: int = 5) -> DataFrame:
     row with a null doc_id is not compared: its n_shingles and component_id are null.
     """
     documents, components = jaccard_classes(docs, k)
-    placed = documents.join(components.withColumnRenamed("id", "key"), "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "key").alias("root"))
-    least = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
-    nameless = docs.filter(docs["doc_id"].isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.union(nameless)
+    least = _least_members(documents, components).select("key", F.col("doc_id").alias("component_id"))
+    out = documents.filter("n_shingles > 0").join(least, "key").select("doc_id", "n_shingles", "component_id")
+    alone = documents.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    nothing = F.lit(None).cast("long")
+    nameless = docs.filter(docs["doc_id"].isNull()).select(nothing.alias("doc_id"), nothing.alias("n_shingles"), nothing.alias("component_id"))
+    return out.union(alone).union(nameless)
 
 
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: that with the smallest doc_id of each
-    component, and all with a null doc_id. Of rows that share that doc_id the one
-    with the greatest text stays. Returns the columns of ``docs``."""
-    kept = jaccard_join(docs.select(docs["doc_id"], docs["text"]), k).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    place = F.row_number().over(Window.partitionBy(stay["doc_id"]).orderBy(stay["text"].desc_nulls_last()))
-    stay = stay.withColumn("_place", place).filter("_place = 1").drop("_place")
-    return stay.unionByName(docs.filter(docs["doc_id"].isNull()))
+    """The rows of ``docs`` that stay, with its columns, whatever their names: of
+    each component the row with the smallest doc_id, and all rows without a link.
+
+    Rows with a null doc_id aren't compared and stay. Of rows alike in doc_id and
+    text one stays; rows that share only a doc_id are told apart by their texts.
+    """
+    documents, components = jaccard_classes(docs, k)
+    least = _least_members(documents, components).select("doc_id", "text_id").distinct()
+    alone = documents.filter("n_shingles = 0").select("doc_id", "text_id").distinct()
+    stay, text, alike = unused(docs.columns, "stays_id", "stays_text", "stays_alike")
+    counts = documents.groupBy(F.col("doc_id").alias(stay), F.col("text_id").alias(text)).agg(F.count("*").alias(alike))
+    kept = least.union(alone).toDF(stay, text).join(counts, [stay, text])
+    kept = materialize(kept, "stay")
+    same = (docs["doc_id"] == F.col(stay)) & (F.xxhash64(docs["text"]) == F.col(text))
+    once = docs.join(kept.filter(F.col(alike) == 1), same, "left_semi")
+    # rows that repeat are few kinds: one of each, by partial aggregation
+    often = docs.join(kept.filter(F.col(alike) > 1), same).select(stay, text, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    often = often.groupBy(stay, text).agg(F.first("row").alias("row")).select("row.*")
+    return once.union(often).unionByName(docs.filter(docs["doc_id"].isNull()))

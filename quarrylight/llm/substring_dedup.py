@@ -1,15 +1,16 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Paragraphs are the lines of a text and stretches of sentences in lines of over
-``LONG`` words, cut where the hash of a sentence's last word says so; a stretch
-of under ``MIN_WORDS`` words is merged with the next, and neighbouring lines under
-it are one paragraph. So that a passage inside other text is found as well, however
-its lines are broken, windows of ``MIN_WORDS`` words, which begin where the words
-themselves say, are compared word for word.
-The bands are tuned for high recall at similarity 0.75: pairs there are missed
-with probability 1e-4. Colliding paragraphs are joined and their exact Jaccard
-similarity of 5-word shingles verified; components of verified links are
-clusters. Of a cluster the first occurrence (smallest doc_id, then place) stays.
+Paragraphs are the lines of a text of at least ``min_words`` words, and runs of
+neighbouring shorter lines that together have as many. The bands are tuned for
+high recall at similarity 0.75: pairs there are missed with probability 1e-4.
+Colliding paragraphs are joined and their exact Jaccard similarity of 5-word
+shingles verified; components of verified links are clusters. Of a cluster the
+first occurrence (smallest doc_id, then place) stays.
+
+So that a passage inside other text is found as well, however its lines are
+broken, windows of ``WINDOW`` words, which begin where the words themselves say,
+are compared word for word, and those that follow one another as in the text
+where they were first are one passage.
 
 Equal paragraphs share a key and are handled once. Candidates come in two turns,
 as near copies otherwise give all their pairs: first each bucket's paragraphs
@@ -23,21 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, groups_of_texts, materialize, mix64, shingle_hashes, utf8, word_ranges
+from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_ranges
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.ngram_join import set_keys
 
+#: Words of a paragraph at least (any number may be asked for), and of a window.
 MIN_WORDS = 25
-LONG = 60
+WINDOW = 25
 #: Entries of bands in a fragment, about.
 PER_FRAGMENT = 3_000_000
 THRESHOLD = 0.75
 
 
-def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, most: int = 64) -> tuple[int, int]:
+def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, most: int = 100) -> tuple[int, int]:
     """(bands, rows): of all that reach the recall with at most ``most`` hashes,
     the one with the most rows, which lets the fewest others collide."""
     best = (1, 1)
@@ -48,32 +50,15 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = 0.9999, most: int =
     return best
 
 
-def _stretches(first: np.ndarray, last: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Stretches of lines between cuts, which hold all words of a line: one under
-    the minimum goes on to the next cut, the last one may join the one before."""
-    out: list[tuple[int, int]] = []
-    for a, b, i, j in zip(first.tolist(), last.tolist(), np.searchsorted(cuts, first, "right").tolist(), np.searchsorted(cuts, last, "left").tolist(), strict=True):
-        edges = [a]
-        for c in cuts[i:j].tolist():
-            if c - edges[-1] >= MIN_WORDS:
-                edges.append(c)
-        if b - edges[-1] < MIN_WORDS:
-            edges.pop()
-        edges.append(b)
-        if len(edges) > 2:
-            out += zip(edges[:-1], edges[1:], strict=True)
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
 def _windows(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words and keys of windows of ``MIN_WORDS`` words in runs of words.
+    """First words and keys of windows of ``WINDOW`` words in runs of words.
 
-    A window begins where a 5-word shingle has the least hash of ``MIN_WORDS``
-    neighbouring ones, so any passage of ``2 * MIN_WORDS - 1`` words has the
+    A window begins where a 5-word shingle has the least hash of ``WINDOW``
+    neighbouring ones, so any passage of ``2 * WINDOW - 1`` words has the
     same window wherever it stands, and consecutive windows leave no gap; the
     first and the last words of a run have a window too.
     """
-    w = MIN_WORDS
+    w = WINDOW
     enough = last - first >= w
     first, last = first[enough], last[enough]
     if not len(first):
@@ -108,10 +93,10 @@ def _runs(borders: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[:-1], at[1:]
 
 
-def _blocks(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, last: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, last: np.ndarray, borders: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs of at least two lines under the minimum, up to a blank line, a longer
     line or the text's end."""
-    short = last - first < MIN_WORDS
+    short = last - first < min_words
     feeds = np.concatenate([[0], np.cumsum(data == 10)])
     text = np.searchsorted(borders[1:], s[first], "right")
     joined = short[1:] & short[:-1] & (text[1:] == text[:-1]) & (feeds[s[first[1:]]] - feeds[e[last[:-1] - 1]] == 1)
@@ -120,7 +105,7 @@ def _blocks(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, l
     return first[a[b > a]], last[b[b > a]]
 
 
-def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _units(data: np.ndarray, borders: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Paragraphs of texts that meet at ``borders``: hashes of all words, starts
     and ends of the words, and the first and the last + 1 word of each unit."""
     s, e = word_ranges(data, borders)
@@ -129,13 +114,9 @@ def _units(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return np.zeros(0, np.uint64), s, e, zero, zero
     h = Hasher(data, _BYTE_FOLDED).of(s, e)
     first, last = _lines(data, borders, s)
-    # stretches of sentences: cut after a word that ends a sentence and has an even hash
-    cuts = np.flatnonzero(np.isin(data[e - 1], (46, 33, 63)) & (h & np.uint64(1) == 0)) + 1
-    long = last - first > LONG
-    inner = _stretches(first[long], last[long], cuts)
-    a, b = _blocks(data, s, e, first, last, borders)
-    first, last = np.concatenate([first, inner[:, 0], a]), np.concatenate([last, inner[:, 1], b])
-    keep = last - first >= MIN_WORDS
+    a, b = _blocks(data, s, e, first, last, borders, min_words)
+    first, last = np.concatenate([first, a]), np.concatenate([last, b])
+    keep = last - first >= min_words
     order = np.lexsort((last[keep], first[keep]))
     return h, s, e, first[keep][order], last[keep][order]
 
@@ -173,15 +154,15 @@ def _bands(x: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _PARAGRAPHS = "doc_id long, start long, stop long, n_words int, key long, bands binary"
 
 
-def _list_paragraphs(bands: int, rows: int, k: int):
+def _list_paragraphs(bands: int, rows: int, k: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.array(batch.column(0).to_pylist(), np.int64)
+            names = batch.column(0).to_numpy()
             data, offsets = utf8(batch.column(1))
             for i, j in groups_of_texts(offsets, 2 * CHUNK):
                 lo = int(offsets[i])
                 part, borders = data[lo : int(offsets[j])], offsets[i : j + 1] - lo
-                h, s, e, first, last = _units(part, borders)
+                h, s, e, first, last = _units(part, borders, min_words)
                 if not len(first):
                     continue
                 x, n = _unit_shingles(h, first, last, k)
@@ -199,7 +180,7 @@ def _list_paragraphs(bands: int, rows: int, k: int):
 def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> the windows of every text."""
     for batch in batches:
-        names = np.array(batch.column(0).to_pylist(), np.int64)
+        names = batch.column(0).to_numpy()
         data, offsets = utf8(batch.column(1))
         for i, j in groups_of_texts(offsets, 2 * CHUNK):
             lo = int(offsets[i])
@@ -211,14 +192,18 @@ def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if not len(at):
                 continue
             doc = np.searchsorted(borders[1:], s[at], "right")
-            columns = [pa.array(names[i:j][doc]), pa.array(s[at] - borders[doc]), pa.array(e[at + MIN_WORDS - 1] - borders[doc]), pa.array(key.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "key"])
+            begin = np.searchsorted(s, borders[doc])  # the first word of the text
+            columns = [pa.array(names[i:j][doc]), pa.array(s[at] - borders[doc]), pa.array(e[at + WINDOW - 1] - borders[doc]), pa.array(at - begin), pa.array(key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "word", "key"])
 
 
 def _sets(k: int):
-    """(text, places) -> key, n, items of the paragraphs at those places."""
+    """(text, places) -> key, n, items of the paragraphs at those places. Rows that
+    repeat a doc_id meet in a task, which remembers some 100,000 keys it has sent;
+    a set sent twice changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             spans = [(offsets[row] + p["start"], min(offsets[row] + p["stop"], offsets[row + 1]), p["key"]) for row, places in enumerate(batch.column(1).to_pylist()) for p in places]
@@ -234,7 +219,10 @@ def _sets(k: int):
                 same = set_keys(x, n).view(np.int64) == keys  # else another text of this doc_id
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.view(np.int64)))
                 rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32)), items], names=["key", "n", "items"])
-                yield rows.filter(pa.array(same))
+                new = [ok and key not in seen and not seen.add(key) for ok, key in zip(same.tolist(), keys.tolist(), strict=True)]
+                yield rows.filter(pa.array(new, pa.bool_()))
+                if len(seen) > 100_000:
+                    seen.clear()
 
     return run
 
@@ -287,76 +275,95 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
-def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999) -> DataFrame:
+def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each paragraph that is in a cluster of at least two.
 
     doc_id, start, stop (bytes of the UTF-8 text), n_words, cluster, kept_doc_id,
     kept_start, removed (false for the one that stays). Rows with a null doc_id,
-    null and empty texts and texts without a paragraph of ``MIN_WORDS`` words
-    have none. Repeated rows of one doc_id count as one.
+    null and empty texts and texts without a paragraph of ``min_words`` words
+    have none; with ``min_words=1`` every line is a paragraph, and one of under
+    five words its own only shingle. Repeated rows of one doc_id count as one.
     """
+    spark = docs.sparkSession
     bands, rows = tune_bands(THRESHOLD, recall)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
-    found = materialize(texts.mapInArrow(_list_paragraphs(bands, rows, k), _PARAGRAPHS), "paragraphs")
-    entries = found.count() * bands
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null")
+    scratch = Scratch(spark, "substring-dedup")
+    banded = scratch.keep(texts.mapInArrow(_list_paragraphs(bands, rows, k, min_words), _PARAGRAPHS))
+    entries = banded.count() * bands
     bits = max(0, math.ceil(math.log2(max(1.0, entries / PER_FRAGMENT))))
-    bits = max(bits, int(math.log2(max(1, min(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
-    packed = found.select("key", "bands").mapInArrow(_scatter(bits), "fragment int, buckets binary, keys binary")
-    scratch = Scratch(docs.sparkSession, "substring-dedup")
+    bits = max(bits, int(math.log2(max(1, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")))))))
+    packed = banded.select("key", "bands").mapInArrow(_scatter(bits), "fragment int, buckets binary, keys binary")
     crowded = scratch.keep(packed.groupBy("fragment").applyInArrow(_crowded, "bucket long, key long, pivot long"))
+    found = materialize(banded.drop("bands"), "paragraphs")
+    scratch.forget(banded)
+    release(spark)
     # one occurrence stands for all with the same shingles
     wanted = found.join(crowded.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
-    wanted = wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.stop", "key")).alias("places"))
-    sets = texts.join(wanted, "doc_id").select("text", "places").mapInArrow(_sets(k), "key long, n int, items array<long>").dropDuplicates(["key"])
-    sets = scratch.keep(sets)
+    # a text's own places: never more than its paragraphs
+    wanted = scratch.keep(wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.stop", "key")).alias("places")))
+    sets = scratch.keep(texts.join(wanted, "doc_id").select("text", "places").mapInArrow(_sets(k), "key long, n int, items array<long>"))
+    release(spark)
 
     pairs = scratch.keep(crowded.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
-    links = scratch.keep(_verified(pairs, sets))
-    labels = connected_components(links, "paragraph-components")
-    homed = crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", F.coalesce("component", "key").alias("home"))
-    homed = scratch.keep(homed)
-    mixed = homed.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("bucket")
-    left = homed.join(mixed, "bucket", "left_semi").join(sets.select("key", "n"), "key")
+    labels = connected_components(_verified(pairs, sets), "paragraph-components")
+    release(spark)
+    homed = scratch.keep(crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", F.coalesce("component", "key").alias("home")))
+    mixed = scratch.keep(homed.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("bucket"))
+    left = scratch.keep(homed.join(mixed, "bucket").join(sets.select("key", "n"), "key"))
     p = left.select("bucket", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("xa"))
     q = left.select("bucket", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("xb"))
     more = p.join(q, "bucket").filter("ha < hb and 4 * xa >= 3 * xb and 4 * xb >= 3 * xa").select("a", "b").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
+    more = scratch.keep(more.join(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
     edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_verified(more, sets))
     components = connected_components(edges, "paragraph-clusters")
     scratch.drop()
+    release(spark)
+
+    placed = found.distinct().join(components, F.col("key") == F.col("id"), "left").select("doc_id", "start", "stop", "n_words", F.coalesce("component", "key").alias("cluster"))
+    return _with_first(placed)
+
 
-    occurrences = found.select("doc_id", "start", "stop", "n_words", "key").distinct()
-    placed = occurrences.join(components, F.col("key") == F.col("id"), "left").select("doc_id", "start", "stop", "n_words", F.coalesce("component", "key").alias("cluster"))
-    # the keeper is the cluster's first place; stretches of one text may lie in its lines
+def _with_first(placed: DataFrame) -> DataFrame:
+    """Places of clusters of at least two, with the first place of the cluster,
+    which stays, and whether a place is to go."""
     kept = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "start", "stop")).alias("kept"), F.count("*").alias("members")).filter("members > 1")
-    out = placed.join(kept, "cluster")
+    # a table of its own, so that a cluster with many places can be split in the join
+    out = placed.join(materialize(kept.select("cluster", "kept"), "kept"), "cluster")
     # what overlaps the one that stays is a part of it
     stays = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.stop")) & (F.col("stop") > F.col("kept.start"))
-    return out.select("doc_id", "start", "stop", "n_words", "cluster", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"))
+    named = [c for c in placed.columns if c != "cluster"]
+    return out.select(*named, "cluster", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """One row for each window of ``MIN_WORDS`` words that occurs at least twice,
-    word for word (A-Z as a-z); columns as those of ``paragraph_clusters``."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter("doc_id is not null")
-    windows = texts.mapInArrow(_list_windows, "doc_id long, start long, stop long, key long")
-    often = windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    """One row for each window of ``WINDOW`` words that occurs at least twice,
+    word for word (A-Z as a-z): columns as those of ``paragraph_clusters``, and
+    word, the number of its first word."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null")
+    windows = texts.mapInArrow(_list_windows, "doc_id long, start long, stop long, word long, key long")
+    often = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
     placed = materialize(windows.join(often, "key", "left_semi").distinct(), "windows")
-    kept = placed.groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("kept"), F.count("*").alias("members")).filter("members > 1")
-    out = placed.join(kept, "key")
-    stays = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("start") < F.col("kept.stop")) & (F.col("stop") > F.col("kept.start"))
-    return out.select("doc_id", "start", "stop", F.lit(MIN_WORDS).alias("n_words"), F.col("key").alias("cluster"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"))
+    return _with_first(placed.withColumnRenamed("key", "cluster").withColumn("n_words", F.lit(WINDOW)))
 
 
 def removals(docs: DataFrame, **options) -> DataFrame:
     """What to remove: doc_id, start, stop, n_words, cluster, kept_doc_id,
-    kept_start. Repeated paragraphs, and repeated windows outside of them."""
+    kept_start. Repeated paragraphs, and outside of them repeated passages:
+    windows that follow one another both here and where they were first."""
     paragraphs = materialize(paragraph_clusters(docs, **options).filter("removed").drop("removed"), "removals")
-    windows = repeated_windows(docs).filter("removed").drop("removed")
-    spans = paragraphs.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    release(docs.sparkSession)
+    windows = repeated_windows(docs).filter("removed")
+    spans = paragraphs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     inside = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop")))
-    beside = windows.join(spans, F.col("doc_id") == F.col("_id"), "left").filter(F.col("spans").isNull() | ~inside).select(paragraphs.columns)
-    return paragraphs.unionByName(beside)
+    beside = windows.join(spans, F.col("doc_id") == F.col("id"), "left").filter(F.col("spans").isNull() | ~inside)
+    beside = beside.withColumn("ahead", F.col("start") - F.col("kept_start"))
+    run = Window.partitionBy("doc_id", "kept_doc_id", "ahead").orderBy("start")
+    beside = beside.withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    beside = beside.withColumn("nth", F.sum(F.col("new").cast("int")).over(run))
+    passages = beside.groupBy("doc_id", "kept_doc_id", "ahead", "nth").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("cluster").alias("cluster"), F.min("kept_start").alias("kept_start")
+    )
+    return paragraphs.unionByName(passages.select(paragraphs.columns))
 
 
 def _without(at_text: int, at_spans: int, at_chars: int | None, columns: list[str]):
@@ -389,14 +396,13 @@ def _without(at_text: int, at_spans: int, at_chars: int | None, columns: list[st
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated paragraphs cut out of their texts.
+    """``docs`` with the repeated paragraphs and passages cut out of their texts.
 
-    All rows stay, with the columns of ``docs``; lines left blank go with what
-    was cut, and n_chars, if there is one, follows the text.
+    All rows stay, with the columns of ``docs``, whatever their names; lines left
+    blank go with what was cut, and n_chars, if there is one, follows the text.
     """
-    spans = removals(docs.select(docs["doc_id"], docs["text"]), **options).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "stop")).alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left").select(*docs.columns, "_spans")
     names = docs.columns
+    own, cut = unused(names, "cut_id", "cut_spans")
+    spans = removals(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start", "stop")).alias(cut))
+    joined = docs.join(spans, docs["doc_id"] == F.col(own), "left").select(*[docs[f"`{c}`"] for c in names], cut)
     return joined.mapInArrow(_without(names.index("text"), len(names), names.index("n_chars") if "n_chars" in names else None, names), docs.schema)
-
-

@@ -421,14 +421,6 @@ def test_windows_hold_every_word_of_a_text():
     assert {w for a in at.tolist() for w in range(a, a + 25)} == set(range(len(s))) and len(at) < len(s) / 10
 
 
-def test_stretches_hold_every_word_of_a_line():
-    rng = random.Random(10)
-    text = " ".join(f"w{rng.random()}" + ("." if rng.random() < 0.2 else "") for _ in range(900)).encode()
-    _, s, _, first, last = substring_dedup._units(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    inner = [(a, b) for a, b in zip(first.tolist(), last.tolist(), strict=True) if b - a < len(s)]
-    assert len(inner) > 5 and {w for a, b in inner for w in range(a, b)} == set(range(900))
-
-
 def test_paragraph_pairs_are_brute_force(spark, docs):
     paragraphs = []
     for r in docs.collect():
