@@ -9,8 +9,8 @@ first occurrence (smallest doc_id, then place) stays.
 
 So that a passage inside other text is found as well, however its lines are
 broken, windows of ``WINDOW`` words, which begin where the words themselves say,
-are compared word for word, and those that follow one another as in the text
-where they were first are one passage.
+are compared word for word, and those that overlap and come from the same first
+document are one passage.
 
 Equal paragraphs share a key and are handled once. Candidates come in two turns,
 as near copies otherwise give all their pairs: first each bucket's paragraphs
@@ -348,19 +348,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, **options) -> DataFrame:
     """What to remove: doc_id, start, stop, n_words, cluster, kept_doc_id,
-    kept_start. Repeated paragraphs, and outside of them repeated passages:
-    windows that follow one another both here and where they were first."""
+    kept_start. Repeated paragraphs, and outside of them repeated passages: runs
+    of windows that overlap and were first in the same document."""
     paragraphs = materialize(paragraph_clusters(docs, **options).filter("removed").drop("removed"), "removals")
     release(docs.sparkSession)
     windows = repeated_windows(docs).filter("removed")
     spans = paragraphs.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     inside = F.exists("spans", lambda x: (x["start"] <= F.col("start")) & (x["stop"] >= F.col("stop")))
     beside = windows.join(spans, F.col("doc_id") == F.col("id"), "left").filter(F.col("spans").isNull() | ~inside)
-    beside = beside.withColumn("ahead", F.col("start") - F.col("kept_start"))
-    run = Window.partitionBy("doc_id", "kept_doc_id", "ahead").orderBy("start")
+    run = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "stop")
     beside = beside.withColumn("new", F.coalesce(F.col("start") > F.max("stop").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     beside = beside.withColumn("nth", F.sum(F.col("new").cast("int")).over(run))
-    passages = beside.groupBy("doc_id", "kept_doc_id", "ahead", "nth").agg(
+    passages = beside.groupBy("doc_id", "kept_doc_id", "nth").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("word") - F.min("word") + WINDOW).cast("int").alias("n_words"), F.min("cluster").alias("cluster"), F.min("kept_start").alias("kept_start")
     )
     return paragraphs.unionByName(passages.select(paragraphs.columns))
