@@ -1,17 +1,25 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
-Built-in functions only. A document's header (its lines up to the first blank
-one), its blocks and sentences, lines that name a licence with their neighbours,
-and a licence file's whole text become sparse vectors of word pairs weighted by
-TF-IDF, with document frequencies over the templates. The cosine to each template is a join on the pairs, so only
-documents that share a pair with a template are looked at further. Files without
-a licence of their own inherit that of the nearest directory above which has a
-licence file: each file is joined with its ancestor directories, and the deepest
-wins.
+Built-in functions only. A document's header and its other blocks (lines between
+blank ones, without their comment marks), the lines and sentences of those, and a
+licence file's whole text become sparse vectors of word pairs weighted by TF-IDF,
+with document frequencies over the templates. The cosine to each template is a
+join on the pairs. Files without a licence of their own inherit that of the
+nearest directory above which has a licence file: each directory is joined with
+its ancestors, and the deepest wins.
+
+What can't reach the least similarity is left out before the join, by a bound and
+not by a guess: the cosine is at most the length of the part of a template's
+vector whose pairs the notice has. ``gate_words`` finds words such that of every
+template the pairs without any of them are too short a part, so a notice without
+any of these words can't match.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from functools import reduce
 from operator import or_
 
@@ -109,84 +117,109 @@ _TEXTS = (
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
 TEMPLATES += _TEXTS + tuple((i, f"SPDX-License-Identifier: {x}") for i, more, _ in _NAMES for x in (i, *more)) + tuple((i, p.format(x)) for i, _, names in _NAMES for x in names for p in _PHRASES)
-#: Notices that may state a licence; every one that matches holds one of _PARTS.
-_HINT = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|redistribution\W+and\W+use|permission\W+is\W+hereby|permission\W+to\W+use|creative\W+commons"
-_PARTS = ("licen", "copyright", "rights", "redistribution", "permission", "creative")
 #: Marks of comments at the ends of a line.
-_MARKS = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+)?\s*|\s*(?:\*+/|-->)?\s*$"
-#: Lines before and after one that may state a licence.
-_AROUND = ((0, 1), (1, 0), (0, 2), (1, 1), (2, 0), (0, 3), (1, 2), (2, 1), (3, 0))
+_HEAD, _TAIL = r"^[ \t]*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+)?[ \t]*", r"[ \t\r]*(?:\*+/|-->)?[ \t\r]*\z"
 _LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+_WORD = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST = 0.6
+#: Short words that many texts have.
+_COMMON = ("a", "an", "and", "any", "are", "as", "at", "be", "but", "by", "can", "copy", "for", "form", "from", "has", "if", "in", "into", "is", "it", "no", "not", "of", "on", "one", "only", "or", "see", "than", "that", "the", "this", "to", "under", "use", "was", "with", "work", "you")
+
+
+def template_vectors(values=TEMPLATES) -> list[tuple[int, str, str, float, float]]:
+    """(template, license, pair, idf, weight): unit vectors of the templates, a
+    constant table of some thousand rows."""
+    counted = []
+    for _, notice in values:
+        words = re.findall(_WORD, notice.lower())
+        counted.append(Counter([f"{a} {b}" for a, b in zip(words, words[1:])] if len(words) > 1 else words))  # noqa: B905
+    df = Counter(pair for c in counted for pair in c)
+    out = []
+    for i, c in enumerate(counted):
+        weighed = {pair: tf * math.log1p(len(values) / df[pair]) for pair, tf in c.items()}
+        norm = math.sqrt(sum(w * w for w in weighed.values()))
+        out += [(i, values[i][0], pair, math.log1p(len(values) / df[pair]), w / norm) for pair, w in weighed.items()]
+    return out
+
+
+def gate_words(vectors: list[tuple[int, str, str, float, float]], least: float = LEAST) -> list[str]:
+    """Words of which any text that is ``least`` similar to a template has one.
+
+    Greedy: the word next that takes most of what the templates still have too
+    much of. Words that are common in other texts come last; that choice is for
+    speed alone.
+    """
+    left: dict[int, dict[str, float]] = {}
+    for template, _, pair, _, weight in vectors:
+        left.setdefault(template, {})[pair] = weight * weight
+    # a little under the bound, for sums in another order
+    bound, chosen = least * least * 0.98, []
+    while over := {t: pairs for t, pairs in left.items() if sum(pairs.values()) >= bound}:
+        gain: Counter[str] = Counter()
+        for pairs in over.values():
+            for pair, part in pairs.items():
+                gain.update(dict.fromkeys(pair.split(), part))
+        word = max(gain, key=lambda w: (len(w) > 5, w not in _COMMON, len(w) > 1, gain[w] * len(w), w))
+        chosen.append(word)
+        left = {t: {p: x for p, x in pairs.items() if word not in p.split()} for t, pairs in over.items()}
+    return chosen
+
+
+def _notices(lines: Column, is_license_file: Column, gate) -> Column:
+    """The texts of a document that may state a licence: its lines, blocks, and
+    the sentences of blocks, whole and from "under" on (what a sentence says of
+    its subject doesn't count); a licence file also as a whole."""
+    plain = F.array_join(lines, "\n")
+    blocks = F.transform(F.filter(F.split(plain, "\n\n+"), gate), lambda x: F.translate(x, "\n", " "))
+    marked = F.transform(blocks, lambda x: F.regexp_replace(x, r"([.!?])[ \t\r]+", "$1\n"))
+    sentences = F.filter(F.flatten(F.transform(marked, lambda x: F.split(x, "\n"))), gate)
+    tails = F.filter(F.transform(sentences, lambda x: F.regexp_extract(x, r"\bunder\s.*", 0)), gate)
+    whole = F.when(is_license_file, F.array(F.translate(plain, "\n", " "))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.filter(lines, gate), blocks, sentences, tails, whole))
 
 
-def _pairs(text: Column) -> Column:
-    """Pairs of neighbouring words (letters, digits and dots inside), lower case."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:\.[a-z0-9]+)*)"), F.lit(1))
-    return F.when(
-        F.size(words) >= 2,
-        F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))),
-    ).otherwise(words)
-
-
-def templates(spark: SparkSession, values=TEMPLATES) -> DataFrame:
-    """license, template, pair, weight: unit vectors, one row for each pair."""
-    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(values)], "template int, license string, notice string")
-    tf = rows.select("template", "license", F.explode(_pairs(F.col("notice"))).alias("pair")).groupBy("template", "license", "pair").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("pair").agg(F.count_distinct("template").alias("df"))
-    weighted = tf.join(df, "pair").withColumn("idf", F.log1p(F.lit(float(len(values))) / F.col("df"))).withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "template").select("template", "license", "pair", "idf", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def _notices(text: Column, lines: Column, plain: Column) -> Column:
-    """(line, notice) of what may state a licence, without comment marks: single
-    lines with and without neighbours, the header, blocks between blank lines,
-    and the sentences of blocks, whole and from "under" on."""
-    def hints(x: Column) -> Column:
-        return F.filter(x, lambda y: y["notice"].rlike(_HINT))
-
-    def of(line: Column, notice: Column) -> Column:
-        return F.struct(line.cast("int").alias("line"), notice.alias("notice"))
-
-    single = hints(F.transform(lines, lambda x, i: of(i, x)))
-    spans = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _AROUND])
-    # slices past the end are cut; those before the start have fewer lines
-    around = F.flatten(F.transform(single, lambda x: F.transform(spans, lambda y: of(F.greatest(x["line"] - y["a"], F.lit(0)), F.array_join(F.slice(lines, F.greatest(x["line"] - y["a"], F.lit(0)) + 1, F.least(x["line"], y["a"]) + y["b"] + 1), " ")))))
-    header = F.array(of(F.lit(0), F.array_join(F.transform(F.split(F.get(F.split(F.ltrim(text), r"\n[ \t\r]*\n", 2), F.lit(0)), "\n"), lambda x: F.regexp_replace(x, _MARKS, "")), " ")))
-    blocks = hints(F.transform(F.split(plain, "\n\n"), lambda x, i: of(i, x)))
-    placed = F.transform(blocks, lambda x: of(F.when(x["line"] == 0, F.lit(0)).otherwise(F.size(F.split(F.call_function("substring_index", plain, F.lit("\n\n"), x["line"]), "\n")) + 1), x["notice"]))
-    sentences = hints(F.flatten(F.transform(placed, lambda x: F.transform(F.split(x["notice"], r"(?<=[.!?])\s+"), lambda y: of(x["line"], y)))))
-    # what a sentence says of its subject doesn't count: from "under" on
-    tails = hints(F.transform(sentences, lambda x: of(x["line"], F.regexp_extract(x["notice"], r"(?is)\bunder\s.*", 0))))
-    return F.array_distinct(F.concat(single, around, hints(header), placed, sentences, tails))
-
-
-def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> DataFrame:
-    """file_id, license, similarity, line of each file that states a licence.
-
-    Every notice that may state one is compared as a vector of its own, whole
-    texts of licence files (line -1) too; the most similar template of all wins
-    (ties: the first line, then the licence by name), a reserved right only where
-    no licence is granted. Pairs that no template has count in a notice's norm
-    with the weight of a template's rarest pair.
+def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = LEAST) -> DataFrame:
+    """file_id, path, license, similarity, notice of each file that states a licence.
+
+    Every notice is compared as a vector of its own; the most similar template of
+    all wins (ties: the licence by name, then the notice), a reserved right only
+    where no licence is granted. Pairs that no template has count in a notice's
+    norm with the weight of a template's rarest pair. Nulls in file_id and path
+    are values like others; a null or empty text states nothing. Rows that repeat
+    a file_id and path have all their statements together. No files: no rows.
     """
-    notices = materialize(templates(files.sparkSession, values), "templates")
-    lower = F.lower("text")
-    hinted = files.filter(reduce(or_, [lower.contains(x) for x in _PARTS])).select("file_id", "path", "text")
-    whole = hinted.filter(F.col("path").rlike(_LICENSE_FILE)).select("file_id", F.lit(-1).alias("line"), F.col("text").alias("notice"))
-    # columns of their own, so that no notice computes them again
-    split = hinted.withColumn("lines", F.transform(F.split("text", "\\r?\\n"), lambda x: F.regexp_replace(x, _MARKS, ""))).withColumn("plain", F.array_join("lines", "\n"))
-    found = split.select("file_id", F.inline(_notices(F.col("text"), F.col("lines"), F.col("plain")))).unionByName(whole).select("file_id", "line", F.xxhash64("notice").alias("part"), _pairs(F.col("notice")).alias("pairs"))
-    tf = found.distinct().select("file_id", "line", "part", F.explode("pairs").alias("pair")).groupBy("file_id", "line", "part", "pair").agg(F.count("*").alias("tf"))
-    # the template table is a constant of this module: a few hundred pairs
-    idf = notices.groupBy("pair").agg(F.first("idf").alias("idf"))
-    weighted = tf.join(F.broadcast(idf), "pair", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.log1p(F.lit(float(len(values))))))
-    norm = weighted.groupBy("file_id", "line", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.filter("idf is not null").join(F.broadcast(notices.select("template", "license", "pair", "weight")), "pair")
-    dots = dots.groupBy("file_id", "line", "part", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norm, ["file_id", "line", "part"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= least)
-    best = F.max(F.struct((F.col("license") != "Proprietary").alias("granted"), "similarity", (-F.col("line")).alias("up"), "license"))
-    return scored.groupBy("file_id").agg(best.alias("b")).select("file_id", F.col("b.license").alias("license"), F.col("b.similarity").alias("similarity"), (-F.col("b.up")).alias("line"))
+    vectors = template_vectors(values)
+    words = gate_words(vectors, least)
+
+    # short words count only by themselves, as many other words hold them
+    short = "|".join(re.escape(w) for w in words if len(w) < 5)
+
+    def gate(x: Column) -> Column:
+        return reduce(or_, [x.contains(w) for w in words if len(w) > 4] + [x.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] * bool(short))
+
+    table = materialize(files.sparkSession.createDataFrame(vectors, "template int, license string, pair string, idf double, weight double").coalesce(1), "templates")
+    is_license_file = F.coalesce(F.col("path").rlike(_LICENSE_FILE), F.lit(False))
+    rows = files.select(files["file_id"].alias("file_id"), files["path"].alias("path"), files["text"].alias("text")).filter(gate(F.lower("text")))
+    # columns of their own, so that nothing computes them again for each notice
+    split = F.transform(F.split(F.translate("text", _UPPER, _LOWER), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, _HEAD, ""), _TAIL, ""))
+    found = rows.select("file_id", "path", split.alias("lines")).select("file_id", "path", F.explode(_notices(F.col("lines"), is_license_file, gate)).alias("notice"))
+    found = found.select("file_id", "path", "notice", F.regexp_extract_all("notice", F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
+    n = F.size("words")
+    pairs = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+    key = ["file_id", "path", "notice"]
+    tf = found.filter(n > 0).select(*key, F.explode(F.when(n > 1, pairs).otherwise(F.col("words"))).alias("pair")).groupBy(*key, "pair").agg(F.count("*").alias("tf"))
+    # the template table is a constant of this module: some thousand pairs
+    idf = table.groupBy("pair").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "weight")).alias("has"))
+    weighted = tf.join(F.broadcast(idf), "pair", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log1p(len(values)))))
+    # the norm travels with the templates, as one more of them, so that both need one pass
+    norm = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.col("w").alias("weight"))
+    sides = weighted.select(*key, "w", F.explode(F.concat(F.array(norm), F.coalesce("has", F.array().cast("array<struct<template:int,license:string,weight:double>>")))).alias("t"))
+    dots = sides.groupBy(*key, "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
+    best_of = dots.groupBy(*key).agg(F.sqrt(F.max(F.when(F.col("template") < 0, F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("template") >= 0, F.struct("license", "dot"))).alias("dots"))
+    scored = best_of.select(*key, "norm", F.explode("dots").alias("d")).select(*key, "d.license", F.round(F.col("d.dot") / F.col("norm"), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    best = F.max(F.struct((F.col("license") != "Proprietary").alias("granted"), "similarity", "license", "notice"))
+    return scored.groupBy("file_id", "path").agg(best.alias("b")).select("file_id", "path", "b.license", "b.similarity", "b.notice")
 
 
 def _ancestors(path: Column) -> Column:
@@ -195,27 +228,31 @@ def _ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("dir"), n.alias("depth")))
 
 
-def license_scan(files: DataFrame, values=TEMPLATES, least: float = 0.6) -> DataFrame:
+def license_scan(files: DataFrame, values=TEMPLATES, least: float = LEAST) -> DataFrame:
     """file_id, path, license, similarity, origin for every row of ``files``.
 
-    Needs file_id, path and text. origin is ``stated`` (in the file),
-    ``inherited`` (from the licence file of the nearest directory above, the own
-    included) or ``none``. A null path has no directory; a null text states
-    nothing; a null file_id is unknown ground: origin ``none``. Rows that repeat
-    a file_id share the best statement. Of several licence files in a directory
-    the most similar counts, then the licence by name.
+    Needs file_id, path and text, whatever other columns there are. origin is
+    ``stated`` (in the file), ``inherited`` (from the licence file of the nearest
+    directory above, the own included) or ``none``. A null path has no directory;
+    a null text states nothing; a null file_id is a value like others, so its row
+    states, grants and inherits. Rows that repeat a file_id and path share the
+    best statement. Of several licence files in a directory the most similar
+    counts, then the licence by name. No files: no rows.
     """
-    files = files.select(files["file_id"], files["path"], files["text"])
-    stated = materialize(stated_licenses(files, values, least), "licenses")
-    placed = files.select("file_id", "path").join(stated, "file_id", "left")
-    granting = placed.filter(F.col("path").rlike(_LICENSE_FILE) & F.col("license").isNotNull())
-    directory = F.regexp_replace("path", r"/?[^/]*$", "")
+    stated = materialize(stated_licenses(files, values, least).drop("notice"), "licenses").toDF("stated_id", "stated_path", "license", "similarity")
+    rows = files.select(files["file_id"].alias("file_id"), files["path"].alias("path"))
+    directory = F.regexp_replace("stated_path", r"/?[^/]*$", "")
+    granting = stated.filter(F.col("stated_path").rlike(_LICENSE_FILE))
     grants = granting.groupBy(directory.alias("dir")).agg(F.max(F.struct("similarity", "license")).alias("g")).select("dir", F.col("g.license").alias("granted"))
-    open_dirs = placed.filter("license is null and path is not null").select(directory.alias("own")).distinct()
+    own = F.regexp_replace("path", r"/?[^/]*$", "")
+    dirs = rows.filter("path is not null").select(own.alias("own")).distinct()
     # directories, not files, are joined with what lies above them
-    above = open_dirs.select("own", F.explode(_ancestors(F.concat("own", F.when(F.col("own") == "", F.lit("x")).otherwise(F.lit("/x"))))).alias("a"))
+    above = dirs.select("own", F.explode(_ancestors(F.concat("own", F.when(F.col("own") == "", F.lit("x")).otherwise(F.lit("/x"))))).alias("a"))
     nearest = above.join(grants, F.col("a.dir") == F.col("dir")).groupBy("own").agg(F.max(F.struct(F.col("a.depth").alias("depth"), "granted")).alias("n"))
-    out = placed.withColumn("own", directory).join(nearest.select(F.col("own").alias("_own"), F.col("n.granted").alias("granted")), F.col("own") == F.col("_own"), "left")
+    # a table of its own, so that a directory with many files can be split in the join
+    nearest = materialize(nearest.select(F.col("own").alias("near"), F.col("n.granted").alias("granted")), "nearest")
+    placed = rows.join(stated, F.col("file_id").eqNullSafe(F.col("stated_id")) & F.col("path").eqNullSafe(F.col("stated_path")), "left")
+    out = placed.withColumn("own", own).join(nearest, F.col("own") == F.col("near"), "left")
     origin = F.when(F.col("license").isNotNull(), "stated").when(F.col("granted").isNotNull(), "inherited").otherwise("none")
     return out.select("file_id", "path", F.coalesce("license", "granted").alias("license"), "similarity", origin.alias("origin"))
 
@@ -227,3 +264,54 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
     base = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), (F.floor(i / 1000) % 10).cast("string"), (F.floor(i / 100) % 10).cast("string"))
     path = F.when(i % 100 == 0, F.concat(base, F.lit("/LICENSE"))).otherwise(F.concat(base, F.lit("/"), i.cast("string"), F.lit(".txt")))
     return docs.select(docs["doc_id"].alias("file_id"), path.alias("path"), docs["text"])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The scan of ``documents_as_files`` in DuckDB, without the gate.
+ORACLE = rf"""
+WITH templates AS (
+  SELECT * FROM (VALUES {", ".join(f"({i}, {_quoted(a)}, {_quoted(b)})" for i, (a, b) in enumerate(TEMPLATES))}) AS v(template, license, text)),
+t_words AS (SELECT template, license, regexp_extract_all(lower(text), '{_WORD}') AS w FROM templates),
+t_pairs AS (
+  SELECT template, license, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS pair FROM t_words),
+t_tf AS (SELECT template, license, pair, count(*) AS tf FROM t_pairs GROUP BY ALL),
+t_idf AS (SELECT pair, ln(1 + {len(TEMPLATES)}.0::DOUBLE / count(*)) AS idf FROM t_tf GROUP BY pair),
+t_norm AS (SELECT template, sqrt(sum(tf * idf * tf * idf)) AS norm FROM t_tf JOIN t_idf USING (pair) GROUP BY template),
+vectors AS (SELECT template, license, pair, tf * idf / norm AS weight FROM t_tf JOIN t_idf USING (pair) JOIN t_norm USING (template)),
+based AS (
+  SELECT doc_id, text, coalesce(source, 'unknown') || '/' || ((doc_id // 1000) % 10) || '/' || ((doc_id // 100) % 10) AS dir FROM documents),
+files AS (
+  SELECT doc_id, text, dir, CASE WHEN doc_id % 100 = 0 THEN dir || '/LICENSE' ELSE dir || '/' || doc_id || '.txt' END AS path FROM based),
+lined AS (
+  SELECT doc_id, path, list_transform(string_split(translate(text, '{_UPPER}', '{_LOWER}'), chr(10)),
+         lambda x: regexp_replace(regexp_replace(x, '{_HEAD}', ''), '{_TAIL}', '')) AS ls FROM files WHERE text IS NOT NULL),
+blocks AS (
+  SELECT doc_id, path, replace(unnest(regexp_split_to_array(array_to_string(ls, chr(10)), '\n\n+')), chr(10), ' ') AS b FROM lined),
+sentences AS (
+  SELECT doc_id, path, unnest(string_split(regexp_replace(b, '([.!?])[ \t\r]+', '\1' || chr(10), 'g'), chr(10))) AS s FROM blocks),
+notices AS (
+  SELECT doc_id, path, unnest(ls) AS notice FROM lined UNION SELECT doc_id, path, b FROM blocks UNION SELECT doc_id, path, s FROM sentences
+  UNION SELECT doc_id, path, regexp_extract(s, '\bunder\s.*', 0) FROM sentences
+  UNION SELECT doc_id, path, replace(array_to_string(ls, chr(10)), chr(10), ' ') FROM lined WHERE path LIKE '%/LICENSE'),
+n_words AS (SELECT doc_id, path, notice, regexp_extract_all(notice, '{_WORD}') AS w FROM notices),
+n_pairs AS (
+  SELECT doc_id, path, notice, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS pair FROM n_words),
+n_tf AS (SELECT doc_id, path, notice, pair, count(*) AS tf FROM n_pairs GROUP BY ALL),
+n_w AS (SELECT doc_id, path, notice, pair, tf * coalesce(idf, ln(1 + {len(TEMPLATES)}.0::DOUBLE)) AS w FROM n_tf LEFT JOIN t_idf USING (pair)),
+n_norm AS (SELECT doc_id, path, notice, sqrt(sum(w * w)) AS norm FROM n_w GROUP BY ALL),
+dots AS (SELECT doc_id, path, notice, template, license, sum(w * weight) AS dot FROM n_w JOIN vectors USING (pair) GROUP BY ALL),
+scored AS (
+  SELECT doc_id, path, license, round(dot / norm, 6) AS similarity FROM dots JOIN n_norm USING (doc_id, path, notice) WHERE round(dot / norm, 6) >= {LEAST}::DOUBLE),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY license <> 'Proprietary' DESC, similarity DESC, license DESC) AS place FROM scored),
+stated AS (SELECT doc_id, license, similarity FROM ordered WHERE place = 1),
+granting AS (
+  SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license DESC) AS place FROM files JOIN stated USING (doc_id) WHERE path LIKE '%/LICENSE'),
+grants AS (SELECT dir, license AS granted FROM granting WHERE place = 1)
+SELECT doc_id, path, coalesce(license, granted) AS license, similarity,
+       CASE WHEN license IS NOT NULL THEN 'stated' WHEN granted IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM files LEFT JOIN stated USING (doc_id) LEFT JOIN grants USING (dir)
+"""

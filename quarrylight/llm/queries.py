@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
     "op10_source_mix": mixing.ORACLE,
 }

@@ -161,6 +161,33 @@ def test_token_store(spark, odd, none):
 # --- 3 ---------------------------------------------------------------------------------
 
 
+def test_license_scan_is_its_sql(spark, duck):
+    same_rows(queries.op3_license_scan(spark, SMALL), duck, licenses.ORACLE)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.data())
+def test_no_notice_without_a_gate_word_is_similar(data):
+    """Of every template the words that the gate doesn't have, as often as one likes."""
+    vectors = licenses.template_vectors()
+    gate = set(licenses.gate_words(vectors))
+    template = data.draw(st.integers(0, len(licenses.TEMPLATES) - 1))
+    open_ = {v[2]: v[4] for v in vectors if v[0] == template and not gate & set(v[2].split())}
+    picked = data.draw(st.dictionaries(st.sampled_from(sorted(open_)), st.integers(1, 9))) if open_ else {}
+    idf = {v[2]: v[3] for v in vectors}
+    norm = math.sqrt(sum((n * idf[p]) ** 2 for p, n in picked.items()))
+    assert not picked or sum(n * idf[p] * open_[p] for p, n in picked.items()) / norm < licenses.LEAST
+
+
+def test_license_edges(spark, odd, none):
+    """Null ids and paths, repeated rows, ties, a long line, clashing names."""
+    rows = [(None, "p/LICENSE", "Released under the MIT License.", 1), (1, "p/a.txt", None, 2), (1, "p/a.txt", "SPDX-License-Identifier: ISC", 3), (2, "q/LICENSE", "Released under the MIT License.", 4),
+            (3, "q/COPYING", "Released under the ISC License.", 5), (4, "q/r/x", "license " * 50_000, 6), (None, None, "All rights reserved.", 7), (5, None, "", 8)]
+    out = Counter((r["file_id"], r["license"], r["origin"]) for r in licenses.license_scan(spark.createDataFrame(rows, "file_id long, path string, text string, similarity int")).collect())
+    assert out == Counter({(None, "MIT", "stated"): 1, (1, "ISC", "stated"): 2, (2, "MIT", "stated"): 1, (3, "ISC", "stated"): 1, (4, "MIT", "inherited"): 1, (None, "Proprietary", "stated"): 1, (5, None, "none"): 1})
+    assert licenses.license_scan(licenses.documents_as_files(odd)).count() == odd.count() and licenses.license_scan(licenses.documents_as_files(none)).count() == 0
+
+
 def test_licenses_are_stated_or_inherited(spark):
     rows = [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/x.txt", "nothing"), (3, "p/a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "p/a/b/c/y.txt", None),
             (5, "p/a/b/z.txt", "first\nLicensed under CC BY-NC 4.0.\nlast"), (6, "q/x.txt", ""), (7, None, "All rights reserved."), (8, "p/license notes.txt", "A licence to fish"), (None, "p/n.txt", "x")]
