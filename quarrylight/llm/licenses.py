@@ -166,6 +166,20 @@ def gate_words(vectors: list[tuple[int, str, str, float, float]], least: float =
     return chosen
 
 
+def gate_patterns(vectors: list[tuple[int, str, str, float, float]], words: list[str]) -> tuple[list[str], str]:
+    """The long words, and a pattern for the short ones: these count only in the
+    pairs that templates have of them."""
+    long = [w for w in words if len(w) > 4]
+    short = {w for w in words if len(w) < 5}
+    after: dict[str, set[str]] = {}
+    for pair in {v[2] for v in vectors}:
+        if short & set(pair.split()) and not any(w in pair for w in long):
+            first, _, second = pair.partition(" ")
+            after.setdefault(first, set()).add(second)
+    kinds = [re.escape(a) + (f"[^a-z0-9]+(?:{'|'.join(re.escape(b) for b in sorted(bs))})" if bs != {""} else "") for a, bs in sorted(after.items())]
+    return long, f"(?<![a-z0-9])(?:{'|'.join(kinds)})(?![a-z0-9])" if kinds else ""
+
+
 def _notices(lines: Column, is_license_file: Column, gate) -> Column:
     """The texts of a document that may state a licence: its lines, blocks, and
     the sentences of blocks, whole and from "under" on (what a sentence says of
@@ -180,10 +194,10 @@ def _notices(lines: Column, is_license_file: Column, gate) -> Column:
 
 
 def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """file_id, path, license, similarity, notice of each file that states a licence.
+    """file_id, path, license, similarity of each file that states a licence.
 
     Every notice is compared as a vector of its own; the most similar template of
-    all wins (ties: the licence by name, then the notice), a reserved right only
+    all wins (ties: the licence by name), a reserved right only
     where no licence is granted. Pairs that no template has count in a notice's
     norm with the weight of a template's rarest pair. Nulls in file_id and path
     are values like others; a null or empty text states nothing. Rows that repeat
@@ -192,11 +206,10 @@ def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = LEAST) ->
     vectors = template_vectors(values)
     words = gate_words(vectors, least)
 
-    # short words count only by themselves, as many other words hold them
-    short = "|".join(re.escape(w) for w in words if len(w) < 5)
+    long, pairs = gate_patterns(vectors, words)
 
     def gate(x: Column) -> Column:
-        return reduce(or_, [x.contains(w) for w in words if len(w) > 4] + [x.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] * bool(short))
+        return reduce(or_, [x.contains(w) for w in long] + [x.rlike(pairs)] * bool(pairs))
 
     table = materialize(files.sparkSession.createDataFrame(vectors, "template int, license string, pair string, idf double, weight double").coalesce(1), "templates")
     is_license_file = F.coalesce(F.col("path").rlike(_LICENSE_FILE), F.lit(False))
@@ -204,22 +217,28 @@ def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = LEAST) ->
     # columns of their own, so that nothing computes them again for each notice
     split = F.transform(F.split(F.translate("text", _UPPER, _LOWER), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, _HEAD, ""), _TAIL, ""))
     found = rows.select("file_id", "path", split.alias("lines")).select("file_id", "path", F.explode(_notices(F.col("lines"), is_license_file, gate)).alias("notice"))
-    found = found.select("file_id", "path", "notice", F.regexp_extract_all("notice", F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
+    # a number stands for the notice from here on, however long it is
+    found = found.select("file_id", "path", F.xxhash64("notice").alias("part"), F.regexp_extract_all("notice", F.lit(f"({_WORD})"), F.lit(1)).alias("words"))
     n = F.size("words")
-    pairs = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
-    key = ["file_id", "path", "notice"]
-    tf = found.filter(n > 0).select(*key, F.explode(F.when(n > 1, pairs).otherwise(F.col("words"))).alias("pair")).groupBy(*key, "pair").agg(F.count("*").alias("tf"))
+    pairs_of = F.zip_with(F.slice("words", F.lit(1), n - 1), F.slice("words", F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
+    key = ["file_id", "path", "part"]
+    each = found.filter(n > 0).select(*key, F.explode(F.when(n > 1, pairs_of).otherwise(F.col("words"))).alias("pair")).select(*key, F.xxhash64("pair").alias("pair"))
+    # all of a notice in one task, where it is counted, weighed and, mostly, let go
+    tf = each.repartition("part").groupBy(*key, "pair").agg(F.count("*").alias("tf"))
     # the template table is a constant of this module: some thousand pairs
-    idf = table.groupBy("pair").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "weight")).alias("has"))
+    table = table.withColumn("pair", F.xxhash64("pair"))
+    idf = table.groupBy("pair").agg(F.first("idf").alias("idf"))
     weighted = tf.join(F.broadcast(idf), "pair", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log1p(len(values)))))
-    # the norm travels with the templates, as one more of them, so that both need one pass
-    norm = F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.col("w").alias("weight"))
-    sides = weighted.select(*key, "w", F.explode(F.concat(F.array(norm), F.coalesce("has", F.array().cast("array<struct<template:int,license:string,weight:double>>")))).alias("t"))
-    dots = sides.groupBy(*key, "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
-    best_of = dots.groupBy(*key).agg(F.sqrt(F.max(F.when(F.col("template") < 0, F.col("dot")))).alias("norm"), F.collect_list(F.when(F.col("template") >= 0, F.struct("license", "dot"))).alias("dots"))
-    scored = best_of.select(*key, "norm", F.explode("dots").alias("d")).select(*key, "d.license", F.round(F.col("d.dot") / F.col("norm"), 6).alias("similarity")).filter(F.col("similarity") >= least)
-    best = F.max(F.struct((F.col("license") != "Proprietary").alias("granted"), "similarity", "license", "notice"))
-    return scored.groupBy("file_id", "path").agg(best.alias("b")).select("file_id", "path", "b.license", "b.similarity", "b.notice")
+    known = F.col("idf").isNotNull()
+    square = F.col("w") * F.col("w")
+    vector = weighted.groupBy(*key).agg(F.sum(square).alias("all"), F.sum(F.when(known, square)).alias("known"), F.collect_list(F.when(known, F.struct("pair", "w"))).alias("has"))
+    # the cosine to any template is at most the part of the norm that known pairs have
+    near = vector.filter(F.col("known") >= F.col("all") * (least * least * 0.98))
+    sides = near.select(*key, F.sqrt("all").alias("norm"), F.inline("has")).join(F.broadcast(table.select("pair", "template", "license", "weight")), "pair")
+    dots = sides.groupBy(*key, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
+    scored = dots.select(*key, "license", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    best = F.max(F.struct((F.col("license") != "Proprietary").alias("granted"), "similarity", "license"))
+    return scored.groupBy("file_id", "path").agg(best.alias("b")).select("file_id", "path", "b.license", "b.similarity")
 
 
 def _ancestors(path: Column) -> Column:
@@ -239,7 +258,7 @@ def license_scan(files: DataFrame, values=TEMPLATES, least: float = LEAST) -> Da
     best statement. Of several licence files in a directory the most similar
     counts, then the licence by name. No files: no rows.
     """
-    stated = materialize(stated_licenses(files, values, least).drop("notice"), "licenses").toDF("stated_id", "stated_path", "license", "similarity")
+    stated = materialize(stated_licenses(files, values, least), "licenses").toDF("stated_id", "stated_path", "license", "similarity")
     rows = files.select(files["file_id"].alias("file_id"), files["path"].alias("path"))
     directory = F.regexp_replace("stated_path", r"/?[^/]*$", "")
     granting = stated.filter(F.col("stated_path").rlike(_LICENSE_FILE))
