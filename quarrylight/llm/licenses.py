@@ -20,8 +20,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,9 +164,21 @@ def gate_words(vectors: list[tuple[int, str, str, float, float]], least: float =
     return chosen
 
 
-def gate_patterns(vectors: list[tuple[int, str, str, float, float]], words: list[str]) -> tuple[list[str], str]:
-    """The long words, and a pattern for the short ones: these count only in the
-    pairs that templates have of them."""
+def _any_of(words: dict[str, str]) -> str:
+    """A pattern for any of the words, each with what must follow it, that reads
+    a common beginning once."""
+    if len(words) == 1:
+        word, tail = next(iter(words.items()))
+        return re.escape(word) + tail
+    by: dict[str, dict[str, str]] = {}
+    for word, tail in sorted(words.items()):
+        by.setdefault(word[:1], {})[word[1:]] = tail
+    return "(?:" + "|".join([re.escape(c) + _any_of(rest) for c, rest in by.items() if c] + [rest[""] for rest in [by.get("")] if rest]) + ")"
+
+
+def gate_pattern(vectors: list[tuple[int, str, str, float, float]], words: list[str]) -> str:
+    """One pattern for lower-case texts that have a gate word. Short words count
+    only in the pairs that templates have of them."""
     long = [w for w in words if len(w) > 4]
     short = {w for w in words if len(w) < 5}
     after: dict[str, set[str]] = {}
@@ -176,8 +186,8 @@ def gate_patterns(vectors: list[tuple[int, str, str, float, float]], words: list
         if short & set(pair.split()) and not any(w in pair for w in long):
             first, _, second = pair.partition(" ")
             after.setdefault(first, set()).add(second)
-    kinds = [re.escape(a) + (f"[^a-z0-9]+(?:{'|'.join(re.escape(b) for b in sorted(bs))})" if bs != {""} else "") for a, bs in sorted(after.items())]
-    return long, f"(?<![a-z0-9])(?:{'|'.join(kinds)})(?![a-z0-9])" if kinds else ""
+    tails = {a: "(?![a-z0-9])" if "" in bs else "[^a-z0-9]+" + _any_of(dict.fromkeys(bs, "(?![a-z0-9])")) for a, bs in after.items()}
+    return "(?:^|[^a-z0-9])" + _any_of(tails | dict.fromkeys(long, ""))
 
 
 def _notices(lines: Column, is_license_file: Column, gate) -> Column:
@@ -204,12 +214,10 @@ def stated_licenses(files: DataFrame, values=TEMPLATES, least: float = LEAST) ->
     a file_id and path have all their statements together. No files: no rows.
     """
     vectors = template_vectors(values)
-    words = gate_words(vectors, least)
-
-    long, pairs = gate_patterns(vectors, words)
+    pattern = gate_pattern(vectors, gate_words(vectors, least))
 
     def gate(x: Column) -> Column:
-        return reduce(or_, [x.contains(w) for w in long] + [x.rlike(pairs)] * bool(pairs))
+        return x.rlike(pattern)
 
     table = materialize(files.sparkSession.createDataFrame(vectors, "template int, license string, pair string, idf double, weight double").coalesce(1), "templates")
     is_license_file = F.coalesce(F.col("path").rlike(_LICENSE_FILE), F.lit(False))

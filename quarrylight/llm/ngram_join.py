@@ -24,7 +24,7 @@ Sets are compared by 54 or more bits of 64-bit hashes; equal sets share a key of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,12 +248,45 @@ def _in_mixed_company(places: DataFrame, labels: DataFrame, scratch: Scratch) ->
     component and its size."""
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
     known = labels.join(sizes, "component").select(F.col("id").alias("key"), F.col("component"), "size")
-    placed = places.join(known, "key", "left").select("item", "key", "n", "shared", "at", F.coalesce("component", "key").alias("home"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = places.join(known, "key", "left").select(*places.columns, F.coalesce("component", "key").alias("home"), F.coalesce("size", F.lit(1)).alias("size"))
     placed = scratch.keep(placed)
     mixed = placed.groupBy("item").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("item")
     return placed.join(mixed, "item", "left_semi")
 
 
+def prefix_components(places: DataFrame, labels: DataFrame, tried: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Components, as (id, component), of all pairs that share a prefix shingle.
+
+    ``places``: item, key, n, shared, at of the shingles of each set's prefix (at:
+    how many of its n come before; shared: how many other sets have), and perhaps
+    bits0 to bits3, in which each shingle of the set has one bit set: what differs
+    there differs in the sets. ``labels``: (id, component) known so far, from links
+    among the pairs ``tried``, which aren't verified again. Only pairs across
+    components are.
+    """
+    bits = [c for c in places.columns if c.startswith("bits")]
+    # first with one other at each shingle: of edited copies of one text, the one
+    # that shares most is closest to all
+    mixed = _in_mixed_company(places, labels, scratch)
+    most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
+    star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
+    star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    star = scratch.keep(star)
+    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verify(star)), "star-components")
+    release(places.sparkSession)
+
+    # then every pair that shares one
+    left = _in_mixed_company(places, labels, scratch)
+    p = left.select("item", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("na"), F.col("at").alias("pa"), *[F.col(c).alias(f"{c}_a") for c in bits])
+    q = left.select("item", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("at").alias("pb"), *[F.col(c).alias(f"{c}_b") for c in bits])
+    # at the first shared shingle nothing before it overlaps: the rest must be enough
+    enough = "ha <> hb and a < b and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * (1 + least(na - pa - 1, nb - pb - 1)) >= 3 * (na + nb)"
+    if bits:  # a similar pair differs in a seventh of its shingles at most
+        enough += f" and 7 * ({' + '.join(f'bit_count({c}_a ^ {c}_b)' for c in bits)}) <= na + nb"
+    more = scratch.keep(p.join(q, "item").filter(enough).select("a", "b").distinct().join(tried.union(star), ["a", "b"], "left_anti"))
+    return connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verify(more)), "components")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(documents, components) of the join at similarity 0.75.
 
@@ -287,27 +320,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     labels = connected_components(verified(pairs, segments), "first-components")
     release(spark)
 
-    # then with one other at each shingle of the prefix
     unique = F.col("n") - F.col("shared")
     places = heads.select("key", "n", "shared", unique.alias("u"), F.posexplode("prefix").alias("i", "item"))
     places = scratch.keep(places.select("item", "key", "n", "shared", (F.col("u") + F.col("i")).cast("int").alias("at")))
-    # of edited copies of one text, the one that shares most is closest to all
-    mixed = _in_mixed_company(places, labels, scratch)
-    most = mixed.groupBy("item").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), "size", "home", "key", "n")).alias("p"))
-    star = mixed.join(most, "item").filter("home <> p.home and 4 * n >= 3 * p.n and 4 * p.n >= 3 * n")
-    star = star.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    star = scratch.keep(star)
-    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(star, segments)), "star-components")
-    release(spark)
-
-    # second turn: every pair that shares a prefix shingle, across components
-    left = _in_mixed_company(places, labels, scratch)
-    p = left.select("item", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    q = left.select("item", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # at the first shared shingle nothing before it overlaps: the rest must be enough
-    enough = "ha <> hb and a < b and 4 * na >= 3 * nb and 4 * nb >= 3 * na and 7 * (1 + least(na - pa - 1, nb - pb - 1)) >= 3 * (na + nb)"
-    more = scratch.keep(p.join(q, "item").filter(enough).select("a", "b").distinct().join(pairs.union(star), ["a", "b"], "left_anti"))
-    components = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(more, segments)), "components")
+    components = prefix_components(places, labels, pairs, lambda x: verified(x, segments), scratch)
     scratch.drop()
     release(spark)
     return documents, components

@@ -14,7 +14,8 @@ document are one passage.
 
 Equal paragraphs share a key and are handled once. Candidates come in two turns,
 as near copies otherwise give all their pairs: first each bucket's paragraphs
-with one of them, then all pairs of a bucket that are not in one component yet.
+with one of them, then of buckets that are not in one component yet all pairs
+that share one of their rarest shingles, as similar ones must.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_ranges
 from quarrylight.llm.components import connected_components
-from quarrylight.llm.ngram_join import set_keys
+from quarrylight.llm.ngram_join import prefix_components, set_keys
 
 #: Words of a paragraph at least (any number may be asked for), and of a window.
 MIN_WORDS = 25
@@ -197,8 +198,11 @@ def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "word", "key"])
 
 
+_BITS = ("bits0", "bits1", "bits2", "bits3")
+
+
 def _sets(k: int):
-    """(text, places) -> key, n, items of the paragraphs at those places. Rows that
+    """(text, places) -> key, n, items, bits of the paragraphs at those places. Rows that
     repeat a doc_id meet in a task, which remembers some 100,000 keys it has sent;
     a set sent twice changes no result."""
 
@@ -218,7 +222,9 @@ def _sets(k: int):
                 keys = np.array([key for _, _, key in spans[i : i + 1024]], np.int64)
                 same = set_keys(x, n).view(np.int64) == keys  # else another text of this doc_id
                 items = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(x.view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32)), items], names=["key", "n", "items"])
+                bits = np.zeros((len(n), 4), np.uint64)
+                np.bitwise_or.at(bits, (np.repeat(np.arange(len(n)), n), (x >> np.uint64(6)) & np.uint64(3)), np.uint64(1) << (x & np.uint64(63)))
+                rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32)), items, *[pa.array(bits[:, i].view(np.int64)) for i in range(4)]], names=["key", "n", "items", *_BITS])
                 new = [ok and key not in seen and not seen.add(key) for ok, key in zip(same.tolist(), keys.tolist(), strict=True)]
                 yield rows.filter(pa.array(new, pa.bool_()))
                 if len(seen) > 100_000:
@@ -275,6 +281,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter("7 * o >= 3 * (na + nb)").select("a", "b")
 
 
+def _prefixes(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """item, key, n, shared, at, bits of the rarest shingles of the sets of these keys.
+
+    Of two sets with similarity 0.75 the first n - ceil(0.75 n) + 1 shingles of
+    each, in one order of all shingles, must have one in common. Rare ones first:
+    paragraphs that have only a common passage in common, however many they are,
+    don't meet.
+    """
+    each = keys.join(sets.dropDuplicates(["key"]), "key").select("key", "n", *_BITS, F.explode("items").alias("item"))
+    often = each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = each.join(often, "item")
+    own = Window.partitionBy("key")
+    shared = shared.withColumn("shared", F.count("*").over(own))
+    # those that only this set has come first and match nothing
+    shared = shared.withColumn("at", F.col("n") - F.col("shared") + F.row_number().over(own.orderBy("df", "item")) - 1)
+    return shared.filter("at < n - ceil(0.75 * n) + 1").select("item", "key", "n", "shared", F.col("at").cast("int").alias("at"), *_BITS)
+
+
 def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each paragraph that is in a cluster of at least two.
 
@@ -301,7 +325,7 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999, min_
     wanted = found.join(crowded.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "start", "stop")).alias("first"))
     # a text's own places: never more than its paragraphs
     wanted = scratch.keep(wanted.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.start", "first.stop", "key")).alias("places")))
-    sets = scratch.keep(texts.join(wanted, "doc_id").select("text", "places").mapInArrow(_sets(k), "key long, n int, items array<long>"))
+    sets = scratch.keep(texts.join(wanted, "doc_id").select("text", "places").mapInArrow(_sets(k), "key long, n int, items array<long>, " + ", ".join(f"{c} long" for c in _BITS)))
     release(spark)
 
     pairs = scratch.keep(crowded.filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct())
@@ -309,13 +333,9 @@ def paragraph_clusters(docs: DataFrame, k: int = 5, recall: float = 0.9999, min_
     release(spark)
     homed = scratch.keep(crowded.join(labels, F.col("key") == F.col("id"), "left").select("bucket", "key", F.coalesce("component", "key").alias("home")))
     mixed = scratch.keep(homed.groupBy("bucket").agg(F.min("home").alias("x"), F.max("home").alias("y")).filter("x < y").select("bucket"))
-    left = scratch.keep(homed.join(mixed, "bucket").join(sets.select("key", "n"), "key"))
-    p = left.select("bucket", F.col("key").alias("a"), F.col("home").alias("ha"), F.col("n").alias("xa"))
-    q = left.select("bucket", F.col("key").alias("b"), F.col("home").alias("hb"), F.col("n").alias("xb"))
-    more = p.join(q, "bucket").filter("ha < hb and 4 * xa >= 3 * xb and 4 * xb >= 3 * xa").select("a", "b").distinct()
-    more = scratch.keep(more.join(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti"))
-    edges = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(_verified(more, sets))
-    components = connected_components(edges, "paragraph-clusters")
+    places = scratch.keep(_prefixes(homed.join(mixed, "bucket").select("key").distinct(), sets))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    components = prefix_components(places, labels, tried, lambda x: _verified(x, sets), scratch)
     scratch.drop()
     release(spark)
 
@@ -342,7 +362,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).filter("doc_id is not null")
     windows = texts.mapInArrow(_list_windows, "doc_id long, start long, stop long, word long, key long")
     often = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "often")
-    placed = materialize(windows.join(often, "key", "left_semi").distinct(), "windows")
+    placed = materialize(windows.join(often, "key", "left_semi"), "windows").distinct()
     return _with_first(placed.withColumnRenamed("key", "cluster").withColumn("n_words", F.lit(WINDOW)))
 
 
