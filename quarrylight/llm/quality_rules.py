@@ -1,13 +1,17 @@
 """Quality rules whose cutoffs carry a guarantee. Built-in functions only.
 
-Every measure gets, in every stratum, the strictest cutoff of a fixed grid that
-provably rejects few good documents: on a labelled holdout of n good documents
-of which the cutoff rejects k, the exact binomial test of "it rejects more than
-``alpha`` of them" must give P(Binomial(n, alpha) <= k) <= delta / tests, where
-tests counts all strata, measures and cutoffs tried (Bonferroni). So with
-probability 1 - delta every chosen cutoff, of every stratum, keeps its promise.
-A stratum with too few labels to prove anything gets no cutoff and rejects
-nothing beyond the base rules.
+A cutoff of a measure may be used in a stratum if it provably rejects few good
+documents: on a labelled holdout of n good documents of which the cutoff rejects
+k, the exact binomial test of "it rejects more than ``alpha`` of them" must give
+P(Binomial(n, alpha) <= k) <= delta / chains. The cutoffs of a stratum and measure
+are one chain, tested in a fixed order from lax to strict until the first that
+fails, which needs no correction inside the chain (k, and with it the tail, only
+grows); the correction is for the chains, all strata times all measures. So with
+probability 1 - delta every cutoff that passes, of every chain, keeps its promise,
+and whichever of them may be chosen: that which rejects most of the bad holdout
+documents beyond its share of good ones. A measure that tells bad from good no
+better than chance gets no cutoff, nor does a stratum with too few labels to
+prove anything (under about 180 good ones with four strata).
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 #: Measures in thousandths, and the cutoffs tried: reject if the measure is above.
 GRID = tuple(range(0, 1000, 25))
 MEASURES = ("symbols", "dup_lines", "repeats")
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.03, 0.05
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -100,26 +104,38 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid=GRID, measures=MEASURES) -> DataFrame:
-    """stratum and, for each measure, the cutoff chosen (null: none is proven).
+    """stratum and, for each measure, the cutoff chosen (null: none).
 
     The holdout is every row of ``rated`` that passes the base rules and has a
-    label quality = 1; labels that repeat a doc_id count once, as good only if
-    none of them says otherwise. First a histogram of the measures is made, so
-    only strata x measures x cutoffs rows go on, whatever the input's size.
+    label; labels that repeat a doc_id count once, as good (quality = 1) only if
+    none of them says otherwise; null labels and null ids tell nothing. First a
+    histogram of the measures is made, so only strata x measures x cutoffs rows go
+    on, whatever the input's size. Ties: the laxest cutoff.
     """
-    good = labels.groupBy(labels["doc_id"].alias("id")).agg(F.min("quality").alias("quality")).filter("quality = 1 and id is not null")
-    held = rated.filter("not base_failed").join(good, F.col("doc_id") == F.col("id"), "left_semi")
+    told = labels.groupBy(labels["doc_id"].alias("id")).agg(F.min("quality").alias("quality")).filter("quality in (0, 1) and id is not null")
+    held = rated.filter("not base_failed").join(told, F.col("doc_id") == F.col("id"))
     sides = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures])
-    # the smallest cutoff of the grid that keeps a value: all below it reject it
-    counts = held.select("stratum", F.explode(sides).alias("m")).select("stratum", "m.measure", "m.value").groupBy("stratum", "measure", "value").agg(F.count("*").alias("n"))
-    steps = counts.select("stratum", "measure", "value", "n", F.explode(F.array(*[F.lit(g).cast("long") for g in grid])).alias("cutoff"))
-    tried = steps.groupBy("stratum", "measure", "cutoff").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("value") > F.col("cutoff"), F.col("n")).otherwise(0)).alias("k"))
+    counts = held.select("stratum", "quality", F.explode(sides).alias("m")).groupBy("stratum", "quality", "m.measure", "m.value").agg(F.count("*").alias("n"))
+    steps = counts.select("stratum", "quality", "measure", "value", "n", F.explode(F.array(*[F.lit(g).cast("long") for g in grid])).alias("cutoff"))
+
+    def total(quality: int, over: bool) -> Column:
+        counted = (F.col("quality") == quality) & ((F.col("value") > F.col("cutoff")) if over else F.lit(True))
+        return F.sum(F.when(counted, F.col("n")).otherwise(0))
+
+    tried = steps.groupBy("stratum", "measure", "cutoff").agg(total(1, False).alias("n"), total(1, True).alias("k"), total(0, False).alias("bad"), total(0, True).alias("caught"))
+    # a stratum without a good document proves nothing, so it isn't tested
+    tried = tried.filter("n > 0")
     strata = tried.select(F.count_distinct("stratum").alias("strata"))
-    bound = F.lit(delta) / (F.col("strata") * len(grid) * len(measures))
+    bound = F.lit(delta) / (F.col("strata") * len(measures))
     # beyond the mean the tail is never below a bound under one half, so long sums are spared
     hopeful = F.col("k") <= F.floor(F.col("n") * alpha)
+    # one row: the number of strata
     proven = tried.join(F.broadcast(strata)).filter(hopeful).filter(binomial_tail(F.col("n"), F.col("k"), alpha) <= bound)
-    return proven.groupBy("stratum").agg(*[F.min(F.when(F.col("measure") == m, F.col("cutoff"))).alias(f"cut_{m}") for m in measures])
+    # caught / bad - k / n, in whole numbers over the same whole
+    gain = F.col("caught") * F.col("n") - F.col("k") * F.col("bad")
+    best = F.max(F.when(gain > 0, F.struct(gain.alias("gain"), "cutoff")))
+    chosen = proven.groupBy("stratum", "measure").agg(best.alias("best"))
+    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("measure") == m, F.col("best.cutoff"))).alias(f"cut_{m}") for m in measures])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -129,7 +145,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **options) -> DataFrame
     labels prove nothing. Repeated rows are each judged. An empty ``labels``
     leaves only the base rules.
     """
-    # written once: the counts are used twice, and a filter must not be pushed into them
+    # written once: the counts are used twice, and a filter must not be pushed into them;
+    # a row a stratum is broadcast, and strata are languages
     rated = with_rates(materialize(base_measures(docs), "measures"))
     chosen = cutoffs(rated, labels, **options).withColumnRenamed("stratum", "_stratum")
     judged = rated.join(F.broadcast(chosen), F.col("stratum") == F.col("_stratum"), "left")
@@ -168,23 +185,28 @@ rated AS (
          CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
          CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats
   FROM base),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT * FROM rated WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
+told AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) IN (0, 1)),
+held AS (SELECT * FROM rated JOIN told USING (doc_id) WHERE NOT base_failed),
 long AS (
-  SELECT stratum, 'symbols' AS measure, symbols AS value FROM held UNION ALL
-  SELECT stratum, 'dup_lines', dup_lines FROM held UNION ALL SELECT stratum, 'repeats', repeats FROM held),
+  SELECT stratum, quality, 'symbols' AS measure, symbols AS value FROM held UNION ALL
+  SELECT stratum, quality, 'dup_lines', dup_lines FROM held UNION ALL SELECT stratum, quality, 'repeats', repeats FROM held),
 tried AS (
-  SELECT stratum, measure, g.cutoff, count(*) AS n, count(*) FILTER (WHERE value > g.cutoff) AS k
+  SELECT stratum, measure, g.cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND value > g.cutoff) AS k,
+         count(*) FILTER (WHERE quality = 0) AS bad, count(*) FILTER (WHERE quality = 0 AND value > g.cutoff) AS caught
   FROM long, (SELECT unnest(range(0, 1000, 25)) AS cutoff) g GROUP BY 1, 2, 3),
-hopeful AS (SELECT *, (SELECT count(DISTINCT stratum) FROM tried) AS strata FROM tried WHERE k <= floor(n * {ALPHA})),
+hopeful AS (
+  SELECT *, (SELECT count(DISTINCT stratum) FROM tried WHERE n > 0) AS strata FROM tried WHERE n > 0 AND k <= floor(n * {ALPHA})),
 terms AS (
-  SELECT stratum, measure, cutoff, any_value(strata) AS strata,
+  SELECT stratum, measure, cutoff, any_value(strata) AS strata, any_value(caught * n - k * bad) AS gain,
          sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}::DOUBLE) + (n - i) * ln(1 - {ALPHA}::DOUBLE))) AS tail
   FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM hopeful) GROUP BY 1, 2, 3),
+best AS (
+  SELECT stratum, measure, cutoff, row_number() OVER (PARTITION BY stratum, measure ORDER BY gain DESC, cutoff DESC) AS place
+  FROM terms WHERE gain > 0 AND tail <= {DELTA}::DOUBLE / (strata * {len(MEASURES)})),
 chosen AS (
-  SELECT stratum, min(cutoff) FILTER (WHERE measure = 'symbols') AS cs, min(cutoff) FILTER (WHERE measure = 'dup_lines') AS cd,
-         min(cutoff) FILTER (WHERE measure = 'repeats') AS cr
-  FROM terms WHERE tail <= {DELTA}::DOUBLE / (strata * {len(GRID)} * {len(MEASURES)}) GROUP BY 1)
+  SELECT stratum, max(cutoff) FILTER (WHERE measure = 'symbols') AS cs, max(cutoff) FILTER (WHERE measure = 'dup_lines') AS cd,
+         max(cutoff) FILTER (WHERE measure = 'repeats') AS cr
+  FROM best WHERE place = 1 GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (coalesce(symbols > cs, false) OR coalesce(dup_lines > cd, false) OR coalesce(repeats > cr, false)) AS kept
 FROM rated LEFT JOIN chosen USING (stratum)

@@ -495,6 +495,28 @@ def test_quality_rules(spark, duck, odd, none):
     assert quality_rules.quality_verdicts(none, labels).count() == 0
 
 
+def test_cutoffs_are_chosen_on_given_tables(spark, duck):
+    """On sf0.01 some documents are rejected by a cutoff, and its promise holds."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality_rules.quality_verdicts(docs, labels).join(labels.select("doc_id", "quality"), "doc_id", "left").collect()
+    cut = [r for r in out if not r["base_failed"] and not r["kept"]]
+    assert any(r["cut_symbols"] is not None for r in out) and len(cut) > 10
+    assert sum(r["quality"] == 0 for r in cut) > 10 and sum(r["quality"] == 1 for r in cut) <= 0.03 * sum(r["quality"] == 1 for r in out)
+    for r in out:
+        over = any(r[f"cut_{m}"] is not None and r[m] > r[f"cut_{m}"] for m in quality_rules.MEASURES)
+        assert r["kept"] == (not r["base_failed"] and not over)
+
+
+def test_cutoffs_keep_their_promise_in_repeated_holdouts():
+    """Of the worst case, a cutoff that rejects just over alpha, few holdouts pass."""
+    rng, n, alpha = np.random.default_rng(4), 500, quality_rules.ALPHA
+    bound = quality_rules.DELTA / 12
+    tail = np.cumsum([math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(n // 10)])
+    most = int(np.sum(tail <= bound)) - 1
+    assert most >= 0 and np.mean(rng.binomial(n, alpha * 1.001, 20_000) <= most) <= bound * 1.5
+
+
 def test_cutoffs_reject_few_good_documents(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
