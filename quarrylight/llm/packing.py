@@ -2,10 +2,12 @@
 
 Only the histogram of piece lengths, at most ``capacity`` numbers, reaches the
 driver. There the configuration linear program (which ways to fill a sequence,
-how often each) is solved by multiplicative weights: prices of lengths not yet
-covered stay high, a knapsack by dynamic programming finds the dearest way to
-fill a sequence, and its lengths get cheaper. The solution is rounded down to
-whole sequences and what it leaves over is packed best fit first. The result is
+how often each) is solved by multiplicative weights: a length's price falls with
+what of its pieces is covered, a knapsack by dynamic programming finds the
+dearest ways to fill a sequence, for every length the dearest with it, and those
+within a few per cent of the best are used. The solution is rounded to whole
+sequences, those used most first, and the linear program is solved anew for what
+is left, until little is; the last of the pieces go best fit. The result is
 a table of runs (a length's pieces of these ranks go to those sequences), from
 which each task computes the places of its own pieces.
 """
@@ -25,72 +27,118 @@ from quarrylight.llm.common import materialize, utf8
 from quarrylight.llm.tokenizing import encoder
 
 Pattern = tuple[tuple[int, int], ...]
-
-
-def dearest_filling(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> Pattern:
-    """The multiset of lengths of the greatest price that fits (each as often as
-    it fits): dynamic programming over the room left."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    n_fit = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(int(lengths[0]), capacity + 1):
-        value = best[room - lengths[: n_fit[room]]] + prices[: n_fit[room]]
-        k = int(value.argmax())
-        best[room], choice[room] = value[k], k
-    room, counts = capacity, {}
-    while room >= lengths[0] and choice[room] >= 0:
-        length = int(lengths[choice[room]])
-        counts[length] = counts.get(length, 0) + 1
-        room -= length
-    return tuple(sorted(counts.items(), reverse=True))
-
-
-def fractional_patterns(histogram: dict[int, int], capacity: int, iterations: int, rate: float = 0.5) -> dict[Pattern, float]:
-    """How often to use which filling, by multiplicative weights. Each step uses
-    the dearest filling so often that one of its lengths is half covered."""
+#: Of the linear program, each time that it is solved.
+ITERATIONS = 200
+
+
+class Knapsack:
+    """The dearest fillings of every room up to the capacity, each length as often
+    as it fits: dynamic programming over the room left."""
+
+    def __init__(self, lengths: np.ndarray, prices: np.ndarray, capacity: int):
+        self.lengths, self.prices, self.capacity = lengths, prices, capacity
+        self.best = best = np.zeros(capacity + 1)
+        n_fit = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+        for room in range(int(lengths[0]), capacity + 1):
+            k = n_fit[room]
+            best[room] = max(0.0, (best[room - lengths[:k]] + prices[:k]).max())
+
+    def with_each(self) -> np.ndarray:
+        """For each length the price of the dearest filling that has it."""
+        return self.prices + self.best[self.capacity - self.lengths]
+
+    def filling(self, first: int, most: np.ndarray) -> np.ndarray:
+        """Indices of the lengths of a filling that begins with ``first`` and goes
+        on with the dearest, no length more often than ``most`` has it."""
+        room, out, left = self.capacity, [], most.copy()
+        k = first
+        while True:
+            out.append(k)
+            left[k] -= 1
+            room -= int(self.lengths[k])
+            fits = int(np.searchsorted(self.lengths, room, "right"))
+            if not fits:
+                break
+            value = np.where(left[:fits] > 0, self.best[room - self.lengths[:fits]] + self.prices[:fits], -1.0)
+            k = int(value.argmax())
+            if value[k] <= 0:
+                break
+        return np.array(out)
+
+
+def fractional_patterns(histogram: dict[int, int], capacity: int, iterations: int, rate: float = 0.5, worth: float = 16.0, slack: float = 0.004, batch: int = 96) -> tuple[dict[Pattern, float], float]:
+    """(how often to use which filling, a lower bound on the sequences needed).
+
+    Multiplicative weights for the covering linear program, which begin with a
+    price of a piece as its length. In an iteration the
+    fillings within ``slack`` of the dearest are used, the least covered lengths
+    first, each so often that no length is covered more than once over in it. It
+    ends when all lengths are covered several times over, or after ``iterations``
+    once all are covered; uses are scaled to one covering of all tokens. The bound
+    is the dual solution: no filling is dearer than the dearest.
+    """
     lengths = np.array(sorted(histogram))
     demand = np.array([histogram[n] for n in lengths], float)
-    place = {int(n): i for i, n in enumerate(lengths)}
-    log_weight = np.zeros(len(lengths))
-    use: dict[Pattern, float] = {}
     covered = np.zeros(len(lengths))
-    for _ in range(iterations):
-        prices = np.exp(log_weight - log_weight.max()) / demand
-        # between fillings of about one price, the fuller one
-        prices = prices / prices.max() + 1e-6 * lengths
-        pattern = dearest_filling(lengths, prices, capacity)
-        at = np.array([place[n] for n, _ in pattern])
-        times = np.array([a for _, a in pattern], float)
-        step = 0.5 * (demand[at] / times).min()
-        use[pattern] = use.get(pattern, 0.0) + step
-        gain = times * step / demand[at]
-        covered[at] += gain
-        log_weight[at] -= rate * gain / gain.max()
-        if covered.min() >= 4:
-            break
-    scale = max(1.0, float(np.median(covered)))
-    return {p: x / scale for p, x in use.items()}
+    use: dict[Pattern, float] = {}
+    bound, step = 0.0, 0
+    while covered.min() < 40 and (step < iterations or covered.min() == 0):
+        step += 1
+        ahead = np.clip(rate * (covered - covered.mean()), -4, 4)
+        price = lengths + worth * (np.exp(-ahead) - np.exp(ahead))
+        sack = Knapsack(lengths, price, capacity)
+        bound = max(bound, float(np.maximum(price, 0) @ demand) / sack.best[capacity])
+        value = sack.with_each()
+        near = np.flatnonzero(value >= (1 - slack) * sack.best[capacity])
+        gained = np.zeros(len(lengths))
+        for k in near[np.argsort(covered[near], kind="stable")][:batch].tolist():
+            if gained[k] >= 1:
+                continue
+            at, times = np.unique(sack.filling(k, demand), return_counts=True)
+            x = float(((1 - gained[at]) * demand[at] / times).min())
+            if x <= 1e-9:
+                continue
+            pattern = tuple((int(lengths[i]), int(a)) for i, a in zip(at[::-1], times[::-1], strict=True))
+            use[pattern] = use.get(pattern, 0.0) + x
+            gained[at] += times * x / demand[at]
+        covered += gained
+    scale = float(covered @ (lengths * demand) / (lengths @ demand))
+    return {p: x / scale for p, x in use.items()}, bound
+
+
+def plan(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS) -> list[tuple[Pattern, int]]:
+    """Fillings and how many sequences have them; every piece is in one."""
+    return [(p, n) for p, n, _ in planned(histogram, capacity, iterations)]
 
 
-def plan(histogram: dict[int, int], capacity: int, iterations: int = 300) -> list[tuple[Pattern, int]]:
-    """Fillings and how many sequences have them; every piece is in one."""
+def planned(histogram: dict[int, int], capacity: int, iterations: int = ITERATIONS, rest: float = 0.06) -> list[tuple[Pattern, int, bool]]:
+    """As ``plan``, and whether the linear program gave the filling: it does for all
+    but ``rest`` of the tokens, which go best fit."""
     left = {n: c for n, c in histogram.items() if c > 0}
-    out: list[tuple[Pattern, int]] = []
+    out: list[tuple[Pattern, int, bool]] = []
     if capacity in left:
-        out.append((((capacity, 1),), left.pop(capacity)))
-    # the linear program again on what rounding left, while that is much
-    for _ in range(3):
-        total = sum(left.values())
-        if len(left) < 2 or total < 200:
-            break
-        for pattern, x in sorted(fractional_patterns(left, capacity, iterations).items(), key=lambda p: (-p[1], p[0])):
-            times = min([int(x + 1e-9)] + [left.get(n, 0) // a for n, a in pattern])
-            if times:
-                out.append((pattern, times))
+        out.append((((capacity, 1),), left.pop(capacity), True))
+    total = sum(n * c for n, c in left.items())
+    while len(left) > 1 and (tokens := sum(n * c for n, c in left.items())) > max(rest * total, 2 * capacity):
+        # half of each use, rounded; where all uses are parts of one, those used most
+        # until half of the tokens have their place. What is left is solved anew, so
+        # that small errors of a solution don't use up the short pieces
+        uses, _ = fractional_patterns(left, capacity, iterations)
+        order, placed = sorted(uses.items(), key=lambda p: (-p[1], p[0])), 0
+        for share, least in ((0.5, 0), (0.0, 1)):
+            for pattern, x in order if placed < 0.2 * tokens else ():
+                if least and placed > 0.5 * tokens:
+                    break
+                times = min([max(least, int(share * x + 0.5))] + [left.get(n, 0) // a for n, a in pattern])
+                if times < 1:
+                    continue
+                out.append((pattern, times, True))
                 for n, a in pattern:
+                    placed += n * a * times
                     left[n] -= a * times
                     if not left[n]:
                         del left[n]
-        if sum(left.values()) > 0.5 * total:
+        if not placed:
             break
     # best fit for the rest: the largest, then again and again the largest that fits
     while left:
@@ -102,7 +150,7 @@ def plan(histogram: dict[int, int], capacity: int, iterations: int = 300) -> lis
                 counts[n] = a
                 room -= a * n
         times = min(left[n] // a for n, a in counts.items())
-        out.append((tuple(counts.items()), times))
+        out.append((tuple(counts.items()), times, False))
         for n, a in counts.items():
             left[n] -= a * times
             if not left[n]:
@@ -172,7 +220,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, iterations: int = 300) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 1024, iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A document is its ids and ``end_id``; a null text is empty, so every row has

@@ -317,6 +317,31 @@ def test_plan_places_every_piece(histogram):
     assert sum(t for _, t in planned) <= len(bins) * 1.12 + 1
 
 
+def largest_first(histogram, capacity):
+    left, n = dict(histogram), 0
+    while left:
+        room, counts = capacity, {}
+        for size in sorted(left, reverse=True):
+            if a := min(room // size, left[size]):
+                counts[size], room = a, room - a * size
+        times = min(left[size] // a for size, a in counts.items())
+        n += times
+        left = {size: c - times * counts.get(size, 0) for size, c in left.items() if c > times * counts.get(size, 0)}
+    return n
+
+
+def test_linear_program_places_most_pieces():
+    """15,000 pieces, most of them short, at the bound of their tokens."""
+    rng = random.Random(13)
+    histogram = Counter(min(1023, 2 + int(rng.expovariate(1 / 420))) for _ in range(15_000))
+    planned = packing.planned(histogram, 1024)
+    n, tokens = sum(t for _, t, _ in planned), sum(size * c for size, c in histogram.items())
+    assert sum(t for _, t, solved in planned if solved) >= 0.9 * n
+    assert n <= 1.002 * tokens / 1024 + 1 and n <= 1.002 * largest_first(histogram, 1024)
+    _, bound = packing.fractional_patterns(histogram, 1024, 60)
+    assert 0.99 * n <= bound <= n
+
+
 def test_packing(docs, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
