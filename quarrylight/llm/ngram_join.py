@@ -35,8 +35,8 @@ from quarrylight.llm.common import _GAMMA, Scratch, groups_of_texts, materialize
 from quarrylight.llm.components import connected_components
 
 #: Shingles of a fragment, about; and those that a task holds before it sends them.
-PER_FRAGMENT = 3_000_000
-HELD = 4_000_000
+PER_FRAGMENT = 1_500_000
+HELD = 1_500_000
 _SIGNATURES = 48
 _SUPER = 2  # partial overlaps are counted in 2**_SUPER ranges of a pair's shingles
 _SEED = np.uint64(0x5851F42D4C957F2D)
