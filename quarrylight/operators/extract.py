@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -18,10 +20,6 @@ from pyspark.sql import functions as F
 
 OBSERVATIONS = "path string, line int, type string, name string, detail string"
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_DOTTED = rf"{_NAME}(?:\.{_NAME})*"
-
-
 def _rows(files: DataFrame, parse: Callable[[str], Iterator[tuple[int, str, str, str | None]]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -36,81 +34,189 @@ def _rows(files: DataFrame, parse: Callable[[str], Iterator[tuple[int, str, str,
     return files.select("path", "text").mapInPandas(run, OBSERVATIONS)
 
 
+@lru_cache
+def _noise(comments: tuple[tuple[str, str], ...], quotes: tuple[str, ...]) -> re.Pattern:
+    """Comments (group 1) and strings (group 2); a string of one quote ends with its line."""
+    said = [rf"{re.escape(o)}.*?(?=\n|\Z)" if c == "\n" else rf"{re.escape(o)}.*?(?:{re.escape(c)}|\Z)" for o, c in comments]
+    long = [rf"{re.escape(q)}(?:\\.|(?!{re.escape(q)}).)*(?:{re.escape(q)}|\Z)" for q in quotes if len(q) > 1]
+    short = [rf"{q}(?:\\.|[^{q}\\\n])*{q}?" for q in quotes if len(q) == 1]
+    return re.compile(f"({'|'.join(said)})|({'|'.join(long + short)})", re.DOTALL)
+
+
 def blank_noise(text: str, comments: tuple[tuple[str, str], ...], quotes: tuple[str, ...], keep_strings: bool = False) -> str:
     """The text with comments, and string contents unless kept, made spaces; line
     breaks stay, so that lines keep their numbers."""
-    marks = sorted([(o, c, True) for o, c in comments] + [(q, q, False) for q in quotes], key=lambda m: -len(m[0]))
-    out, i = [], 0
-    while i < len(text):
-        mark = next((m for m in marks if text.startswith(m[0], i)), None)
-        if mark is None:
-            out.append(text[i])
-            i += 1
-            continue
-        opening, closing, is_comment = mark
-        j = i + len(opening)
-        while j < len(text) and not text.startswith(closing, j):
-            if not is_comment and len(closing) == 1 and text[j] == "\n":
-                break
-            j += 2 if not is_comment and text[j] == "\\" else 1
-        end = min(len(text), j if closing == "\n" else j + len(closing))
-        piece = text[i:end]
-        out.append(piece if keep_strings and not is_comment else "".join("\n" if c == "\n" else " " for c in piece))
-        i = end
-    return "".join(out)
-
-
-_JAVA_NOISE = ((("//", "\n"), ("/*", "*/")), ('"""', '"', "'"))
-_CONTROL = {"if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "try", "do", "synchronized", "super", "this", "assert"}
-_VERBS = {"GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"}
+    return _noise(comments, quotes).sub(lambda m: m[0] if keep_strings and m[2] is not None else _NO_BREAK.sub(" ", m[0]), text)
+
+
+_NO_BREAK = re.compile(r"[^\n]")
+# Names that the observations depend on.
+_NO_METHOD = frozenset(("if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "try", "do", "synchronized", "super", "this", "assert", "class", "interface", "enum", "record"))
+_KINDS = ("class", "interface", "enum", "record")
+_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+_CONFIG_CALLS = ("System.getProperty", "System.getenv", "ConfigProvider.getConfig")
+
+
+@dataclass
+class Token:
+    kind: str  # name, string or mark
+    text: str
+    line: int
+    spaced: bool  # begins a line or follows white space
+
+
+_JAVA_TOKEN = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<string>"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?)|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<mark>\S)', re.DOTALL)
+
+
+class Tokens:
+    """The words, strings and marks of a source without its comments."""
+
+    def __init__(self, text: str):
+        self.all: list[Token] = []
+        line, at = 1, 0
+        for m in _JAVA_TOKEN.finditer(text):
+            line, at = line + text.count("\n", at, m.start()), m.start()
+            if m.lastgroup:
+                self.all.append(Token(m.lastgroup, m[0].strip("\"'") if m.lastgroup == "string" else m[0], line, at == 0 or text[at - 1].isspace()))
+        self.end = Token("end", "", line, True)
+
+    def __getitem__(self, i: int) -> Token:
+        return self.all[i] if 0 <= i < len(self.all) else self.end
+
+    def dotted(self, i: int, star: bool = False) -> tuple[str, int]:
+        """Names joined by dots from place i on ("" if there is none), and what follows."""
+        if self[i].kind != "name":
+            return "", i
+        parts = [self[i].text]
+        while self[i + 1].text == "." and (self[i + 2].kind == "name" or star and self[i + 2].text == "*"):
+            parts.append(self[i + 2].text)
+            i += 2
+        return ".".join(parts), i + 1
+
+    def closed(self, i: int, stop: str = "") -> int:
+        """The place of the bracket that closes that at i; -1 if a mark of ``stop`` is inside."""
+        depth, k = 0, i
+        while self[k].kind != "end":
+            if self[k].kind == "mark":
+                depth += (self[k].text == "(") - (self[k].text == ")")
+                if depth == 0:
+                    return k
+                if self[k].text in stop and k > i:
+                    return -1
+            k += 1
+        return -1
+
+
+class JavaReader:
+    """Reads declarations off the tokens, and the paths of HTTP endpoints: that of
+    the first type, and what annotations say before a method."""
+
+    def __init__(self, text: str):
+        self.t, self.out = Tokens(text), []
+        self.base, self.path, self.verb, self.inside = "", None, None, False
+
+    def say(self, at: int, kind: str, name: str, detail: str | None = None) -> None:
+        self.out.append((self.t[at].line, kind, name, detail))
+
+    def read(self) -> list[tuple[int, str, str, str | None]]:
+        i = 0
+        while self.t[i].kind != "end":
+            i = self.step(i)
+        return self.out
+
+    def step(self, i: int) -> int:
+        t = self.t
+        word = t[i].text if t[i].kind == "name" else ""
+        if word in ("package", "import") and t[i + 1].kind == "name":
+            return self.header(i, word)
+        if t[i].kind == "mark" and t[i].text == "@" and t[i].spaced:
+            return self.annotation(i)
+        if word in _KINDS and t[i + 1].kind == "name" and t[i - 1].text != ".":
+            return self.type(i)
+        if word == "new":
+            name, k = t.dotted(i + 1)
+            if name and t[i - 1].text == "throw":
+                self.say(i, "throw", name)
+            elif name and t[k].text in ("(", "<"):
+                self.say(i, "construct", name)
+            return i + 1
+        if word and t[i + 1].text == "." and t[i + 2].kind == "name" and t[i + 3].text == "(":
+            call = f"{word}.{t[i + 2].text}"
+            self.say(i, "call", call)
+            if call in _CONFIG_CALLS and t[i + 4].kind == "string":
+                self.say(i, "config_access", t[i + 4].text)
+        if word and t[i + 1].text == "(" and t[i].spaced:
+            self.method(i)
+        return i + 1
+
+    def header(self, i: int, word: str) -> int:
+        static = word == "import" and self.t[i + 1].text == "static" and self.t[i + 2].kind == "name"
+        name, k = self.t.dotted(i + 1 + static, star=word == "import")
+        if self.t[k].text == ";":
+            self.say(i, word, name, "static" if static else None)
+        return k
+
+    def annotation(self, i: int) -> int:
+        t = self.t
+        name, k = t.dotted(i + 1)
+        if not name or name == "interface":
+            return i + 1
+        self.say(i, "annotation", name)
+        last = name.rpartition(".")[2]
+        if last in _VERBS:
+            self.verb = last
+        inside = range(k + 1, t.closed(k)) if t[k].text == "(" else range(0)
+        given = {t[j - 2].text: t[j].text for j in inside if t[j].kind == "string" and t[j - 1].text == "="}
+        if last == "ConfigProperty" and "name" in given:
+            self.say(i, "config_property", given["name"])
+        if last == "Path" and len(inside):
+            first = t[inside[0]]
+            self.path = first.text if first.kind == "string" else given.get("value", self.path)
+        return k
+
+    def type(self, i: int) -> int:
+        t, kind, name, k = self.t, self.t[i].text, self.t[i + 1].text, i + 2
+        self.say(i, "type", name, kind)
+        role, depth = "", 0
+        while t[k].kind != "end" and t[k].text not in ("{", ";"):
+            depth += (t[k].text in ("<", "(")) - (t[k].text in (">", ")"))
+            if depth == 0 and t[k].text in ("extends", "implements"):
+                role = t[k].text
+            elif depth == 0 and role and t[k].kind == "name":
+                other, k = t.dotted(k)
+                self.say(i, role, other, name)
+                continue
+            k += 1
+        if not self.inside:
+            self.base, self.path, self.inside = self.path or "", None, True
+        return k
+
+    def method(self, i: int) -> None:
+        """A name with parameters after a type, and before a body or a semicolon."""
+        t, before = self.t, self.t[i - 1]
+        if t[i].text in _NO_METHOD or before.text in _NO_METHOD or not (before.kind == "name" or before.text in (">", "]")):
+            return
+        k = t.closed(i + 1, stop="(;{}")
+        if k < 0:
+            return
+        thrown, k = [], k + 1
+        if t[k].text == "throws":
+            while t[k].text in ("throws", ","):
+                name, k = t.dotted(k + 1)
+                thrown.append(name)
+        if t[k].text not in ("{", ";"):
+            return
+        self.say(i, "method", t[i].text)
+        for name in thrown:
+            self.say(i, "throws", name, t[i].text)
+        if self.verb:
+            parts = [p.strip("/") for p in (self.base, self.path or "")]
+            self.say(i, "endpoint", "/" + "/".join(p for p in parts if p), self.verb)
+        self.path = self.verb = None
 
 
 def _java(text: str) -> Iterator[tuple[int, str, str, str | None]]:
-    bare = blank_noise(text, *_JAVA_NOISE).split("\n")
-    literal = blank_noise(text, *_JAVA_NOISE, keep_strings=True).split("\n")
-    base, pending, verb, inside = "", None, None, False
-    for n, (code, said) in enumerate(zip(bare, literal, strict=True), 1):
-        if m := re.match(rf"\s*package\s+({_DOTTED})\s*;", code):
-            yield n, "package", m[1], None
-        if m := re.match(rf"\s*import\s+(static\s+)?({_DOTTED}(?:\.\*)?)\s*;", code):
-            yield n, "import", m[2], "static" if m[1] else None
-            continue
-        for name in re.findall(rf"(?:^|\s)@({_DOTTED})", code):
-            if name != "interface":
-                yield n, "annotation", name, None
-        for key in re.findall(r"@(?:[\w$]+\.)*ConfigProperty\s*\([^)]*\bname\s*=\s*\"([^\"]+)\"", said):
-            yield n, "config_property", key, None
-        for key in re.findall(r"\b(?:System\.(?:getProperty|getenv)|ConfigProvider\.getConfig)\s*\(\s*\"([^\"]+)\"", said):
-            yield n, "config_access", key, None
-        if m := re.search(r"@(?:[\w$]+\.)*Path\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\"", said):
-            pending = m[1]
-        for name in re.findall(r"@(?:[\w$]+\.)*([A-Z]+)\b", code):
-            verb = name if name in _VERBS else verb
-        is_type = re.search(rf"\b(class|interface|enum|record)\s+({_NAME})\b([^{{;]*)", code)
-        if is_type:
-            yield n, "type", is_type[2], is_type[1]
-            if m := re.search(rf"\bextends\s+({_DOTTED})", is_type[3]):
-                yield n, "extends", m[1], is_type[2]
-            if m := re.search(r"\bimplements\s+([^{]+)", is_type[3]):
-                for name in re.findall(rf"({_DOTTED})(?:<[^>]*>)?\s*(?:,|$)", m[1].strip()):
-                    yield n, "implements", name, is_type[2]
-            if not inside:
-                base, pending, inside = pending or "", None, True
-        elif m := re.search(rf"(?:^|\s)([\w$<>\[\],.?]+)\s+({_NAME})\s*\(([^;{{}}()]*)\)\s*(?:throws\s+([^{{;]+))?\s*[{{;]", code):
-            if m[1] not in _CONTROL and m[2] not in _CONTROL:
-                yield n, "method", m[2], None
-                for name in re.findall(_DOTTED, m[4] or ""):
-                    yield n, "throws", name, m[2]
-                if verb:
-                    path = "/".join(p for p in (base.strip("/"), (pending or "").strip("/")) if p)
-                    yield n, "endpoint", f"/{path}", verb
-                pending = verb = None
-        for name in re.findall(rf"\bthrow\s+new\s+({_DOTTED})", code):
-            yield n, "throw", name, None
-        for name in re.findall(rf"(?<!throw )\bnew\s+({_DOTTED})\s*[(<]", code):
-            yield n, "construct", name, None
-        for owner, name in re.findall(rf"\b({_NAME})\.({_NAME})\s*\(", code):
-            yield n, "call", f"{owner}.{name}", None
+    yield from JavaReader(text).read()
 
 
 def java_observations(files: DataFrame) -> DataFrame:
@@ -119,6 +225,13 @@ def java_observations(files: DataFrame) -> DataFrame:
     return _rows(files, _java)
 
 
+# Calls of the framework that are told.
+FRAMEWORK_OWNERS = ("frappe", "frappe.db")
+FRAMEWORK_CALLS = ("get_doc", "get_all", "get_value")
+CONFIG_READ, CONFIG_SOURCE = "frappe.conf.get", "frappe.get_conf"
+_CALL = re.compile(r"(?<![\w.])([^\W\d]\w*(?:\.[^\W\d]\w*)*)\s*\(\s*")
+_ASKED = re.compile(r"\)\s*\.\s*get\s*\(\s*")
+_STRING = re.compile(r"([\"'])(.+?)\1")
 _PYTHON_NOISE = ((("#", "\n"),), ('"""', "'''", '"', "'"))
 
 
@@ -146,14 +259,21 @@ def _python(text: str) -> Iterator[tuple[int, str, str, str | None]]:
             scope.append((indent, m[2]))
         elif m := re.match(r"([A-Za-z_]\w*)\s*=(?!=)", code):
             out.append((n, "assignment", m[1], None))
-        for method, first in re.findall(r"\bfrappe(?:\.db)?\.(get_doc|get_all|get_value)\s*\(\s*(\"[^\"]*\"|'[^']*'|[^\s,)]*)", said):
-            if first[:1] in "\"'" and first:
-                out.append((n, "framework_call", first[1:-1], method))
-            elif not dynamic:
-                dynamic = True
-                out.append((n, "gap", "dynamic_argument", method))
-        for key in re.findall(r"\bfrappe\.(?:conf\.get|get_conf\s*\(\s*\)\s*\.\s*get)\s*\(\s*[\"']([^\"']+)", said):
-            out.append((n, "config_access", key, None))
+        for m in _CALL.finditer(said):
+            owner, _, method = m[1].rpartition(".")
+            argument = said[m.end() :]
+            text_of = _STRING.match(argument)
+            if owner in FRAMEWORK_OWNERS and method in FRAMEWORK_CALLS:
+                if text_of:
+                    out.append((n, "framework_call", text_of[2], method))
+                elif not dynamic:
+                    dynamic = True
+                    out.append((n, "gap", "dynamic_argument", method))
+            elif m[1] == CONFIG_SOURCE:  # a call without arguments, whose result is asked
+                asked = _ASKED.match(argument)
+                text_of = asked and _STRING.match(argument, asked.end())
+            if text_of and m[1] in (CONFIG_READ, CONFIG_SOURCE):
+                out.append((n, "config_access", text_of[2], None))
     yield from sorted(out, key=lambda o: o[:3])
 
 
@@ -163,12 +283,12 @@ def python_observations(files: DataFrame) -> DataFrame:
 
 
 # Elements and attributes of integration artefacts.
-XML_TYPES = frozenset("api endpoint inboundendpoint localentry proxy proxyservice sequence template task property data dataservice eventsource message-store messageprocessor".split())
-XML_ENDPOINTS = frozenset("api proxy proxyservice endpoint inboundendpoint address http".split())
-XML_MESSAGES = frozenset("payloadfactory message publishevent".split())
-XML_CONFIG = frozenset("property parameter param".split())
-XML_IMPORTS = frozenset("href schemalocation location file include import".split())
-XML_REFERENCES = frozenset("ref key uri url value endpoint sequence target targetendpoint insequence outsequence onerror faultsequence template".split())
+XML_TYPES = frozenset(("api", "endpoint", "inboundendpoint", "localentry", "proxy", "proxyservice", "sequence", "template", "task", "property", "data", "dataservice", "eventsource", "message-store", "messageprocessor"))
+XML_ENDPOINTS = frozenset(("api", "proxy", "proxyservice", "endpoint", "inboundendpoint", "address", "http"))
+XML_MESSAGES = frozenset(("payloadfactory", "message", "publishevent"))
+XML_CONFIG = frozenset(("property", "parameter", "param"))
+XML_IMPORTS = frozenset(("href", "schemalocation", "location", "file", "include", "import"))
+XML_REFERENCES = frozenset(("ref", "key", "uri", "url", "value", "endpoint", "sequence", "target", "targetendpoint", "insequence", "outsequence", "onerror", "faultsequence", "template"))
 XML_DYNAMIC = ("${", "{{", "$ctx", "get-property", "xpath(", "synapse(", "synapse:")
 _SECRET_WORD = re.compile(r"(?i)password|passwd|secret|token|api[-_]?key|bearer")
 

@@ -77,9 +77,14 @@ def memo(artifacts: DataFrame, cache: DataFrame, invalid_paths: DataFrame, key:
 
 
 def claim_order(jobs: DataFrame, now) -> DataFrame:
-    """Jobs in the order in which they are claimed: pending ones and those whose
-    lease has ended, oldest first."""
-    free = jobs.filter((F.col("state") == "pending") | ((F.col("state") == "running") & (F.col("lease_until") < F.lit(now))))
+    """Jobs in the order in which they are claimed: pending ones and running ones
+    whose lease has ended, or ends now, or that have none, oldest first; never one
+    that is asked to be cancelled (``cancel_requested``, if there is such a column).
+    Ties: the smaller job_id. No jobs: no rows."""
+    ended = F.coalesce(F.col("lease_until") <= F.lit(now), F.lit(True))
+    free = jobs.filter((F.col("state") == "pending") | ((F.col("state") == "running") & ended))
+    if "cancel_requested" in jobs.columns:
+        free = free.filter(~F.coalesce("cancel_requested", F.lit(False)))
     return free.withColumn("place", F.row_number().over(Window.partitionBy("queue").orderBy("created_at", "job_id"))).withColumn("attempt", F.col("attempt") + 1)
 
 

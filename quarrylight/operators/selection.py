@@ -11,8 +11,10 @@ import base64
 import hashlib
 import hmac
 import json
+from collections import Counter
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,39 +44,33 @@ def compose(candidates: DataFrame, limits: PackageLimits = PackageLimits()) -> D
     artifact, kind. Id and hash count as seen even if a budget then refuses.
     """
 
+    names = ("unit_limit", "character_limit", "byte_limit", "token_limit")
+    most = np.array([limits.units, limits.characters, limits.bytes, limits.tokens])
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_CANDIDATES:
             raise ValueError("too many candidates of one query")
-        pdf = pdf.assign(_last=(pdf["rank"] == 0)).sort_values(["score", "_last", "rank", "evidence_id", "artifact_id", "kind"], ascending=[False, True, True, True, True, True], kind="stable")
-        ids, hashes, artifacts, kinds = set(), set(), {}, {}
-        units = characters = size = tokens = 0
-        reasons = []
-        for row in pdf.itertuples():
-            text = row.content or ""
-            c, b = len(text), len(text.encode())
-            t = -(-c // limits.characters_per_token)
-            if row.evidence_id in ids:
-                reasons.append("duplicate_evidence_id")
-                continue
-            ids.add(row.evidence_id)
-            if row.content_hash in hashes:
-                reasons.append("duplicate_content_hash")
-                continue
-            hashes.add(row.content_hash)
-            tests = (
-                (units >= limits.units, "unit_limit"),
-                (characters + c > limits.characters, "character_limit"),
-                (size + b > limits.bytes, "byte_limit"),
-                (tokens + t > limits.tokens, "token_limit"),
-                (artifacts.get(row.artifact_id, 0) >= limits.per_artifact, "artifact_diversity_limit"),
-                (kinds.get(row.kind, 0) >= limits.per_type, "type_diversity_limit"),
-            )
-            refused = next((name for fails, name in tests if fails), None)
-            reasons.append(refused or "included")
-            if not refused:
-                units, characters, size, tokens = units + 1, characters + c, size + b, tokens + t
-                artifacts[row.artifact_id] = artifacts.get(row.artifact_id, 0) + 1
-                kinds[row.kind] = kinds.get(row.kind, 0) + 1
+        pdf = pdf.assign(_last=(pdf["rank"] == 0)).sort_values(["score", "_last", "rank", "evidence_id", "artifact_id", "kind"], ascending=[False, True, True, True, True, True], kind="stable").reset_index(drop=True)
+        reasons = pd.Series("included", index=pdf.index)
+        again = pdf["evidence_id"].duplicated()
+        reasons[again] = "duplicate_evidence_id"
+        same = pdf.loc[~again, "content_hash"].duplicated()
+        reasons[same.index[same]] = "duplicate_content_hash"
+        text = pdf["content"].fillna("")
+        length = text.str.len().to_numpy(np.int64)
+        cost = np.column_stack([np.ones(len(pdf), np.int64), length, text.map(lambda x: len(x.encode())).to_numpy(np.int64), -(-length // limits.characters_per_token)])
+        # what each is refused for depends on what those before it took, and on nothing else
+        taken = np.zeros(4, np.int64)
+        held: Counter = Counter()
+        for k in np.flatnonzero(reasons == "included"):
+            artifact, kind = ("artifact", pdf["artifact_id"][k]), ("kind", pdf["kind"][k])
+            over = [names[i] for i in np.flatnonzero(taken + cost[k] > most)]
+            over += ["artifact_diversity_limit"] * (held[artifact] >= limits.per_artifact) + ["type_diversity_limit"] * (held[kind] >= limits.per_type)
+            if over:
+                reasons[k] = over[0]
+            else:
+                taken += cost[k]
+                held.update((artifact, kind))
         return pd.DataFrame({"query_id": pdf["query_id"], "evidence_id": pdf["evidence_id"], "place": range(1, len(pdf) + 1), "reason": reasons})
 
     kinds = dict(candidates.dtypes)
@@ -109,46 +105,35 @@ def greedy_select(candidates: DataFrame, limits: SelectionLimits = SelectionLimi
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MAX_CANDIDATES:
             raise ValueError("too many candidates of one query")
-        rows = list(pdf.sort_values("item_id").itertuples())
-        aspects: set = set()
-        kinds: set = set()
-        artifacts: set = set()
-        redundant: set = set()
-        state = {r.item_id: [False, 0, "budget", 0.0] for r in rows}
-        tokens = characters = size = step = 0
-        while step < limits.items:
-            best = None
-            for r in rows:
-                s = state[r.item_id]
-                if s[0]:
-                    continue
-                if r.redundancy_key in redundant:
-                    s[2] = "redundancy"
-                    continue
-                if tokens + r.tokens > limits.tokens or characters + r.characters > limits.characters or size + r.bytes > limits.bytes:
-                    s[2] = "budget"
-                    continue
-                gain = utility.relevance * r.relevance + utility.aspects * len(set(r.aspects) - aspects) + utility.kind * (r.kind not in kinds) + utility.artifact * (r.artifact_id not in artifacts)
-                s[3] = float(gain)
-                if gain <= 0:
-                    s[2] = "redundancy"
-                    continue
-                order = (-gain / max(r.tokens, 1), -gain, r.rank, r.item_id)
-                if best is None or order < best[0]:
-                    best = (order, r)
-            if best is None:
+        pdf = pdf.sort_values("item_id").reset_index(drop=True)
+        cost = pdf[["tokens", "characters", "bytes"]].to_numpy(np.int64)
+        most = np.array([limits.tokens, limits.characters, limits.bytes])
+        # what each item would bring: a column for every aspect, kind and artifact
+        brings = {name: column for name in ("kind", "artifact_id") for column in [pd.get_dummies(pdf[name], dummy_na=True).to_numpy(bool)]}
+        every = sorted({a for x in pdf["aspects"] for a in x}, key=str)
+        brings["aspects"] = np.array([[a in set(x) for a in every] for x in pdf["aspects"]], bool).reshape(len(pdf), len(every))
+        worth = {"aspects": utility.aspects, "kind": utility.kind, "artifact_id": utility.artifact}
+        new = {name: np.ones(table.shape[1], bool) for name, table in brings.items()}
+        key = pdf["redundancy_key"].to_numpy()
+        relevance, rank, tokens = pdf["relevance"].to_numpy(float), pdf["rank"].to_numpy(), np.maximum(cost[:, 0], 1)
+        step_of, told = np.zeros(len(pdf), int), np.zeros(len(pdf))
+        dull = np.zeros(len(pdf), bool)
+        while (step_of > 0).sum() < limits.items:
+            picked = step_of > 0
+            fits = (cost[picked].sum(axis=0) + cost <= most).all(axis=1) & ~picked & ~np.isin(key, key[picked])
+            gain = utility.relevance * relevance + sum(worth[name] * (table & new[name]).sum(axis=1) for name, table in brings.items())
+            told = np.where(fits, gain, told)
+            dull = fits & (gain <= 0)
+            able = np.flatnonzero(fits & (gain > 0))
+            if not len(able):
                 break
-            r, step = best[1], step + 1
-            state[r.item_id][:3] = [True, step, "included"]
-            aspects |= set(r.aspects)
-            kinds.add(r.kind)
-            artifacts.add(r.artifact_id)
-            redundant.add(r.redundancy_key)
-            tokens, characters, size = tokens + r.tokens, characters + r.characters, size + r.bytes
-        for r in rows:
-            if not state[r.item_id][0] and r.redundancy_key in redundant:
-                state[r.item_id][2] = "redundancy"
-        return pd.DataFrame([(r.query_id, r.item_id, *state[r.item_id]) for r in rows], columns=["query_id", "item_id", "included", "step", "reason", "gain"])
+            best = able[np.lexsort((able, rank[able], -gain[able], -gain[able] / tokens[able]))[0]]
+            step_of[best] = picked.sum() + 1
+            for name, table in brings.items():
+                new[name] &= ~table[best]
+        included = step_of > 0
+        reason = np.where(included, "included", np.where(np.isin(key, key[included]) | dull, "redundancy", "budget"))
+        return pd.DataFrame({"query_id": pdf["query_id"], "item_id": pdf["item_id"], "included": included, "step": step_of, "reason": reason, "gain": told})
 
     kinds = dict(candidates.dtypes)
     return candidates.groupBy("query_id").applyInPandas(one, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, included boolean, step int, reason string, gain double")
@@ -228,8 +213,11 @@ def uncited(claims: DataFrame, package: DataFrame) -> DataFrame:
 
 
 def package_id(package: DataFrame, configuration: str) -> DataFrame:
-    """A digest over each query's evidence in order and the configuration."""
-    ids = package.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("evidence_id").cast("string"))), ",").alias("ids"))
+    """A digest over each query's evidence in order (``place``) and the configuration.
+
+    Packages are bounded by their limits, so one row can hold a package's ids."""
+    ordered = F.array_sort(F.collect_list(F.struct("place", F.col("evidence_id").cast("string").alias("id"))))
+    ids = package.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["id"]), ",").alias("ids"))
     return ids.select("query_id", content_id("package", F.col("query_id"), F.lit(configuration), F.col("ids")).alias("package_id"))
 
 

@@ -427,7 +427,7 @@ def embedding_cache_missing(spark, sf_dir):
 
 
 @query("job_claim_order", """SELECT queue, job_id, place, attempt FROM (SELECT o_orderpriority AS queue, o_orderkey AS job_id, o_custkey + 1 AS attempt, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS place
-  FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01'))""")
+  FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '1996-01-01'))""")
 def job_claim_order(spark, sf_dir):
     state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
     jobs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("job_id"), state.alias("state"), F.col("o_orderdate").alias("lease_until"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("attempt"))

@@ -17,12 +17,12 @@ OUTPUT = "job_id string, seq long, event string, accepted boolean, state string,
 def advance(job: dict, event: dict) -> tuple[dict, bool]:
     """A job after an event, and whether the event was allowed.
 
-    claim: from pending, partial (resume) or after the lease; heartbeat, advance
+    claim: from pending, partial (resume) or once the lease ends; heartbeat, advance
     (same stage or the next), complete, partial, fail: by a live lease; cancel:
     unless ended. Counters never fall.
     """
     now, name = event["at"], event["event"]
-    live = job["state"] == "running" and now <= job["lease_until"]
+    live = job["state"] == "running" and now < job["lease_until"]
     new = dict(job)
     if name == "claim":
         if job["state"] in ("pending", "partial") or (job["state"] == "running" and not live):

@@ -276,3 +276,21 @@ def test_event_windows_on_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [(r["n"], r["total"]) for r in spark.table("windows").orderBy("start").collect()] == [(6, 6.0)] * 5
+
+
+def test_leases_end_and_cancelled_jobs_stay(spark):
+    """A lease that ends now or is missing may be claimed; a job to be cancelled not."""
+    rows = [(1, "pending", 9, False), (2, "running", 5, False), (3, "running", 6, False), (4, "running", None, None), (5, "pending", None, True), (6, "completed", 1, False)]
+    queue = spark.createDataFrame([("q", i, state, lease, asked, i, 0) for i, state, lease, asked in rows], "queue string, job_id long, state string, lease_until long, cancel_requested boolean, created_at long, attempt long")
+    assert [(r["job_id"], r["place"]) for r in incremental.claim_order(queue, 5).orderBy("place").collect()] == [(1, 1), (2, 2), (4, 3)]
+    running = {"state": "running", "stage": 0, "attempt": 1, "lease_until": 5, "processed": 0}
+    claim = {"event": "claim", "at": 5, "lease": 3}
+    assert jobs.advance(running, claim)[1] and not jobs.advance(running, claim | {"at": 4})[1]
+
+
+def test_package_identity_has_the_order(spark):
+    def of(*ids):
+        rows = [("q", place, i) for place, i in enumerate(ids)]
+        return selection.package_id(spark.createDataFrame(rows, "query_id string, place long, evidence_id string"), "c").first()["package_id"]
+
+    assert of("a", "b") == of("a", "b") != of("b", "a")
