@@ -21,6 +21,8 @@ from quarrylight.llm import common, components, embedding_dedup, language_id, li
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _taken long, component string"
+#: Names that stages use themselves.
+CLASH = ("row", "id", "Size", "tie", "same", "taken", "alike", "cut", "part", "key", "text_id", "stays_id", "stays_text", "stays_alike", "cut_id", "cut_spans", "cut_spans_", "_place", "_spans", "words", "held_out", "lang_pred", "score", "n_words", "rank")
 
 
 @pytest.fixture(scope="module")
@@ -603,6 +605,46 @@ def test_pipeline(spark, docs, odd, none):
         sizes.append(now.count())
     assert sizes[1] >= 0.98 * sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2]
     assert corpus_pipeline.STAGES[-1][1](spark, now, SMALL).agg(F.sum("length")).first()[0] > 0
-    for table in (odd, none):
-        for _, stage in corpus_pipeline.STAGES:
-            table = common.materialize(stage(spark, table, SMALL), "t")
+    for table in (odd.withColumns({c: F.lit(7) for c in CLASH}), none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            names, table = table.columns, common.materialize(stage(spark, table, SMALL), "t")
+            assert table.columns == names and not table.filter("row <> 7 or stays_alike <> 7").count() if "row" in names else table.isEmpty()
+        corpus_pipeline.STAGES[-1][1](spark, table, SMALL).collect()
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark):
+    """A small table, each stage's decision known: languages, near copies, a passage
+    that repeats, shares of sources, places in sequences."""
+    rng = random.Random(20)
+    learn = spark.read.parquet(f"{SMALL}/documents.parquet").filter("lang = 'en' and n_chars between 600 and 3000").limit(30).collect()
+    base = [(1000 + i, r["text"], "en", f"s{i % 3}", len(r["text"])) for i, r in enumerate(learn)]
+    words = " ".join(r["text"] for r in learn).split()
+    own = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(3)]
+    near = own[0].split()
+    near[75] = "changed"
+    rows = base + [(5000, own[0], "en", "s0", 1), (5001, " ".join(near), "en", "s0", 1), (5002, "", "en", "s0", 0), (5003, own[1] + " " + own[2][:800], "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = dict(corpus_pipeline.STAGES)
+    told = common.materialize(names["language_id"](spark, docs, SMALL), "t")
+    assert 5002 not in {r["doc_id"] for r in told.collect()} and told.count() >= len(rows) - 3
+    kept = common.materialize(names["ngram_join"](spark, told, SMALL), "t")
+    sets = {r["doc_id"]: shingles(r["text"]) for r in told.collect()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, c in reach(sets, links).items() if i == c} and 5001 not in {r["doc_id"] for r in kept.collect()}
+    cut = common.materialize(names["substring_dedup"](spark, kept, SMALL), "t")
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert all(set(r["text"].split()) <= set(texts[r["doc_id"]].split()) for r in cut.collect()) and cut.count() == kept.count()
+    mixed = common.materialize(names["source_mix"](spark, cut, SMALL), "t")
+    size, taken = Counter(), Counter()
+    for r in cut.collect():
+        size[r["source"]] += len(WORD.findall(r["text"].encode()))
+    for r in mixed.collect():
+        taken[r["source"]] += len(WORD.findall(r["text"].encode()))
+    targets = {r["source"]: r["target"] for r in mixing.mix(cut).collect()}
+    assert all(abs(taken[s] - targets[s]) <= 1 for s in size)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, mixed, SMALL).collect()
+    ends = defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024 and sum(r["piece"] == 0 for r in pieces) == mixed.count()
