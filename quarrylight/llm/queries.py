@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import embedding_dedup, hard_negatives, language_id, licenses, mixing, ngram_join, packing, quality_rules, substring_dedup, token_store, toxicity
+from quarrylight.llm import embedding_dedup, hard_negatives, language_id, licenses, mixing, multiset_hash, ngram_join, packing, quality_rules, substring_dedup, token_store, toxicity
 from quarrylight.llm.common import new_path
 
 
@@ -68,6 +68,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mix": op10_source_mix,
+    "op11_multiset_hash": op11_multiset_hash,
     "op12_hard_negatives": op12_hard_negatives,
 }
 
