@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import embedding_dedup, hard_negatives, language_id, licenses, mixing, multiset_hash, ngram_join, packing, quality_rules, substring_dedup, token_store, toxicity
+from quarrylight.llm import embedding_dedup, hard_negatives, language_id, licenses, mixing, multiset_hash, ngram_join, packing, quality_rules, substring_dedup, token_alignment, token_store, toxicity
 from quarrylight.llm.common import new_path
 
 
@@ -79,6 +79,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("embedding")), "vec_id % 50 = 0")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_multiset_hash": op11_multiset_hash,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
