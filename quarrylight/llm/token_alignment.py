@@ -241,15 +241,16 @@ def align_documents(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataF
     chunks = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_chunks, _CHUNK), "chunks")
     known = chunks.filter("segment IS NOT NULL")
     counted = known.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = steps.keep(counted.mapInArrow(_align(bytes_path, pieces_path), _ALIGNED))
+    aligned = steps.keep(counted.mapInArrow(_align(bytes_path, pieces_path), _ALIGNED).withColumn("id", F.monotonically_increasing_id()))
     release(spark)
     counts = steps.keep(aligned.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count")))
     b = F.col("link").bitwiseAND(F.lit(0xFFFFFFFF))
     most = counts.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
     scores = steps.keep(counts.withColumn("b", b).join(most, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best")))
-    links = aligned.select("segment", F.explode("links").alias("link")).join(scores, "link")
-    scored = links.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    scored = materialize(scored.join(aligned.select("segment", "groups", "n_a"), "segment"), "segment-scores")
+    links = aligned.select("id", F.explode("links").alias("link")).join(scores, "link")
+    totals = steps.keep(links.groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")))
+    release(spark)  # a segment's text isn't shuffled with each of its links
+    scored = materialize(aligned.select("id", "segment", "groups", "n_a").join(totals, "id").drop("id"), "segment-scores")
     steps.drop()
     release(spark)
     back = known.select("chunk", "local", "segment").join(scored, "segment").drop("segment")
