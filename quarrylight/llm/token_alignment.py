@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, materialize, release
+from quarrylight.llm.common import Scratch, new_path, release
 
 #: Bytes of text of a chunk, and segments that are tokenised at a time.
 CHUNK_BYTES, TOGETHER = 32 << 20, 4096
@@ -83,9 +84,13 @@ class _Chunk:
     def rows(self, chunk: int) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("chunk", pa.int64()), ("local", pa.int32()), ("segment", pa.string()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary())])
         codes = np.concatenate(self.codes)
-        packed = pa.compress(codes.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+        counts = np.bincount(codes, minlength=len(self.number))
+        often = np.argsort(-counts, kind="stable")  # frequent segments get small numbers, which pack well
+        rank = np.empty(len(often), "<u4")
+        rank[often] = np.arange(len(often))
+        packed = pa.compress(rank[codes].view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
         yield pa.RecordBatch.from_pylist([{"chunk": chunk, "doc_ids": self.doc_ids, "sizes": [len(c) for c in self.codes], "codes": packed}], schema)
-        counts, said = np.bincount(codes, minlength=len(self.number)), list(self.number)
+        counts, said = counts[often], np.array(list(self.number), object)[often].tolist() if len(often) else []
         for k in range(0, len(said), 1 << 16):
             some = said[k : k + (1 << 16)]
             no = lambda kind: pa.nulls(len(some), kind)
@@ -203,7 +208,8 @@ def _compose(chunk: pa.Table, known: pa.Table) -> pa.Table:
     sums[local] = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, of(known["n_best"]), of(known["count_sum"])], axis=1)
     ids, out, digests = [], [], []
     for doc_ids, sizes, packed in zip(*(chunk[c].to_pylist() for c in ("doc_ids", "sizes", "codes")), strict=True):
-        codes = np.frombuffer(pa.decompress(packed, 4 * sum(sizes), codec="zstd", asbytes=True), "<u4") if sum(sizes) else np.zeros(0, "<u4")
+        planes = np.frombuffer(pa.decompress(packed, 4 * sum(sizes), codec="zstd", asbytes=True), np.uint8) if sum(sizes) else np.zeros(0, np.uint8)
+        codes = planes.reshape(4, -1).T.copy().view("<u4").ravel()
         end = 0
         for size in sizes:
             own, end = codes[end : end + size], end + size
@@ -220,6 +226,16 @@ def _compose(chunk: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(6)), pa.array(digests, pa.string())], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`materialize`, but packed closer; what the jobs before have shuffled goes."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    for _ in range(2):  # the last job's plan is let go of a little later than its tables
+        release(df.sparkSession)
+        time.sleep(0.5)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def align_documents(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
     """How the tokens of a byte-level vocabulary (A) and a piece vocabulary (B) meet.
 
@@ -238,21 +254,19 @@ def align_documents(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataF
     check_pieces(pieces_path)
     spark = docs.sparkSession
     steps = Scratch(spark, "alignment")
-    chunks = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_chunks, _CHUNK), "chunks")
+    chunks = _written(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(_chunks, _CHUNK), "chunks")
     known = chunks.filter("segment IS NOT NULL")
     counted = known.groupBy("segment").agg(F.sum("n").alias("n"))
     aligned = steps.keep(counted.mapInArrow(_align(bytes_path, pieces_path), _ALIGNED).withColumn("id", F.monotonically_increasing_id()))
-    release(spark)
     counts = steps.keep(aligned.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count")))
     b = F.col("link").bitwiseAND(F.lit(0xFFFFFFFF))
     most = counts.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
     scores = steps.keep(counts.withColumn("b", b).join(most, "b").select("link", "count", (F.col("count") == F.col("most")).cast("int").alias("best")))
+    # a segment's text isn't shuffled with each of its links
     links = aligned.select("id", F.explode("links").alias("link")).join(scores, "link")
     totals = steps.keep(links.groupBy("id").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")))
-    release(spark)  # a segment's text isn't shuffled with each of its links
-    scored = materialize(aligned.select("id", "segment", "groups", "n_a").join(totals, "id").drop("id"), "segment-scores")
+    scored = _written(aligned.select("id", "segment", "groups", "n_a").join(totals, "id").drop("id"), "segment-scores")
     steps.drop()
-    release(spark)
     back = known.select("chunk", "local", "segment").join(scored, "segment").drop("segment")
     payload = chunks.filter("codes IS NOT NULL").select(F.col("chunk").alias("whole"), "doc_ids", "sizes", "codes")
     return payload.groupBy("whole").cogroup(back.groupBy("chunk")).applyInArrow(_compose, _RESULT)
