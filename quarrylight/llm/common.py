@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` excludes it.
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,6 +64,29 @@ def unused(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of this very name, dots and backticks included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def through_arrow(df: DataFrame, run, n: int) -> DataFrame:
+    """``df.mapInArrow(run)`` for any column names: ``run`` gets the columns as
+    c0, c1, ... and returns the first ``n`` of them."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(names[:n], df.schema.fields, strict=False)])
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns[:n])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those with a map in them, which Spark doesn't hash, as JSON."""
+
+    def hashed(field: T.StructField) -> Column:
+        own = column(df, field.name)
+        return F.to_json(F.struct(own.alias("c")), {"ignoreNullFields": "false"}) if "map<" in field.dataType.simpleString() else own
+
+    return F.xxhash64(*[hashed(f) for f in df.schema.fields])
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and broadcasts that no DataFrame needs any more:
     Spark removes them when the driver collects what referred to them, which

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import groups_of_texts, utf8
+from quarrylight.llm.common import groups_of_texts, through_arrow, utf8
 
 N = 4
 UNDETERMINED = "und"
@@ -241,7 +241,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
     prior = model.languages[int(np.argmax(model.false_rate))] if model else None
     judge = _predict(model, prior)
     at = docs.columns.index("text")
-    names = docs.columns
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,4 +250,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **options) -> DataFrame
                 keep = [n != UNDETERMINED and s >= least for n, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return through_arrow(docs, run, len(names))

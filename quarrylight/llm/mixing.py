@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import SPACES
+from quarrylight.llm.common import SPACES, row_hash
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (3, 1, 2)
@@ -116,7 +116,7 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, max_epochs:
     rows that share only a doc_id each give their own. No rows: no rows.
     """
     row = F.col("row")
-    wide = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns]).alias("tie"))
+    wide = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), row_hash(docs).alias("tie"))
     taken = _taken(wide.drop("row"), docs.count(), weights, share, max_epochs, seed).filter("taken > 0")
     taken = taken.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("tie").alias("same")).agg(F.sum("taken").alias("taken"), F.count("*").alias("alike"))
     joined = wide.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")) & (F.col("tie") == F.col("same"))).select("row", "size", "taken", "id", "same", "alike")

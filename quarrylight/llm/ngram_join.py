@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _GAMMA, Scratch, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_hashes
+from quarrylight.llm.common import _GAMMA, Scratch, column, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_hashes
 from quarrylight.llm.components import connected_components
 
 #: Shingles of a fragment, about; and those that a task holds before it sends them.
@@ -372,6 +372,6 @@ def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     same = (docs["doc_id"] == F.col(stay)) & (F.xxhash64(docs["text"]) == F.col(text))
     once = docs.join(kept.filter(F.col(alike) == 1), same, "left_semi")
     # rows that repeat are few kinds: one of each, by partial aggregation
-    often = docs.join(kept.filter(F.col(alike) > 1), same).select(stay, text, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    often = docs.join(kept.filter(F.col(alike) > 1), same).select(stay, text, F.struct(*[column(docs, c) for c in docs.columns]).alias("row"))
     often = often.groupBy(stay, text).agg(F.first("row").alias("row")).select("row.*")
     return once.union(often).unionByName(docs.filter(docs["doc_id"].isNull()))

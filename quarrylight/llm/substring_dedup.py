@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, groups_of_texts, materialize, mix64, release, shingle_hashes, unused, utf8, word_ranges
+from quarrylight.llm.common import _BYTE_FOLDED, _GAMMA, CHUNK, Hasher, Scratch, column, groups_of_texts, materialize, mix64, release, shingle_hashes, through_arrow, unused, utf8, word_ranges
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.ngram_join import prefix_components, set_keys
 
@@ -423,5 +423,6 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     own, cut = unused(names, "cut_id", "cut_spans")
     spans = removals(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start", "stop")).alias(cut))
-    joined = docs.join(spans, docs["doc_id"] == F.col(own), "left").select(*[docs[f"`{c}`"] for c in names], cut)
-    return joined.mapInArrow(_without(names.index("text"), len(names), names.index("n_chars") if "n_chars" in names else None, names), docs.schema)
+    joined = docs.join(spans, docs["doc_id"] == F.col(own), "left").select(*[column(docs, c) for c in names], cut)
+    run = _without(names.index("text"), len(names), names.index("n_chars") if "n_chars" in names else None, [f"c{i}" for i in range(len(names))])
+    return through_arrow(joined, run, len(names))
