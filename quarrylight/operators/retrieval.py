@@ -7,14 +7,17 @@ every ranking is a window per query with the evidence id as the last tie-break.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.text import query_terms
-from quarrylight.functions.vectors import cosine_distance
 
 RRF_K = 60
 #: Queries that are compared with all items at a time.
@@ -138,18 +141,70 @@ def full_text(evidence: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return rows.select("evidence_id", "exact_match", "score").orderBy(F.desc("exact_match"), F.desc("score"), "evidence_id").limit(limit)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, limit: int = 20, digits: int = 9) -> DataFrame:
+def _nearest(sent, limit: int, digits: int):
+    """Batches of items -> the best ``limit`` of the task for every query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, widths, unit, groups = sent.value
+        best = np.full((len(ids), limit), np.inf)
+        at = np.full((len(ids), limit), np.iinfo(np.int64).max)
+        for batch in batches:
+            own = batch.column("evidence_id").to_numpy()
+            lists = batch.column("vector").combine_chunks() if isinstance(batch.column("vector"), pa.ChunkedArray) else batch.column("vector")
+            size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy()
+            scope = batch.column("scope").to_numpy()
+            for width in np.unique(size):
+                rows = np.flatnonzero(size == width)
+                x = np.array(lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), max(0, width)) if width > 0 else np.zeros((len(rows), 0))
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = x / np.where(norm > 0, norm, 1)
+                for k in range(0, len(ids), 1024):
+                    q = np.arange(k, min(k + 1024, len(ids)))
+                    for r in range(0, len(rows), 4096):
+                        part = slice(r, r + 4096)
+                        far = np.ones((len(q), len(x[part])))  # other lengths, and zero vectors: 1
+                        same = np.flatnonzero(widths[q] == width)
+                        if len(same) and width > 0:
+                            far[same] = np.round(np.clip(1 - np.stack([unit[i] for i in q[same]]) @ x[part].T, 0, 2), digits)
+                        i, j = np.nonzero((far <= best[q, -1][:, None]) & (groups[q][:, None] == scope[rows[part]][None, :]))
+                        if not len(i):
+                            continue
+                        some = np.unique(i)
+                        i2 = np.concatenate([i, np.repeat(some, limit)])
+                        d2 = np.concatenate([far[i, j], best[q[some]].ravel()])
+                        e2 = np.concatenate([own[rows[part]][j], at[q[some]].ravel()])
+                        order = np.lexsort((e2, d2, i2))
+                        first = np.searchsorted(i2[order], some)[:, None] + np.arange(limit)
+                        best[q[some]], at[q[some]] = d2[order][first], e2[order][first]
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(at[i, j]), pa.array(best[i, j])], names=["query_id", "evidence_id", "distance"])
+
+    return run
+
+
+def vector_topk(queries: DataFrame, items: DataFrame, limit: int = 20, digits: int = 9, within: tuple[str, ...] = (), state: str | None = None) -> DataFrame:
     """Exact cosine neighbours: query_id, evidence_id, distance, rank.
 
-    ``queries``: query_id, vector, a stated set; ``items``: evidence_id, vector.
-    Queries are compared in blocks of at most ``BLOCK``, each broadcast, and each
-    task keeps its best ``limit`` for a query before rows are shuffled.
+    ``queries``: query_id (long), vector, a stated set; ``items``: evidence_id
+    (long), vector. ``within`` names columns of both (scope, profile) in which a
+    query and an item must agree, nulls with nulls; ``state`` lets only items in
+    that state take part. Queries go to all tasks in blocks of at most ``BLOCK``;
+    items stay where they are, and each task multiplies them as matrices and sends
+    its best ``limit`` for a query. Ties by the smaller id. The distance is 1 for
+    vectors of other lengths, null ones and those of norm 0; a null component is not a number.
     """
+    spark = items.sparkSession
     blocks = max(1, -(-queries.count() // BLOCK))
+    group = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in within]) if within else F.lit(0).cast("long")
+    rows = items if state is None else items.filter(F.col("state") == state)
+    rows = rows.select(F.col("evidence_id").cast("long").alias("evidence_id"), F.col("vector").cast("array<double>").alias("vector"), group.alias("scope"))
     out = None
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vector").alias("wanted"))
-        scored = items.join(F.broadcast(own), F.lit(True)).select("query_id", "evidence_id", F.round(cosine_distance(F.col("vector"), F.col("wanted")), digits).alias("distance"))
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), group.alias("scope")).collect()  # about BLOCK vectors
+        vectors = [np.array(r["vector"] if r["vector"] is not None else [], np.float64) for r in own]
+        unit = [v / n if (n := np.sqrt((v * v).sum())) > 0 else v for v in vectors]
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in own], np.int64), np.array([len(v) for v in vectors], np.int64), unit, np.array([r["scope"] for r in own], np.int64)))
+        scored = rows.mapInArrow(_nearest(sent, limit, digits), "query_id long, evidence_id long, distance double")
         best = ranked(scored, F.asc("distance"), F.asc("evidence_id"), limit=limit)
         out = best if out is None else out.unionByName(best)
     return out

@@ -12,12 +12,15 @@ import hashlib
 import hmac
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.functions.text import content_id
 
@@ -221,11 +224,39 @@ def package_id(package: DataFrame, configuration: str) -> DataFrame:
     return ids.select("query_id", content_id("package", F.col("query_id"), F.lit(configuration), F.col("ids")).alias("package_id"))
 
 
-def spend(calls: DataFrame, limit: int) -> DataFrame:
-    """Whether each call fits a spend limit when calls are admitted in order of
-    ``seq`` per account and all costs before it count."""
-    before = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return calls.withColumn("total", F.sum("cost").over(before)).withColumn("admitted", F.col("total") <= limit)
+def spend(calls: DataFrame, limit: float, tokens: int | None = None, requests: int | None = None) -> DataFrame:
+    """Whether each call fits an account's limits, in order of ``seq``.
+
+    Needs account, seq, cost, and tokens where a limit of them is given. A call is
+    admitted if cost, tokens and requests stay within their limits together; only
+    admitted calls count, so a refused one never shuts out those after it. Adds
+    total (the account's admitted cost so far) and admitted. A null cost is refused.
+
+    What an account has spent depends on every call before, so its calls are read
+    one after the other, as a stream with a few numbers of state: nothing of an
+    account is held in memory, however many calls it has.
+    """
+    kinds = [("total", pa.float64()), ("admitted", pa.bool_())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, [0.0, 0, 0]
+        for batch in batches:
+            totals, admitted = [], []
+            for account, cost, own in zip(*(batch.column(c).to_pylist() for c in ("__account", "cost", "__tokens")), strict=True):
+                if account != now:
+                    now, used = account, [0.0, 0, 0]
+                fits = cost is not None and used[0] + cost <= limit and (tokens is None or used[1] + own <= tokens) and (requests is None or used[2] < requests)
+                if fits:
+                    used = [used[0] + cost, used[1] + own, used[2] + 1]
+                totals.append(float(used[0]))
+                admitted.append(fits)
+            added = [pa.array(v, kind) for v, (_, kind) in zip((totals, admitted), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names=[*batch.schema.names[:-2], *(n for n, _ in kinds)])
+
+    own = F.coalesce(F.col("tokens"), F.lit(0)) if tokens is not None else F.lit(0)
+    keyed = calls.withColumns({"__account": F.coalesce(F.col("account").cast("string"), F.lit("\0")), "__tokens": own.cast("long")})
+    ordered = keyed.repartition("__account").sortWithinPartitions("__account", "seq")
+    return ordered.mapInArrow(run, T.StructType([*calls.schema.fields, T.StructField("total", T.DoubleType()), T.StructField("admitted", T.BooleanType())]))
 
 
 class Continuation:

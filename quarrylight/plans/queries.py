@@ -21,6 +21,7 @@ from quarrylight.operators import extract as X
 from quarrylight.operators import facts as A
 from quarrylight.operators import graph as G
 from quarrylight.operators import incremental as I
+from quarrylight.operators import index as N
 from quarrylight.operators import relations as L
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
@@ -143,9 +144,60 @@ def label_centroid_distance(spark, sf_dir):
     return e.join(first, "label").select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("c")), 6).alias("distance"), F.round(squares, 6).alias("unit_norm"))
 
 
-@query("full_text_search")
+def web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two web-style queries for each benchmark item whose id divides by 20, made of
+    its first words: phrases, alternatives, a negation; and an exact term."""
+    b = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", R.lexemes_of(F.col("text")).alias("w"))
+    w = [F.get("w", F.lit(i)) for i in range(5)]
+    both = F.array(
+        F.struct((F.col("item_id") * 2).alias("query_id"), F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[2], F.lit(" "), w[3], F.lit(" -"), w[4]).alias("query")),
+        F.struct((F.col("item_id") * 2 + 1).alias("query_id"), F.concat(F.lit("src3 or "), w[0]).alias("query")),
+    )
+    return b.select(F.inline(both))
+
+
+_LEXEMES = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query("full_text_search", f"""WITH b AS (SELECT item_id * 2 AS q, {_LEXEMES} AS w FROM benchmark WHERE item_id % 20 = 0),
+  c AS (SELECT q, 0 AS part, false AS neg, [w[1], w[2]] AS lex FROM b UNION ALL SELECT q, 0, false, [w[3]] FROM b UNION ALL SELECT q, 1, false, [w[4]] FROM b UNION ALL SELECT q, 2, true, [w[5]] FROM b
+        UNION ALL SELECT q + 1, 0, false, ['src3'] FROM b UNION ALL SELECT q + 1, 0, false, [w[1]] FROM b),
+  s AS (SELECT q, '"' || w[1] || ' ' || w[2] || '" or ' || w[3] || ' ' || w[4] || ' -' || w[5] AS text FROM b UNION ALL SELECT q + 1, 'src3 or ' || w[1] FROM b),
+  d AS (SELECT doc_id, {_LEXEMES} AS w FROM documents WHERE text IS NOT NULL),
+  parts AS (SELECT q, doc_id, part, bool_or(contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(lex, ' ') || ' ') <> neg) AS ok FROM c, d GROUP BY 1, 2, 3),
+  m AS (SELECT q, doc_id FROM parts GROUP BY 1, 2 HAVING bool_and(ok)),
+  x AS (SELECT DISTINCT q, doc_id FROM (SELECT q, unnest({_TERMS.format("text")}) AS term FROM s) JOIN (SELECT doc_id, unnest([lower(source), lower(lang)]) AS term FROM documents) USING (term)),
+  u AS (SELECT q, doc_id, bool_or(e) AS exact_match FROM (SELECT q, doc_id, false AS e FROM m UNION ALL SELECT q, doc_id, true FROM x) GROUP BY 1, 2),
+  o AS (SELECT DISTINCT q, unnest(lex) AS word FROM c WHERE NOT neg), k AS (SELECT q, count(*) AS k FROM o GROUP BY 1),
+  p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d), e AS (SELECT q, doc_id, word, pos FROM p JOIN o USING (word) JOIN u USING (q, doc_id)),
+  nxt AS (SELECT a.q, a.doc_id, a.pos, z.word, min(z.pos) AS p FROM e a JOIN e z ON a.q = z.q AND a.doc_id = z.doc_id AND z.pos >= a.pos GROUP BY 1, 2, 3, 4),
+  ends AS (SELECT q, doc_id, pos, max(p) AS till FROM nxt GROUP BY 1, 2, 3 HAVING count(*) = (SELECT k FROM k WHERE k.q = nxt.q)),
+  cov AS (SELECT q, doc_id, till, max(pos) AS since FROM ends GROUP BY 1, 2, 3),
+  r AS (SELECT q, doc_id, sum(0.4::DOUBLE * k / (till - since + 1)) AS score FROM cov JOIN k USING (q) GROUP BY 1, 2),
+  v AS (SELECT q AS query_id, doc_id AS evidence_id, exact_match, round(coalesce(score, 0), 9) AS score FROM u LEFT JOIN r USING (q, doc_id))
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact_match DESC, score DESC, evidence_id) AS rank FROM v) WHERE rank <= 200""")
 def full_text_search(spark, sf_dir):
-    return R.full_text(evidence(spark, sf_dir), '"of the" or license -worthless')
+    return N.search(web_queries(spark, sf_dir), evidence(spark, sf_dir), limit=200)
+
+
+@query("text_entries", f"""SELECT word AS lexeme, count(*) AS documents, sum(n) AS occurrences, sum(first) AS first FROM (
+  SELECT doc_id, word, count(*) AS n, min(pos) - 1 AS first FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_LEXEMES} AS w FROM documents)) GROUP BY 1, 2) GROUP BY 1""")
+def text_entries(spark, sf_dir):
+    """The inverted index of all texts, summed up for each lexeme."""
+    index = N.postings(N.text_entries(evidence(spark, sf_dir)))
+    return index.groupBy("lexeme").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("occurrences"), F.sum(F.element_at("positions", 1)).alias("first"))
+
+
+_SCOPED_SQL = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+  p AS (SELECT w.vec_id AS query_id, i.vec_id AS evidence_id, round(least(2, greatest(0, 1 - list_cosine_similarity(w.v, i.v))), 9) AS distance FROM e w JOIN e i ON w.label = i.label AND w.vec_id % 3 = i.vec_id % 3 WHERE w.vec_id % 20 = 0 AND i.vec_id % 4 <> 1)"""
+
+
+@query("vector_scoped_topk", f"WITH {_SCOPED_SQL} SELECT query_id, evidence_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, evidence_id) AS rank FROM p) WHERE rank <= 20")
+def vector_scoped_topk(spark, sf_dir):
+    """Neighbours in the same scope (label) and profile, among items that are ready."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.col("label").alias("scope"), (F.col("vec_id") % 3).alias("profile"), F.when(F.col("vec_id") % 4 == 1, "stale").otherwise("ready").alias("state"))
+    own = e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return R.vector_topk(own, e.withColumnRenamed("vec_id", "evidence_id"), within=("scope", "profile"), state="ready").withColumn("distance", F.round("distance", 6))
 
 
 # --- facts and graph -------------------------------------------------------------
@@ -357,11 +409,14 @@ def abstention_decision(spark, sf_dir):
     return d.select("doc_id", S.abstention(F.col("n_chars") % 5, F.col("doc_id") % 2, F.col("lang"), F.lit("en"), level).alias("reason"))
 
 
-@query("spend_budget", """SELECT event_id, round(total, 4) AS total, total <= 1000 AS admitted FROM (
-  SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)""")
+@query("spend_budget", """WITH RECURSIVE c AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT user_id, event_id, n, CASE WHEN value <= 300 THEN value ELSE 0 END AS total, CASE WHEN value <= 300 THEN 1 ELSE 0 END AS used, value <= 300 AS admitted FROM c WHERE n = 1
+        UNION ALL SELECT c.user_id, c.event_id, c.n, CASE WHEN f.total + value <= 300 AND used < 8 THEN f.total + value ELSE f.total END, CASE WHEN f.total + value <= 300 AND used < 8 THEN used + 1 ELSE used END, f.total + value <= 300 AND used < 8
+        FROM f JOIN c ON c.user_id = f.user_id AND c.n = f.n + 1)
+  SELECT event_id, round(total, 4) AS total, admitted FROM f""")
 def spend_budget(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("account"), F.struct("ts", "event_id").alias("seq"), F.col("value").alias("cost"))
-    return S.spend(e, 1000).select("event_id", F.round("total", 4).alias("total"), "admitted")
+    return S.spend(e, 300, requests=8).select("event_id", F.round("total", 4).alias("total"), "admitted")
 
 
 @query("continuation_page", """SELECT * FROM (SELECT c_mktsegment AS query_id, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place BETWEEN 11 AND 20""")
