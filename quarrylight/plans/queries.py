@@ -8,6 +8,8 @@ events are runs, jobs and observations, labels are expectations.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,8 @@ from quarrylight.operators import index as N
 from quarrylight.operators import relations as L
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
-from quarrylight.runtime import table
+from quarrylight.runtime import shared_dir, table
+from quarrylight.sources import datasources as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -697,3 +700,32 @@ def job_state_machine(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("seq", F.row_number().over(w).cast("long"))
     ev = e.select(F.col("user_id").cast("string").alias("job_id"), "seq", F.when(F.col("seq") == 1, "claim").otherwise("advance").alias("event"), F.col("seq").alias("at"), F.lit(1_000_000).cast("long").alias("lease"), F.least(F.col("seq") - 1, F.lit(2)).cast("int").alias("stage"), F.col("seq").alias("processed"))
     return job_states(ev).groupBy("job_id").agg(F.count_if("accepted").alias("n"), F.max("stage").cast("long").alias("stage"))
+
+
+# --- data sources -----------------------------------------------------------------------------------
+
+
+@query("bundle_round_trip", """SELECT c_mktsegment AS artifact_type, o_orderpriority AS contribution_type, count(*) AS n, sum(CAST(floor(abs(c_acctbal)) AS BIGINT)) AS size, count(DISTINCT c_custkey) AS artifacts
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def bundle_round_trip(spark, sf_dir):
+    """Customers as artifacts and orders as their contributions, written as a bundle and read back."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    artifacts = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("s").alias("source_id"), F.col("c_name").alias("path"), F.col("c_mktsegment").alias("type"), F.sha2("c_name", 256).alias("hash"), F.floor(F.abs("c_acctbal")).alias("size"))
+    contributions = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("artifact_id"), F.col("o_orderpriority").alias("type"), F.col("o_orderdate").alias("observed_at"))
+    path = f"{shared_dir(spark)}/engine/bundle-{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(D.local(path)), exist_ok=True)
+    D.publish_bundle({"artifacts": artifacts, "contributions": contributions}, path, {"organization": {"id": "o"}})
+    got = D.open_bundle(spark, path)
+    both = got["contributions"].select(F.col("artifact_id").alias("a"), F.col("type").alias("contribution_type")).join(got["artifacts"], F.col("a") == F.col("id"))
+    return both.groupBy(F.col("type").alias("artifact_type"), "contribution_type").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.count_distinct("id").alias("artifacts"))
+
+
+@query("directory_scan", """SELECT coalesce(source, '') AS folder, sum(strlen(coalesce(text, '')) + 1) AS size, count(*) = 0 AS bad FROM documents GROUP BY 1""")
+def directory_scan(spark, sf_dir):
+    """Documents as files in a folder for each source, scanned as a source tree."""
+    path = f"{shared_dir(spark)}/engine/tree-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.coalesce("source", F.lit(""))).alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    rows.write.partitionBy("folder").text(path)
+    found = D.scan_tree(spark, path, exclude=("**/.*.crc", "**/_SUCCESS"))
+    files = found.filter("kind <> 'exclusion'").withColumn("folder", F.regexp_extract("path", "^folder=s([^/]*)/", 1))
+    return files.groupBy("folder").agg(F.sum("size").alias("size"), F.bool_or(F.col("kind") != "artifact").alias("bad"))
