@@ -19,6 +19,7 @@ from quarrylight.functions import content as C
 from quarrylight.functions.text import collapse, content_id, normalize_terms, tokens_of_bytes, tokens_of_characters
 from quarrylight.functions.vectors import cosine_distance, unit
 from quarrylight.operators import evaluation as E
+from quarrylight.operators import expansion as P
 from quarrylight.operators import extract as X
 from quarrylight.operators import facts as A
 from quarrylight.operators import graph as G
@@ -328,6 +329,57 @@ def derivation_fixpoint(spark, sf_dir):
     return G.derive(base, [("transitive", transitive)]).facts.select("src", "dst")
 
 
+def expansion_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, seeds and references: a query is a supplier, its candidates are
+    the ten orders that take most of it, an order's entities are its parts."""
+    li = table(spark, sf_dir, "lineitem")
+    own = li.filter("l_suppkey % 20 = 0").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_orderkey").alias("evidence_id")).agg(F.round(F.sum("l_quantity") / 1000, 6).alias("score"))
+    fused = R.ranked(own, F.desc("score"), F.asc("evidence_id"), limit=10)
+    parts = li.select(F.col("l_orderkey").alias("evidence_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("entity")).distinct()
+    suppliers = li.select(F.col("l_orderkey").alias("evidence_id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("entity")).distinct()
+    return fused, fused.join(parts, "evidence_id"), parts.union(suppliers)
+
+
+def _expansion_sql(budget: int) -> str:
+    """Seed after seed with what is left of the budget."""
+    return f"""WITH RECURSIVE {_EDGES_SQL},
+  own AS (SELECT l_suppkey AS query_id, l_orderkey AS evidence_id, round(sum(l_quantity) / 1000, 6) AS score FROM lineitem WHERE l_suppkey % 20 = 0 GROUP BY 1, 2),
+  fused AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) <= 10),
+  parts AS (SELECT DISTINCT l_orderkey AS evidence_id, 'p' || l_partkey AS entity FROM lineitem),
+  refs AS (SELECT entity, evidence_id FROM parts UNION ALL SELECT DISTINCT 's' || l_suppkey, l_orderkey FROM lineitem),
+  seeds AS (SELECT query_id, evidence_id, entity, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id, entity) AS n FROM fused JOIN parts USING (evidence_id)),
+  hits AS (SELECT from_id AS anchor, edge_id, to_id AS target, row_number() OVER (PARTITION BY from_id ORDER BY from_id, to_id, type, edge_id) AS position FROM edges QUALIFY position <= 25),
+  sizes AS (SELECT anchor, count(*) AS h, sum(r) AS r FROM (SELECT anchor, edge_id, (SELECT count(*) FROM refs WHERE entity = target) AS r FROM hits) GROUP BY 1),
+  walk AS (SELECT query_id, 0::BIGINT AS n, {budget}::BIGINT AS room, {budget}::BIGINT AS after, 0::BIGINT AS kept, 0::BIGINT AS before FROM (SELECT DISTINCT query_id FROM seeds)
+    UNION ALL SELECT w.query_id, s.n, w.after, w.after - least(z.h, w.after) - least(z.r, w.after - least(z.h, w.after)), least(z.r, w.after - least(z.h, w.after)), w.before + w.kept
+    FROM walk w JOIN seeds s ON s.query_id = w.query_id AND s.n = w.n + 1 JOIN sizes z ON z.anchor = s.entity),
+  got AS (SELECT w.query_id, s.evidence_id AS seed, h.edge_id, r.evidence_id, w.before, w.kept, row_number() OVER (PARTITION BY w.query_id, w.n ORDER BY h.position, r.evidence_id) AS nth
+    FROM walk w JOIN seeds s ON s.query_id = w.query_id AND s.n = w.n JOIN hits h ON h.anchor = s.entity JOIN refs r ON r.entity = h.target WHERE w.kept > 0),
+  ranks AS (SELECT *, before + nth AS rank FROM got WHERE nth <= kept),
+  once AS (SELECT query_id, seed, edge_id, evidence_id, min(rank) AS rank FROM ranks GROUP BY 1, 2, 3, 4),
+  every AS (SELECT query_id, evidence_id, score AS part, 0 AS one FROM fused UNION ALL SELECT query_id, evidence_id, 1.0::DOUBLE / (60 + rank), 1 FROM once),
+  total AS (SELECT query_id, evidence_id, round(sum(part), 12) AS score, sum(one) AS relations FROM every GROUP BY 1, 2)
+  SELECT query_id, evidence_id, round(score, 9) AS score, relations, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, evidence_id) AS rank FROM total) WHERE rank <= 50"""
+
+
+def _expanded(spark: SparkSession, sf_dir: str, budget: int) -> DataFrame:
+    fused, seeds, references = expansion_inputs(spark, sf_dir)
+    out = P.fuse_relations(fused, P.expand(seeds, supply_edges(spark, sf_dir), references, budget), limit=50)
+    return out.withColumn("score", F.round("score", 9))
+
+
+@query("relation_expansion", _expansion_sql(500))
+def relation_expansion(spark, sf_dir):
+    """A budget that ends within the seeds."""
+    return _expanded(spark, sf_dir, 500)
+
+
+@query("relation_expansion_wide", _expansion_sql(10_000_000))
+def relation_expansion_wide(spark, sf_dir):
+    """A budget that no query uses up."""
+    return _expanded(spark, sf_dir, 10_000_000)
+
+
 # --- content, policy, selection -----------------------------------------------------
 
 _RE = {k: v.replace("'", "''") for k, v in (("secret", C.SECRET), ("auth", C.AUTHORIZATION), ("key", C.PRIVATE_KEY), ("prompt", C.INJECTION), ("binary", C.BINARY))}
