@@ -30,6 +30,7 @@ from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
 from quarrylight.runtime import shared_dir, table
 from quarrylight.sources import datasources as D
+from quarrylight.sources import factual as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -781,3 +782,36 @@ def directory_scan(spark, sf_dir):
     found = D.scan_tree(spark, path, exclude=("**/.*.crc", "**/_SUCCESS"))
     files = found.filter("kind <> 'exclusion'").withColumn("folder", F.regexp_extract("path", "^folder=s([^/]*)/", 1))
     return files.groupBy("folder").agg(F.sum("size").alias("size"), F.bool_or(F.col("kind") != "artifact").alias("bad"))
+
+
+def supplied_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact for each part and supplier of a line status, with its orders as
+    evidence and the return flags as qualifiers."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("scope"), "l_partkey", "l_suppkey").agg(
+        F.array_sort(F.collect_set("l_orderkey"), lambda a, b: (b - a).cast("int")).alias("orders"), F.array_sort(F.collect_set("l_returnflag")).alias("flags")
+    )
+    return li.select(
+        "scope", F.concat_ws("-", F.lit("f"), "l_partkey", "l_suppkey").alias("fact_id"), F.lit("supplied_by").alias("predicate"), F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object"),
+        F.transform("flags", lambda f: F.struct(F.lit("flag").alias("name"), f.alias("value"))).alias("qualifiers"), F.transform("orders", lambda o: F.struct(o.cast("string").alias("id"))).alias("evidence"),
+        F.when(F.col("l_partkey") % 2 == 0, F.array(F.concat_ws("-", F.lit("f"), F.col("l_partkey") - 1, "l_suppkey"))).alias("inputs"),
+    )
+
+
+@query("factual_round_trip", """WITH f AS (SELECT l_linestatus AS scope, 'f-' || l_partkey || '-' || l_suppkey AS fact_id, l_partkey, array_to_string(list_sort(list(DISTINCT l_orderkey), 'DESC'), ',') AS evidence,
+    string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, l_suppkey FROM lineitem GROUP BY l_linestatus, l_partkey, l_suppkey)
+  SELECT scope, fact_id, l_partkey AS subject, flags, evidence, CASE WHEN l_partkey % 2 = 0 THEN 'f-' || (l_partkey - 1) || '-' || l_suppkey ELSE '' END AS inputs, 0 AS again, true AS refused FROM f""")
+def factual_round_trip(spark, sf_dir):
+    """Facts written in two parts, then all again, then with one changed; and read back."""
+    store = f"{shared_dir(spark)}/engine/factual-{uuid.uuid4().hex}"
+    facts = supplied_facts(spark, sf_dir)
+    T.persist_facts(facts.filter("subject % 3 = 0"), store)
+    T.persist_facts(facts, store)
+    again = T.persist_facts(facts, store)
+    try:
+        T.persist_facts(facts.withColumn("object", F.when(F.col("subject") == 1, -1).otherwise(F.col("object"))), store)
+        refused = False
+    except ValueError:
+        refused = True
+    got = T.read_facts(spark, store)
+    flags, cited = F.array_join(F.transform("qualifiers", lambda q: q["value"]), ","), F.array_join(F.transform("evidence", lambda e: e["id"]), ",")
+    return got.select("scope", "fact_id", "subject", flags.alias("flags"), cited.alias("evidence"), F.array_join("inputs", ",").alias("inputs"), F.lit(again).cast("int").alias("again"), F.lit(refused).alias("refused"))
