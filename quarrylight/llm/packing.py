@@ -140,6 +140,7 @@ def planned(histogram: dict[int, int], capacity: int, iterations: int = ITERATIO
                         del left[n]
         if not placed:
             break
+    out = topped_up(out, left, capacity)
     # best fit for the rest: the largest, then again and again the largest that fits
     while left:
         sizes = sorted(left, reverse=True)
@@ -158,6 +159,38 @@ def planned(histogram: dict[int, int], capacity: int, iterations: int = ITERATIO
     return out
 
 
+def topped_up(fillings: list[tuple[Pattern, int, bool]], left: dict[int, int], capacity: int) -> list[tuple[Pattern, int, bool]]:
+    """The fillings with pieces exchanged for longer ones of the rest, so that they
+    have no room left or less of it; ``left`` gets the shorter pieces instead.
+
+    As many sequences hold more tokens, and the rest, which goes best fit, has fewer.
+    """
+    out, todo = [], list(fillings)
+    while todo:
+        pattern, times, solved = todo.pop()
+        room = capacity - sum(n * a for n, a in pattern)
+        for gain in range(room, 0, -1):
+            found = next(((n, k) for n, _ in pattern if (k := min(times, left.get(n + gain, 0)))), None)
+            if not found:
+                continue
+            n, k = found
+            counts = dict(pattern)
+            counts[n] -= 1
+            counts[n + gain] = counts.get(n + gain, 0) + 1
+            new = tuple(sorted(((m, a) for m, a in counts.items() if a), reverse=True))
+            left[n] = left.get(n, 0) + k
+            left[n + gain] -= k
+            if not left[n + gain]:
+                del left[n + gain]
+            (out if gain == room else todo).append((new, k, solved))
+            times -= k
+            if not times:
+                break
+        if times:
+            out.append((pattern, times, solved))
+    return out
+
+
 @dataclass
 class Runs:
     """Pieces of one length with ranks from rank[k] on: copies[k] to a sequence,
