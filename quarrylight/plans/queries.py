@@ -25,6 +25,8 @@ from quarrylight.operators import facts as A
 from quarrylight.operators import graph as G
 from quarrylight.operators import incremental as I
 from quarrylight.operators import index as N
+from quarrylight.operators import matching as M
+from quarrylight.operators import policy as O
 from quarrylight.operators import relations as L
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
@@ -815,3 +817,110 @@ def factual_round_trip(spark, sf_dir):
     got = T.read_facts(spark, store)
     flags, cited = F.array_join(F.transform("qualifiers", lambda q: q["value"]), ","), F.array_join(F.transform("evidence", lambda e: e["id"]), ",")
     return got.select("scope", "fact_id", "subject", flags.alias("flags"), cited.alias("evidence"), F.array_join("inputs", ",").alias("inputs"), F.lit(again).cast("int").alias("again"), F.lit(refused).alias("refused"))
+
+
+# --- context policy ----------------------------------------------------------------------------------
+
+_CONTEXT_SQL = f"""RECURSIVE {_INSPECT_SQL},
+a AS (SELECT doc_id, doc_id % 4 AS query_id, 'd' || doc_id AS item_id, text, CASE doc_id % 10 WHEN 0 THEN 'fact' WHEN 1 THEN 'entity' ELSE 'evidence' END AS item_kind, kind,
+  CASE WHEN {{authorization}} THEN NULL WHEN doc_id % 13 = 5 THEN 'deny' WHEN doc_id % 13 = 6 THEN 'redact' END AS auth, doc_id % 17 = 3 AS marked FROM k),
+r AS (SELECT *, CASE WHEN auth = 'deny' THEN 'authorization_deny' WHEN item_kind <> 'evidence' AND auth = 'redact' THEN 'authorization_redact' WHEN item_kind <> 'evidence' AND kind <> 'safe_text' THEN 'inspection'
+    WHEN item_kind = 'evidence' AND kind = 'binary' THEN 'invalid' WHEN item_kind = 'evidence' AND kind <> 'safe_text' THEN 'transfer_policy' END AS own,
+  item_kind = 'evidence' AND coalesce(text, '') <> '' AND (coalesce(auth, '') = 'redact' OR marked) AS hidden FROM a),
+e AS (SELECT doc_id, doc_id - 4 AS leans FROM r WHERE doc_id % 5 <> 0 AND doc_id >= 4 UNION ALL SELECT doc_id, (doc_id // 8) * 4 + doc_id % 4 FROM r WHERE doc_id % 6 = 0),
+gone AS (SELECT doc_id FROM r WHERE own IS NOT NULL UNION SELECT e.doc_id FROM e JOIN gone g ON e.leans = g.doc_id WHERE e.leans <> e.doc_id),
+s AS (SELECT query_id, doc_id, item_id, item_kind, CASE WHEN own IS NOT NULL THEN own WHEN doc_id IN (SELECT doc_id FROM gone) THEN 'support' END AS reason,
+  CASE WHEN hidden THEN 'evidence-' || sha256(length(item_id) || ':' || item_id || '10:[redacted]') ELSE item_id END AS shown, CASE WHEN hidden THEN 10 ELSE coalesce(strlen(text), 0) END AS size, hidden FROM r)"""
+_POLICY_SQL, _AUTHORIZED_SQL = _CONTEXT_SQL.format(authorization="FALSE"), _CONTEXT_SQL.format(authorization="TRUE")
+
+
+def context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items of four contexts; each may need the one four before it and
+    cite the one in the middle, and some are marked, denied or to be redacted."""
+    i, n = F.col("doc_id"), lambda c: F.concat(F.lit("d"), c)
+    supports = F.when((i % 5 != 0) & (i >= 4), F.array(n(i - 4)))
+    cited = F.when(i % 6 == 0, F.array(n(F.floor(i / 8) * 4 + i % 4), F.lit("elsewhere")))
+    return table(spark, sf_dir, "documents").select(
+        (i % 4).alias("query_id"), n(i).alias("item_id"), F.when(i % 10 == 0, "fact").when(i % 10 == 1, "entity").otherwise("evidence").alias("kind"), F.col("text").alias("content"),
+        F.when(i % 13 == 5, "deny").when(i % 13 == 6, "redact").otherwise("allow").alias("authorization"), F.lit("allow").alias("persist"), F.when(i % 17 == 3, "redact").alias("transfer"),
+        supports.alias("supports"), cited.alias("provenance"), (F.lit(1.0) / (i + 1)).alias("relevance"), (i % 100).alias("rank"), F.array(F.lit("evidence")).alias("aspects"),
+    )
+
+
+def context_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each document to the one four after it, by way of both, told by the one eight after it."""
+    i, n = F.col("doc_id"), lambda c: F.concat(F.lit("d"), c)
+    return table(spark, sf_dir, "documents").select(
+        (i % 4).alias("query_id"), F.concat(F.lit("r"), i).alias("relation_id"), n(i).alias("from_id"), n(i + 4).alias("to_id"), F.array(n(i), n(i + 4)).alias("path"),
+        F.when(i % 3 == 0, F.array(n(i + 8))).alias("supports"), F.when(i % 7 == 0, F.array(n(i + 12), F.lit("elsewhere"))).alias("provenance"), F.lit(0.5).alias("score"), (i % 100).alias("rank"),
+    )
+
+
+_LINKS_SQL = """l AS (SELECT d.query_id, 'r' || d.doc_id AS relation_id, d.doc_id % 100 AS rank, f.shown AS from_id, t.shown AS to_id, u.shown AS support, d.doc_id % 3 = 0 AS told,
+  CASE WHEN f.reason IS NOT NULL OR t.doc_id IS NULL OR t.reason IS NOT NULL THEN 'endpoint' WHEN d.doc_id % 3 = 0 AND (u.doc_id IS NULL OR u.reason IS NOT NULL) THEN 'support'
+    WHEN d.doc_id % 7 = 0 AND c.reason IS NOT NULL THEN 'support' END AS reason
+  FROM s d JOIN s f ON f.doc_id = d.doc_id LEFT JOIN s t ON t.doc_id = d.doc_id + 4 LEFT JOIN s u ON u.doc_id = d.doc_id + 8 LEFT JOIN s c ON c.doc_id = d.doc_id + 12)"""
+
+
+@query("policy_filter", f"WITH {_POLICY_SQL} SELECT query_id, item_id, item_kind AS kind, reason, CASE WHEN reason IS NULL THEN shown END AS output_id, hidden AND reason IS NULL AS redacted FROM s")
+def policy_filter(spark, sf_dir):
+    return O.apply_policy(context_items(spark, sf_dir))[0].drop("content")
+
+
+@query("policy_relations", f"WITH {_POLICY_SQL}, {_LINKS_SQL} SELECT query_id, relation_id, reason, CASE WHEN reason IS NULL THEN from_id END AS from_id, CASE WHEN reason IS NULL THEN to_id END AS to_id, CASE WHEN reason IS NULL AND told THEN support WHEN reason IS NULL THEN '' END AS supports FROM l")
+def policy_relations(spark, sf_dir):
+    links = O.apply_policy(context_items(spark, sf_dir), context_relations(spark, sf_dir))[1]
+    return links.select("query_id", "relation_id", "reason", "from_id", "to_id", F.array_join("supports", ",").alias("supports"))
+
+
+@query("authorized_projection", f"""WITH {_AUTHORIZED_SQL}, {_LINKS_SQL}
+  SELECT s.query_id, s.item_kind AS kind, s.shown AS id, s.doc_id % 100 AS rank, coalesce(p.shown, '') AS supports, CAST(ceil(s.size / 4.0) AS BIGINT) AS tokens FROM s LEFT JOIN s p ON p.doc_id = s.doc_id - 4 AND s.doc_id % 5 <> 0 WHERE s.reason IS NULL
+  UNION ALL SELECT query_id, 'relation', relation_id, rank, CASE WHEN told THEN support ELSE '' END,
+    CAST(ceil((2 * (strlen(from_id) + strlen(to_id)) + 4 + CASE WHEN told THEN strlen(support) ELSE 0 END) / 4.0) AS BIGINT) FROM l WHERE reason IS NULL""")
+def authorized_projection(spark, sf_dir):
+    """Candidates and relations under the policy, as one table."""
+    items, links = O.authorized_projection(context_items(spark, sf_dir), context_relations(spark, sf_dir))
+    supports = F.array_join("supports", ",").alias("supports")
+    shown = items.select("query_id", "kind", F.col("item_id").alias("id"), "rank", supports, "tokens")
+    return shown.unionByName(links.select("query_id", F.lit("relation").alias("kind"), F.col("relation_id").alias("id"), "rank", supports, "tokens"))
+
+
+# --- evidence matching -------------------------------------------------------------------------------
+
+_MATCH_SQL = """u AS (SELECT l_suppkey AS b, l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS p, min(l_returnflag) AS f, min(l_linestatus) AS s, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+units AS (SELECT b, id, 'p' || (p % 7) || '/m' || f || '.java' AS path, lower(f) AS member, 'x' || lower(s) AS content, CASE WHEN p % 97 > 0 THEN p % 97 END AS a, p % 97 + CAST(q AS BIGINT) AS z FROM u),
+x AS (SELECT b, id, CASE id % 5 WHEN 0 THEN 'p' || (p % 7) || '/m' || f || '\\.java' WHEN 1 THEN 'p[^/]*/m' || f || '\\.java' WHEN 2 THEN 'p[0-' || (p % 7) || ']/m[^/]\\.java' END AS rx,
+  CASE WHEN id % 5 = 0 THEN 110 WHEN id % 5 < 3 THEN 60 ELSE 10 END AS worth, CASE WHEN id % 5 = 4 THEN lower(f) END AS member, id % 2 = 0 AND p % 60 + 5 > 0 AS lined, greatest(p % 60, 1) AS a, p % 60 + 5 AS z FROM u WHERE q >= 49),
+most AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM x GROUP BY b)),
+m AS (SELECT x.b AS case_id, x.id AS expected_id, units.id AS evidence_id, worth + CASE WHEN x.member IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN lined THEN 10 ELSE 0 END AS score
+  FROM x JOIN units USING (b) WHERE (rx IS NULL OR regexp_full_match(path, rx)) AND (x.member IS NULL OR contains(units.member, x.member) OR contains(content, x.member))
+  AND (NOT lined OR units.a IS NULL OR (x.a <= units.z AND units.a <= x.z))),
+t AS (SELECT *, row_number() OVER (PARTITION BY case_id, expected_id ORDER BY score DESC, evidence_id) AS place FROM m)"""
+
+
+def expectations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(expected, units): a supplier's line items as its evidence, the large ones as what is expected."""
+    u = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("bundle_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(
+        F.min("l_partkey").alias("p"), F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.max("l_quantity").alias("q")
+    )
+    part, flag, start = (F.col("p") % 7).cast("string"), F.col("f"), F.col("p") % 97
+    units = u.select("bundle_id", F.col("id").alias("evidence_id"), F.concat(F.lit("p"), part, F.lit("/m"), flag, F.lit(".java")).alias("path"), F.lower(flag).alias("member"), F.lit(None).cast("string").alias("method"), F.concat(F.lit("x"), F.lower("s")).alias("content"), F.when(start > 0, start).alias("start_line"), (start + F.col("q").cast("long")).alias("end_line"))
+    way, lined = F.col("id") % 5, F.col("id") % 2 == 0
+    glob = F.when(way == 0, F.concat(F.lit("p"), part, F.lit("/m"), flag, F.lit(".java"))).when(way == 1, F.concat(F.lit("p*\\m"), flag, F.lit(".java"))).when(way == 2, F.concat(F.lit("p[0-"), part, F.lit("]/m?.java")))
+    x = u.filter("q >= 49").select("bundle_id", F.col("bundle_id").alias("case_id"), F.col("id").alias("expected_id"), glob.alias("path"), F.when(way == 4, F.concat(F.lit(" "), flag)).alias("member"), F.lit(None).cast("string").alias("attribute"), F.when(lined, F.col("p") % 60).alias("start_line"), F.when(lined, F.col("p") % 60 + 5).alias("end_line"))
+    return x, units
+
+
+@query("evidence_match_scores", f"WITH {_MATCH_SQL} SELECT case_id, expected_id, evidence_id, score, place FROM t, most WHERE place <= n")
+def evidence_match_scores(spark, sf_dir):
+    return M.scored_matches(*expectations(spark, sf_dir))
+
+
+@query("evidence_match_greedy", f"""WITH RECURSIVE {_MATCH_SQL},
+  o AS (SELECT case_id, expected_id, list(evidence_id ORDER BY place) AS ids, row_number() OVER (PARTITION BY case_id ORDER BY expected_id) AS i FROM t, most WHERE place <= n GROUP BY 1, 2),
+  g AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS expected_id, CAST(NULL AS BIGINT) AS evidence_id, FALSE AS reused FROM o
+    UNION ALL SELECT case_id, i, list_append(used, coalesce(pick, ids[1])), expected_id, coalesce(pick, ids[1]), pick IS NULL FROM (
+      SELECT g.case_id, o.i, g.used, o.expected_id, o.ids, list_filter(o.ids, lambda e: NOT list_contains(g.used, e))[1] AS pick FROM g JOIN o ON o.case_id = g.case_id AND o.i = g.i + 1))
+  SELECT case_id, expected_id, evidence_id, reused FROM g WHERE i > 0""")
+def evidence_match_greedy(spark, sf_dir):
+    return E.greedy_match(evidence_match_scores(spark, sf_dir))

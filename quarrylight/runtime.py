@@ -33,3 +33,24 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/engine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that grows by appended rows; what is there is never written again."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path = f"{shared_dir(self.spark)}/engine/{name}-{uuid.uuid4().hex}"
+        self.parts: list[str] = []
+        self.last = self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Append ``rows`` and return them, read back."""
+        self.parts.append(f"{self.path}/part-{len(self.parts)}")
+        rows.write.parquet(self.parts[-1])
+        self.last = self.spark.read.schema(self.schema).parquet(self.parts[-1])
+        return self.last
+
+    def read(self) -> DataFrame:
+        """All rows so far, as one scan."""
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
