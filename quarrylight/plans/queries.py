@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import content as C
 from quarrylight.functions.text import collapse, content_id, normalize_terms, tokens_of_bytes, tokens_of_characters
 from quarrylight.functions.vectors import cosine_distance, unit
+from quarrylight.operators import candidates as K
 from quarrylight.operators import evaluation as E
 from quarrylight.operators import expansion as P
 from quarrylight.operators import extract as X
@@ -27,6 +28,7 @@ from quarrylight.operators import incremental as I
 from quarrylight.operators import index as N
 from quarrylight.operators import matching as M
 from quarrylight.operators import policy as O
+from quarrylight.operators import quality as Q
 from quarrylight.operators import relations as L
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
@@ -924,3 +926,107 @@ def evidence_match_scores(spark, sf_dir):
   SELECT case_id, expected_id, evidence_id, reused FROM g WHERE i > 0""")
 def evidence_match_greedy(spark, sf_dir):
     return E.greedy_match(evidence_match_scores(spark, sf_dir))
+
+
+# --- candidate projection ------------------------------------------------------------------------------
+
+_CANDIDATES_SQL = """u AS (SELECT o_custkey AS query_id, 'u' || o_orderkey AS unit_id, CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey END AS external_id, o_totalprice / 500000 AS score,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey % 4 = 0 AS related, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P'),
+fe AS (SELECT DISTINCT o_custkey AS c, l_suppkey % 10 AS s, o_orderkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+hit AS (SELECT fe.c, fe.s, count(*) AS n, count(u.k) AS found, string_agg(u.unit_id, ',' ORDER BY u.unit_id) AS evidence, min(u.rank) AS rank, max(u.score) AS score, bool_or(u.related) AS related
+  FROM fe LEFT JOIN u ON u.query_id = fe.c AND u.k = fe.k GROUP BY 1, 2),
+f AS (SELECT *, 'says ' || c || '-' || s AS statement, CASE WHEN s % 2 = 0 THEN 'dependency' ELSE 'call' END AS predicate, CASE WHEN s = 3 THEN 'derived' ELSE 'observed' END AS origin FROM hit WHERE n = found),
+g AS (SELECT *, 'fact-' || sha256(strlen(statement) || ':' || statement || strlen(evidence) || ':' || evidence) AS id FROM f),
+p AS (SELECT c, 'c' || c AS id, 'artifact' AS part, rank, score, related, s, origin FROM g UNION ALL SELECT c, 's' || s, 'symbol', rank, score, related, s, origin FROM g WHERE s <> 7),
+e AS (SELECT c, id, min(part) AS part, min(rank) AS rank, max(score) AS score, bool_or(related) AS related, arg_min(origin, rank * 10 + s) AS origin FROM p GROUP BY 1, 2),
+all_of AS (SELECT query_id, unit_id AS item_id, 'evidence' AS kind, 'observed' AS origin, score, rank, 'evidence,source' AS aspects, related FROM u
+  UNION ALL SELECT c, id, 'fact', origin, score, rank, CASE WHEN predicate = 'dependency' THEN 'dependency,evidence' ELSE 'fact,evidence' END, related FROM g
+  UNION ALL SELECT c, id, 'entity', origin, score, rank, part || ',locator', related FROM e)"""
+
+
+def customer_retrieval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(retrieved, facts): each customer's settled orders as what it retrieved, dearest first, and
+    what its line items say of groups of suppliers, told from all of its orders."""
+    from pyspark.sql import Window
+
+    o = table(spark, sf_dir, "orders")
+    k, name = F.col("o_orderkey"), lambda p, c: F.concat(F.lit(p), c)
+    got = o.filter("o_orderstatus <> 'P'").select(
+        F.col("o_custkey").alias("query_id"), name("e", k).alias("evidence_id"), name("u", k).alias("unit_id"), F.when(k % 3 == 0, name("x", k)).alias("external_id"), (F.col("o_totalprice") / 500000).alias("score"),
+        F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"), (k % 4 == 0).alias("related"),
+    )
+    ref = F.when(k % 6 == 0, name("u", k)).when(k % 3 == 0, name("x", k)).otherwise(name("u", k))
+    li = table(spark, sf_dir, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == k).groupBy(F.col("o_custkey").alias("c"), (F.col("l_suppkey") % 10).alias("s")).agg(F.collect_set(ref).alias("evidence"))
+    of = lambda s: F.concat_ws("-", F.concat(F.lit("f"), F.col("c")), s)
+    facts = li.select(
+        of(F.col("s")).alias("fact_id"), F.concat_ws("-", F.concat(F.lit("says "), F.col("c")), "s").alias("statement"), F.when(F.col("s") % 2 == 0, "dependency").otherwise("call").alias("predicate"), name("c", F.col("c")).alias("subject_id"), F.lit("artifact").alias("subject_kind"),
+        F.when(F.col("s") != 7, name("s", F.col("s"))).alias("object_id"), F.when(F.col("s") != 7, "symbol").alias("object_kind"), "evidence", F.when(F.col("s") == 3, F.array(of(F.lit(4)), of(F.lit(5)))).alias("inputs"),
+    )
+    return got, facts
+
+
+@query("candidate_projection_all", f"""WITH {_CANDIDATES_SQL} SELECT query_id, item_id, kind, origin, round(least(1, greatest(0.01, score)), 9) AS relevance, rank, aspects || CASE WHEN related THEN ',relation' ELSE '' END AS aspects,
+  row_number() OVER (PARTITION BY query_id ORDER BY rank, kind, item_id) AS place FROM all_of""")
+def candidate_projection_all(spark, sf_dir):
+    out = K.project(*customer_retrieval(spark, sf_dir)).candidates
+    return out.select("query_id", "item_id", "kind", "origin", F.round("relevance", 9).alias("relevance"), "rank", F.array_join("aspects", ",").alias("aspects"), "place")
+
+
+@query("candidate_relations", f"""WITH {_CANDIDATES_SQL} SELECT c AS query_id, predicate, origin, 'c' || c AS from_id, 's' || s AS to_id, id || ',' || evidence AS supports, round(least(1, greatest(0.01, score)), 9) AS score, rank,
+    EXISTS (SELECT 1 FROM hit h WHERE h.c = g.c AND h.found > 0 AND h.found < h.n) OR EXISTS (SELECT 1 FROM g d WHERE d.c = g.c AND d.s = 3 AND (SELECT count(*) FROM g i WHERE i.c = g.c AND i.s IN (4, 5)) < 2) AS incomplete FROM g WHERE s <> 7""")
+def candidate_relations(spark, sf_dir):
+    """Relation candidates, with whether something of their query was left out."""
+    out = K.project(*customer_retrieval(spark, sf_dir))
+    told = out.relations.join(out.incomplete.withColumn("lost", F.lit(True)), "query_id", "left")
+    return told.select("query_id", "predicate", "origin", "from_id", "to_id", F.array_join("supports", ",").alias("supports"), F.round("score", 9).alias("score"), "rank", F.coalesce("lost", F.lit(False)).alias("incomplete"))
+
+
+# --- quality of variants -------------------------------------------------------------------------------
+
+_QUALITY_SQL = """cs AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+rc AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS i FROM lineitem WHERE l_tax >= 0.04), ee AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 20 AS i FROM lineitem),
+ac AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS c, l_partkey % 20 AS i FROM lineitem), eg AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS i FROM lineitem WHERE l_quantity > 25),
+rs AS (SELECT l_orderkey AS k, l_linestatus AS v, sum(l_extendedprice) AS actual_cost, count(*) AS files_read, CASE WHEN l_orderkey % 4 > 0 THEN max(l_quantity) END AS duration FROM lineitem GROUP BY 1, 2),
+cl AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS v, l_linenumber AS i FROM lineitem WHERE l_tax >= 0.03), ev AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS v, l_suppkey % 20 AS i FROM lineitem),
+ct AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS v, l_linenumber AS c, l_suppkey % 20 AS i FROM lineitem WHERE l_discount > 0.02), gp AS (SELECT DISTINCT l_orderkey AS k, l_linestatus AS v, l_returnflag AS i FROM lineitem),
+n AS (SELECT k, v, actual_cost, files_read, duration, k % 7 > 0 AS done, k % 5 = 0 AS abstained, k % 3 = 0 AS abstain,
+  (SELECT count(*) FROM rc WHERE rc.k = rs.k) AS ref, (SELECT count(*) FROM cl WHERE cl.k = rs.k AND cl.v = rs.v) AS made, (SELECT count(*) FROM cl JOIN rc USING (k, i) WHERE cl.k = rs.k AND cl.v = rs.v) AS right_,
+  (SELECT count(*) FROM ee WHERE ee.k = rs.k) AS expected, (SELECT count(*) FROM ev WHERE ev.k = rs.k AND ev.v = rs.v) AS retrieved, (SELECT count(*) FROM ev JOIN ee USING (k, i) WHERE ev.k = rs.k AND ev.v = rs.v) AS relevant,
+  (SELECT count(*) FROM ct WHERE ct.k = rs.k AND ct.v = rs.v) AS cites, (SELECT count(*) FROM ct JOIN ac USING (k, c, i) JOIN ev USING (k, v, i) JOIN cl ON cl.k = ct.k AND cl.v = ct.v AND cl.i = ct.c WHERE ct.k = rs.k AND ct.v = rs.v) AS valid,
+  (SELECT count(*) FROM eg WHERE eg.k = rs.k) AS gaps, (SELECT count(*) FROM gp JOIN eg USING (k, i) WHERE gp.k = rs.k AND gp.v = rs.v) AS seen FROM rs),
+q AS (SELECT k AS case_id, v AS variant, actual_cost, files_read, duration, ref = made AND made = right_ AS correct, done AND (NOT abstained OR abstain) AS completed, done AND abstained = abstain AS abstention_appropriate,
+  relevant / nullif(expected, 0) AS evidence_recall, relevant / nullif(retrieved, 0) AS evidence_precision, valid / nullif(cites, 0) AS citation_rate, seen / nullif(gaps, 0) AS gap_recall FROM n)"""
+
+
+def variant_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases, their lines of each status as a variant's answer, with their quality."""
+    li = table(spark, sf_dir, "lineitem").withColumns({"part": F.col("l_partkey") % 20, "supp": F.col("l_suppkey") % 20})
+    some = lambda c, when=None: F.collect_set(F.col(c) if when is None else F.when(F.expr(when), F.col(c)))
+    cases = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        some("l_linenumber", "l_tax >= 0.04").alias("reference_claims"), some("part").alias("expected_evidence"), some("l_returnflag", "l_quantity > 25").alias("expected_gaps"),
+        F.collect_set(F.struct(F.col("l_linenumber").alias("claim_id"), F.array("part").alias("evidence_ids"))).alias("acceptable"),
+    ).withColumn("abstention_expected", F.col("case_id") % 3 == 0)
+    k = F.col("case_id")
+    results = li.groupBy(F.col("l_orderkey").alias("case_id"), F.col("l_linestatus").alias("variant")).agg(
+        some("l_linenumber", "l_tax >= 0.03").alias("claims"), some("supp").alias("evidence"), some("l_returnflag").alias("gaps"), F.collect_set(F.when(F.col("l_discount") > 0.02, F.struct(F.col("l_linenumber").alias("claim_id"), F.col("supp").alias("evidence_id")))).alias("citations"),
+        F.sum("l_extendedprice").alias("actual_cost"), F.count("*").alias("files_read"), F.max("l_quantity").alias("most"),
+    ).withColumns({"duration": F.when(k % 4 > 0, F.col("most")), "status": F.when(k % 7 > 0, "completed").otherwise("limited"), "conclusion": F.when(k % 5 == 0, "abstained").otherwise("passed")})
+    return Q.derive_quality(cases, results)
+
+
+_QUALITY = ("evidence_recall", "evidence_precision", "citation_rate", "gap_recall")
+
+
+@query("variant_quality", f"WITH {_QUALITY_SQL} SELECT case_id, variant, correct, completed, abstention_appropriate, {', '.join(f'round({c}, 9) AS {c}' for c in _QUALITY)} FROM q")
+def variant_quality(spark, sf_dir):
+    return variant_runs(spark, sf_dir).select("case_id", "variant", "correct", "completed", "abstention_appropriate", *[F.round(c, 9).alias(c) for c in _QUALITY])
+
+
+_REPORTED = ("actual_cost", "files_read", "duration", "correct", "completed", *_QUALITY, "abstention_appropriate")
+
+
+@query("metric_report", f"""WITH {_QUALITY_SQL}, m AS ({' UNION ALL '.join(f"SELECT variant, '{c}' AS metric, CAST({c} AS DOUBLE) AS value FROM q" for c in _REPORTED)})
+  SELECT variant, metric, count(value) AS count, round(min(value), 4) AS min, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(max(value), 4) AS max, round(stddev_pop(value), 4) AS stddev FROM m WHERE value IS NOT NULL GROUP BY 1, 2""")
+def metric_report(spark, sf_dir):
+    out = Q.metric_report(variant_runs(spark, sf_dir), ["variant"])
+    return out.select("variant", "metric", "count", *[F.round(c, 4).alias(c) for c in ("min", "mean", "median", "max", "stddev")])
