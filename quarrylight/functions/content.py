@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a secret, an authorisation, a private key or an
-# attempt to steer a model. Patterns are written for both Java and RE2.
+# What counts as a secret, an authorisation or an attempt to steer a
+# model. Patterns are written for both Java and RE2.
 SECRET = (
     r"(?i)(?:^|[^A-Za-z0-9_])(?:[A-Za-z0-9]+[_-])*(?:password|passwd|secret|token|api[-_]?key|client[-_]?secret)"
     r"(?:[_-][A-Za-z0-9]+)*\s*[:=]\s*(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|[^\s,;]+)"
 )
 AUTHORIZATION = r"(?i)(?:\bauthorization\b\s*[:=]\s*\S+|\bbearer\s+[A-Za-z0-9._~+/=-]+)"
-PRIVATE_KEY = r"(?is)-----BEGIN [^-\r\n]*PRIVATE KEY[^-\r\n]*-----"
 INJECTION = (
     r"(?i)(?:ignore\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above)\s+instructions?"
     r"|disregard\s+(?:all\s+)?(?:the\s+)?(?:previous|prior|above)\s+instructions?"
     r"|reveal\s+(?:the\s+)?system\s+prompt|system\s+message|you\s+are\s+(?:now\s+)?chatgpt|jailbreak)"
 )
+#: Any mention of a private key; headers of key files hold one.
+PRIVATE_KEY = r"(?i)private[ _]key"
 BINARY = r"[\x00-\x08\x0E-\x1F\x7F]"
 REDACTED = "[redacted]"
 DECISIONS = ("allow", "redact", "deny")
@@ -32,25 +33,48 @@ CLASS_FLOORS = {
 }
 
 
+#: A text in which a pattern can match holds one of its words, in lower case.
+WORDS = {
+    SECRET: ("passw", "secret", "token", "key"),
+    AUTHORIZATION: ("authorization", "bearer"),
+    PRIVATE_KEY: ("private",),
+    INJECTION: ("ignore", "disregard", "reveal", "system", "chatgpt", "jailbreak"),
+}
+
+
 def findings(content: Column) -> Column:
-    """Names of all that is found in a text, distinct and in order."""
-    found = F.array_compact(
-        F.array(
-            F.when(content.rlike(SECRET), F.lit("secret_assignment")),
-            F.when(content.rlike(AUTHORIZATION), F.lit("authorization")),
-            F.when(content.rlike(PRIVATE_KEY), F.lit("pem_private_key")),
-            F.when(content.rlike(INJECTION), F.lit("prompt_injection")),
-        )
+    """Names of all that is found in a text, distinct and in order.
+
+    Null and empty texts have none, those that aren't UTF-8 or hold control
+    characters just that. Patterns are tried only where one of their words is.
+    """
+
+    def named(lower: Column) -> Column:
+        def told(pattern: str, *names: str) -> Column:
+            gate = F.lit(False)
+            for word in WORDS[pattern]:
+                gate = gate | lower.contains(word)
+            return F.when(gate & content.rlike(pattern), F.array(*[F.lit(n) for n in names])).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(told(SECRET, "secret_assignment", "secret"), told(AUTHORIZATION, "authorization", "bearer"), told(PRIVATE_KEY, "pem_private_key", "secret"), told(INJECTION, "prompt_injection"))
+
+    found = F.get(F.transform(F.array(F.lower(content)), named), F.lit(0))  # the text is put in lower case once
+    none = F.array().cast("array<string>")
+    return (
+        F.when(content.isNull() | (content == ""), none)
+        .when(~F.is_valid_utf8(content), F.array(F.lit("invalid_utf8")))
+        .when(content.rlike(BINARY), F.array(F.lit("binary")))
+        .otherwise(F.array_sort(F.array_distinct(found)))
     )
-    return F.array_sort(F.array_distinct(found))
 
 
 def classify(content: Column, found: Column) -> Column:
-    """The class of a text: empty and null texts are safe but omitted."""
+    """The class of a text by what ``findings`` found: empty and null texts are safe
+    but omitted."""
     return (
         F.when(content.isNull() | (content == ""), "safe_text")
-        .when(~F.is_valid_utf8(content), "invalid")
-        .when(content.rlike(BINARY), "binary")
+        .when(F.array_contains(found, "invalid_utf8"), "invalid")
+        .when(F.array_contains(found, "binary"), "binary")
         .when(F.size(F.array_except(found, F.array(F.lit("prompt_injection")))) > 0, "sensitive")
         .when(F.size(found) > 0, "prompt_injection")
         .otherwise("safe_text")

@@ -44,12 +44,17 @@ def first_of_each(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
 
 def conflicts(facts: DataFrame) -> DataFrame:
     """Slots (scope, predicate, subject) of singular predicates of which at least
-    two producers say at least two different things, with their facts."""
+    two producers say at least two different things, with their facts.
+
+    A first pass keeps a least and a greatest assertion and producer for a slot, so
+    facts move only where they differ. Facts of a slot in conflict are put in one row.
+    """
     slot = ["scope", "predicate", "subject_id"]
-    found = facts.filter(F.col("predicate").isin(*SINGULAR)).groupBy(*slot).agg(
-        F.count_distinct("assertion").alias("assertions"), F.count_distinct("producer").alias("producers"), F.array_sort(F.collect_set("fact_id")).alias("fact_ids")
+    own = facts.filter(F.col("predicate").isin(*SINGULAR)).select(*slot, "assertion", "producer", "fact_id")
+    ends = own.groupBy(*slot).agg(F.min("assertion").alias("a"), F.max("assertion").alias("b"), F.min("producer").alias("p"), F.max("producer").alias("q"))
+    found = own.join(ends.filter("a <> b and p <> q").select(*slot), slot, "left_semi").groupBy(*slot).agg(
+        F.size(F.collect_set("assertion")).cast("long").alias("assertions"), F.size(F.collect_set("producer")).cast("long").alias("producers"), F.array_sort(F.collect_set("fact_id")).alias("fact_ids")
     )
-    found = found.filter("assertions >= 2 and producers >= 2")
     return found.withColumn("conflict_id", content_id("conflict", *[F.col(c) for c in slot], F.array_join("fact_ids", ",")))
 
 

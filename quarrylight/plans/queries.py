@@ -387,10 +387,10 @@ def relation_expansion_wide(spark, sf_dir):
 
 # --- content, policy, selection -----------------------------------------------------
 
-_RE = {k: v.replace("'", "''") for k, v in (("secret", C.SECRET), ("auth", C.AUTHORIZATION), ("key", C.PRIVATE_KEY), ("prompt", C.INJECTION), ("binary", C.BINARY))}
-_INSPECT_SQL = f"""i AS (SELECT doc_id, text, list_sort(list_filter([CASE WHEN regexp_matches(text, '{_RE["secret"]}') THEN 'secret_assignment' END,
-  CASE WHEN regexp_matches(text, '{_RE["auth"]}') THEN 'authorization' END, CASE WHEN regexp_matches(text, '{_RE["key"]}') THEN 'pem_private_key' END,
-  CASE WHEN regexp_matches(text, '{_RE["prompt"]}') THEN 'prompt_injection' END], lambda x: x IS NOT NULL)) AS f FROM documents),
+_RE = {k: v.replace("'", "''") for k, v in (("secret", C.SECRET), ("auth", C.AUTHORIZATION), ("prompt", C.INJECTION), ("binary", C.BINARY))}
+_INSPECT_SQL = f"""i AS (SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN [] WHEN regexp_matches(text, '{_RE["binary"]}') THEN ['binary'] ELSE list_sort(list_distinct(
+    CASE WHEN regexp_matches(text, '{_RE["secret"]}') THEN ['secret_assignment', 'secret'] ELSE [] END || CASE WHEN regexp_matches(text, '{_RE["auth"]}') THEN ['authorization', 'bearer'] ELSE [] END
+    || CASE WHEN contains(lower(text), 'private key') OR contains(lower(text), 'private_key') THEN ['pem_private_key', 'secret'] ELSE [] END || CASE WHEN regexp_matches(text, '{_RE["prompt"]}') THEN ['prompt_injection'] ELSE [] END)) END AS f FROM documents),
 k AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN 'safe_text' WHEN regexp_matches(text, '{_RE["binary"]}') THEN 'binary' WHEN len(list_filter(f, lambda x: x <> 'prompt_injection')) > 0 THEN 'sensitive'
   WHEN len(f) > 0 THEN 'prompt_injection' ELSE 'safe_text' END AS kind FROM i)"""
 

@@ -46,6 +46,15 @@ def test_inspection(spark, text, kind):
     assert C.DECISIONS.index(r[2]) >= C.DECISIONS.index(C.CLASS_FLOORS[kind][0])
 
 
+def test_findings(spark):
+    rows = {"Bearer abc": "authorization bearer", "api-key: x": "secret secret_assignment", "a PRIVATE_key and\ntoken=1": "pem_private_key secret secret_assignment", "a\x00 token: x": "binary", "": "", "JAILBREAK it": "prompt_injection", "keys and tokens": ""}
+    got = spark.createDataFrame([(t, w) for t, w in rows.items()], "t string, want string").select("want", F.array_join(C.findings(F.col("t")), " ").alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
+    bad = spark.range(1).select(F.expr("cast(x'ff41' as string)").alias("t")).select(C.findings(F.col("t")).alias("f"), C.classify(F.col("t"), C.findings(F.col("t")))).first()
+    assert bad[0] == ["invalid_utf8"] and bad[1] == "invalid"
+    assert spark.createDataFrame([(None,)], "t string").select(C.findings(F.col("t"))).first()[0] == []
+
+
 def test_search_query_and_covers(spark):
     q = retrieval.SearchQuery.parse('alpha "b c" or d -e')
     rows = spark.createDataFrame([(1, "alpha b c"), (2, "alpha d"), (3, "alpha d e"), (4, "b c")], "id int, t string")
