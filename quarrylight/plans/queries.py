@@ -32,6 +32,7 @@ from quarrylight.operators import quality as Q
 from quarrylight.operators import relations as L
 from quarrylight.operators import retrieval as R
 from quarrylight.operators import selection as S
+from quarrylight.operators import update as U
 from quarrylight.runtime import shared_dir, table
 from quarrylight.sources import datasources as D
 from quarrylight.sources import factual as T
@@ -1030,3 +1031,29 @@ _REPORTED = ("actual_cost", "files_read", "duration", "correct", "completed", *_
 def metric_report(spark, sf_dir):
     out = Q.metric_report(variant_runs(spark, sf_dir), ["variant"])
     return out.select("variant", "metric", "count", *[F.round(c, 4).alias(c) for c in ("min", "mean", "median", "max", "stddev")])
+
+
+# --- update plans ---------------------------------------------------------------------------------------
+
+_UPDATE_SQL = """a AS (SELECT o_orderkey AS k, o_orderpriority = '1-URGENT' AS urgent, o_orderstatus <> 'P' AS kept, CASE WHEN c_custkey % 9 = 0 THEN 'artifact_removed' WHEN c_acctbal < 0 THEN 'artifact_hash_changed' END AS st FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query("update_plan_facts", f"""WITH {_UPDATE_SQL} SELECT 'o' || k AS fact_id, CASE WHEN NOT kept THEN 'removed' WHEN st IS NULL THEN 'reused' ELSE 'reprocess' END AS action, CASE WHEN kept THEN 'n' || k END AS current_id, coalesce(st, CASE WHEN kept THEN '' ELSE 'observed_changed_or_missing' END) AS reasons FROM a
+  UNION ALL SELECT 'd' || k, CASE WHEN urgent OR NOT kept OR st IS NOT NULL THEN 'reevaluate' ELSE 'reusable' END, NULL, concat_ws(',', CASE WHEN urgent THEN 'rule_implementation_or_configuration_changed' END, CASE WHEN NOT kept OR st IS NOT NULL THEN 'upstream_lineage' END) FROM a""")
+def update_plan_facts(spark, sf_dir):
+    """Customers as artifacts, their orders as facts, and a fact derived from each, in two snapshots."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    n = lambda p, k: F.concat(F.lit(p), F.col(k))
+    manifests = spark.range(1).select(F.lit("p/1").alias("producer"), F.lit("p").alias("family"), F.lit("1").alias("version"), F.lit("b").alias("base"), F.lit("s").alias("schemas"))
+
+    def revision(p, artifacts, facts, urgent):
+        observed = facts.select(n(p, "o_orderkey").alias("fact_id"), U.stable_key(F.col("o_orderkey")).alias("stable_key"), F.lit("p/1").alias("producer"), F.array(n("c", "o_custkey")).alias("paths"))
+        derived = facts.select(n("d", "o_orderkey").alias("fact_id"), F.col("o_orderpriority").alias("rule"), F.array(n(p, "o_orderkey")).alias("inputs"))
+        rules = o.select(F.col("o_orderpriority").alias("rule")).distinct().withColumn("digest", F.when(F.col("rule") == "1-URGENT", urgent).otherwise("1"))
+        return U.Revision(artifacts, observed, derived, manifests, rules, "c")
+
+    before = revision("o", c.select(n("c", "c_custkey").alias("path"), F.lit("1").alias("hash")), o, "1")
+    after = revision("n", c.filter("c_custkey % 9 <> 0").select(n("c", "c_custkey").alias("path"), F.when(F.col("c_acctbal") < 0, "2").otherwise("1").alias("hash")), o.filter("o_orderstatus <> 'P'"), "2")
+    plan = U.plan_update(before, after)
+    out = plan.observed.select(F.col("previous_id").alias("fact_id"), "action", "current_id", F.array_join("reasons", ",").alias("reasons"))
+    return out.unionByName(plan.derived.select("fact_id", "action", F.lit(None).cast("string").alias("current_id"), F.array_join("reasons", ",").alias("reasons")))
