@@ -128,3 +128,16 @@ def test_scores_and_matchings(spark):
     most = evaluation.bipartite_match(scored).collect()
     assert len(most) == 4 == len({r["evidence_id"] for r in most})
     assert matching.scored_matches(expected.limit(0), units).count() == 0 == matching.scored_matches(expected, units.limit(0)).count()
+
+
+def test_matching_never_shuffles_single_pairs(spark):
+    """Of 3,000 units alike, in several rows, an expectation sends on only the first ids that fit."""
+    units = spark.range(3000).selectExpr("'b' AS bundle_id", "id AS evidence_id", "'p.java' AS path", "'f' AS member", "cast(null AS string) AS method", "'text' AS content", "cast(id % 7 AS int) AS start_line", "cast(id % 7 + 1 AS int) AS end_line")
+    x = spark.sql("SELECT 'b' bundle_id, 'c' case_id, e expected_id, if(e < 2, 'p.java', null) path, if(e = 3, 'F', null) member, cast(null AS string) attribute, if(e % 2 = 1, 6, 0) start_line, if(e % 2 = 1, 6, 0) end_line FROM VALUES (0L), (1L), (2L), (3L) AS t(e)")
+    out = matching.scored_matches(x, units)
+    got = {}
+    for r in out.orderBy("expected_id", "place").collect():
+        got.setdefault(r["expected_id"], []).append((r["evidence_id"], r["score"]))
+    lined = [i for i in range(3000) if i % 7 in (0, 5, 6)][:4]
+    assert got == {0: [(i, 110) for i in range(4)], 1: [(i, 120) for i in lined], 2: [(i, 10) for i in range(4)], 3: [(i, 40) for i in lined]}
+    assert "windowspecdefinition(case_id" not in out._jdf.queryExecution().optimizedPlan().toString()
