@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import durable
+from quarrylight.runtime import discard, durable
 
 #: The supports of a fact: each an array, whose order is kept as ordinals.
 SUPPORTS = ("qualifiers", "evidence", "inputs")
@@ -44,15 +44,24 @@ def fact_digest(facts: DataFrame) -> DataFrame:
     return facts.withColumn("digest", F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256))
 
 
+def _told(rows: DataFrame, store: str) -> DataFrame:
+    """scope, fact_id, given (how often in ``rows``), stored, differs: of the facts with
+    a digest in ``rows`` and of the store. A digest goes as four numbers, of which
+    the least and the greatest are kept: nothing is sorted, and stored texts stay."""
+    spark = rows.sparkSession
+    every = rows.select("scope", "fact_id", "digest", F.lit(1).alias("given"))
+    if published := batches(spark, store):
+        every = every.unionByName(_table(spark, store, "facts", published).select("scope", "fact_id", "digest", F.lit(0).alias("given")))
+    parts = [F.conv(F.substr("digest", F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long") for i in range(4)]
+    ends = [f(f"d{i}").alias(f"{n}{i}") for i in range(4) for n, f in (("a", F.min), ("b", F.max))]
+    found = every.select("scope", "fact_id", "given", *[p.alias(f"d{i}") for i, p in enumerate(parts)]).groupBy("scope", "fact_id").agg(F.sum("given").alias("given"), (F.min("given") == 0).alias("stored"), *ends)
+    return found.filter("given > 0").select("scope", "fact_id", "given", "stored", F.expr(" OR ".join(f"a{i} <> b{i}" for i in range(4))).alias("differs"))
+
+
 def conflicts(facts: DataFrame, store: str) -> DataFrame:
     """(scope, fact_id) of facts that differ from another of the same id, among
     themselves or in the store."""
-    spark = facts.sparkSession
-    rows = fact_digest(facts).select("scope", "fact_id", "digest")
-    if published := batches(spark, store):
-        rows = rows.unionByName(_table(spark, store, "facts", published).select("scope", "fact_id", "digest").join(rows.select("scope", "fact_id").distinct(), ["scope", "fact_id"], "left_semi"))
-    # the least and the greatest digest: two numbers a fact, however often it comes
-    return rows.groupBy("scope", "fact_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("scope", "fact_id")
+    return _told(fact_digest(facts), store).filter("differs").select("scope", "fact_id")
 
 
 def persist_facts(facts: DataFrame, store: str) -> int:
@@ -61,26 +70,39 @@ def persist_facts(facts: DataFrame, store: str) -> int:
     Needs scope, fact_id and the arrays of SUPPORTS; all other columns are kept.
     ValueError, and nothing written, if a fact is without an id or a scope, or
     differs from one of the same id. Repeated equal facts are one. A write of what
-    is there already changes nothing.
+    is there already changes nothing. Its own copies are gone when it ends.
     """
     spark = facts.sparkSession
-    rows = durable(fact_digest(facts), "facts")
-    if rows.filter("scope IS NULL OR fact_id IS NULL").head(1):
-        raise ValueError("a fact has no id or no scope")
-    if bad := conflicts(rows.drop("digest"), store).limit(5).collect():
-        raise ValueError(f"facts differ from those of the same id: {[r['fact_id'] for r in bad]}")
-    published = batches(spark, store)
-    if published:
-        rows = rows.join(_table(spark, store, "facts", published).select("scope", "fact_id"), ["scope", "fact_id"], "left_anti")
-    rows = durable(rows.dropDuplicates(["scope", "fact_id"]), "new-facts")
-    n = rows.count()
-    if n:
+    copies = [durable(fact_digest(facts), "facts")]
+    try:
+        rows = copies[0]
+        is_new = F.when(~F.col("stored"), 1)
+        told = _told(rows, store).agg(
+            F.count_if(F.col("scope").isNull() | F.col("fact_id").isNull()).alias("nameless"), F.count_if("differs").alias("differ"), F.min(F.when(F.col("differs"), F.col("fact_id"))).alias("bad"),
+            F.count(is_new).alias("new"), F.count_if("stored").alias("stored"), F.coalesce(F.max("given"), F.lit(0)).alias("most"),
+        ).first()
+        if told["nameless"]:
+            raise ValueError("a fact has no id or no scope")
+        if told["differ"]:
+            raise ValueError(f"{told['differ']} facts differ from those of the same id: {told['bad']} and others")
+        if not told["new"]:
+            return 0
+        if told["stored"]:
+            rows = rows.join(_table(spark, store, "facts", batches(spark, store)).select("scope", "fact_id"), ["scope", "fact_id"], "left_anti")
+        if told["most"] > 1:
+            rows = rows.dropDuplicates(["scope", "fact_id"])
+        if told["stored"] or told["most"] > 1:
+            rows = durable(rows, "new-facts")
+            copies.append(rows)
         batch = uuid.uuid4().hex
         for name in SUPPORTS:
             rows.select("scope", "fact_id", F.posexplode(name).alias("ordinal", "support")).write.parquet(f"{store}/{name}/{batch}")
         rows.drop(*SUPPORTS).write.parquet(f"{store}/facts/{batch}")
-        spark.createDataFrame([(batch, n)], "batch string, facts long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{store}/markers")
-    return n
+        spark.createDataFrame([(batch, told["new"])], "batch string, facts long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{store}/markers")
+        return told["new"]
+    finally:
+        for copy in copies:
+            discard(copy)
 
 
 def read_facts(spark: SparkSession, store: str, scope: str | None = None) -> DataFrame | None:

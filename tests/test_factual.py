@@ -56,3 +56,19 @@ def test_a_batch_without_a_marker_is_not_seen(spark, tmp_path):
         (tmp_path / name / "torn" / "part-0.parquet").write_bytes(b"torn")
     assert len(plain(factual.read_facts(spark, store))) == 1
     assert factual.persist_facts(facts(spark, B), store) == 1
+
+
+def test_a_write_leaves_no_copies(spark, tmp_path):
+    """Neither a write nor a refused one leaves its working copies beside the store."""
+    from quarrylight.runtime import shared_dir
+
+    def copies():
+        folder = shared_dir(spark) + "/engine"
+        return [n for n in (os.listdir(folder) if os.path.isdir(folder) else []) if n.startswith(("facts-", "new-facts-"))]
+
+    before, store = copies(), str(tmp_path)
+    factual.persist_facts(facts(spark, A, A, B), store)
+    factual.persist_facts(facts(spark, A, B, C), store)
+    with pytest.raises(ValueError, match="differ"):
+        factual.persist_facts(facts(spark, (*A[:3], "z", *A[4:])), store)
+    assert copies() == before and len(plain(factual.read_facts(spark, store))) == 3
