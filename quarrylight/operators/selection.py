@@ -147,32 +147,38 @@ def support_closure(relations: DataFrame, support: DataFrame, selected: DataFram
 
     ``relations``: query_id, relation_id, score, rank, needs (array of item ids),
     tokens; ``support``: query_id, item_id, tokens; ``selected``: query_id,
-    item_id, tokens. Order: score (largest first), rank, id.
+    item_id, tokens. Order: score (largest first), rank, id. Relations pass in
+    order, one after the other; only what a query has taken is held.
     """
-    own = selected.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "tokens")).alias("chosen"))
-    extra = support.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "tokens")).alias("available"))
-    rows = relations.groupBy("query_id").agg(F.collect_list(F.struct("relation_id", "score", "rank", "needs", "tokens")).alias("relations"))
-    rows = rows.join(own, "query_id", "left").join(extra, "query_id", "left")
+    there = support.groupBy("query_id", F.col("item_id").alias("need")).agg(F.max("tokens").cast("long").alias("cost"))
+    held = selected.groupBy("query_id", F.col("item_id").alias("need")).agg(F.max("tokens").cast("long").alias("own"))
+    sums = held.groupBy("query_id").agg(F.sum("own").alias("used"), F.count("*").alias("count"))
+    each = ["query_id", "relation_id", "score", "rank", "tokens", "needs"]
+    asked = relations.select(*each, F.explode_outer(F.array_distinct("needs")).alias("need")).join(there, ["query_id", "need"], "left").join(held, ["query_id", "need"], "left")
+    # an item that is there costs 0 or more, -1 stands for one that is missing
+    item = F.when(F.col("need").isNotNull() & F.col("own").isNull(), F.struct("need", F.coalesce("cost", F.lit(-1)).alias("cost")))
+    rows = asked.groupBy(*each).agg(F.sort_array(F.collect_list(item)).alias("items")).join(sums, "query_id", "left")
+    rows = rows.select("query_id", "relation_id", "score", "rank", F.col("tokens").cast("long").alias("tokens"), F.col("items.need").alias("names"), F.col("items.cost").alias("costs"), F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("count", F.lit(0)).alias("count"))
+    rows = rows.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "rank", "relation_id")
 
     def run(batches):
+        query, have, used, count = None, set(), 0, 0  # of one query at a time; have is bounded by the limit of items
         for pdf in batches:
             out = []
-            for row in pdf.itertuples():
-                have = {x["item_id"]: x["tokens"] for x in (row.chosen if row.chosen is not None else [])}
-                there = {x["item_id"]: x["tokens"] for x in (row.available if row.available is not None else [])}
-                used, count = sum(have.values()), len(have)
-                for r in sorted(row.relations, key=lambda r: (-r["score"], r["rank"], r["relation_id"])):
-                    need = sorted(set(r["needs"]) - set(have))
-                    cost = r["tokens"] + sum(there.get(n, 0) for n in need)
-                    if any(n not in there for n in need):
-                        reason = "support_missing"
-                    elif count + 1 + len(need) > limits.items or used + cost > limits.tokens:
-                        reason = "budget"
-                    else:
-                        reason = "included"
-                        have |= {n: there[n] for n in need} | {r["relation_id"]: r["tokens"]}
-                        used, count = used + cost, count + 1 + len(need)
-                    out.append((row.query_id, r["relation_id"], reason, need if reason == "included" else []))
+            for r in pdf.itertuples(index=False):
+                if r.query_id != query:
+                    query, have, used, count = r.query_id, set(), int(r.used), int(r.count)
+                need = [(n, int(c)) for n, c in zip(r.names, r.costs, strict=True) if n not in have]
+                cost = int(r.tokens) + sum(max(c, 0) for _, c in need)
+                if any(c < 0 for _, c in need):
+                    reason = "support_missing"
+                elif count + 1 + len(need) > limits.items or used + cost > limits.tokens:
+                    reason = "budget"
+                else:
+                    reason = "included"
+                    have |= {n for n, _ in need} | {r.relation_id}
+                    used, count = used + cost, count + 1 + len(need)
+                out.append((r.query_id, r.relation_id, reason, [n for n, _ in need] if reason == "included" else []))
             yield pd.DataFrame(out, columns=["query_id", "relation_id", "reason", "added"])
 
     kinds = dict(relations.dtypes)

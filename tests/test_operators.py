@@ -163,6 +163,26 @@ def test_support_closure_is_all_or_nothing(spark):
     assert out == {"r1": ("included", ["b"]), "r2": ("budget", []), "r3": ("support_missing", [])}
 
 
+def test_support_closure_holds_no_query_whole(spark):
+    """Relations reach Python in order as rows of their own, not as a list for each query."""
+    rel = spark.range(300).selectExpr("id % 2 AS query_id", "concat('r', id) AS relation_id", "cast(id % 50 AS double) AS score", "id AS rank", "array(concat('i', id % 7), if(id % 9 = 0, 'none', 'i1')) AS needs", "3 AS tokens")
+    sup = spark.range(14).selectExpr("id % 2 AS query_id", "concat('i', id div 2) AS item_id", "5 AS tokens")
+    sel = sup.filter("item_id = 'i3'")
+    out = selection.support_closure(rel, sup, sel, selection.SelectionLimits(items=40))
+    want = {}
+    for q in (0, 1):
+        have, count = {"i3"}, 1
+        for r in sorted(rel.filter(f"query_id = {q}").collect(), key=lambda r: (-r["score"], r["rank"], r["relation_id"])):
+            need = sorted(set(r["needs"]) - have)
+            why = "support_missing" if "none" in need else "budget" if count + 1 + len(need) > 40 else "included"
+            if why == "included":
+                have, count = have | {*need, r["relation_id"]}, count + 1 + len(need)
+            want[q, r["relation_id"]] = (why, need if why == "included" else [])
+    assert {(r["query_id"], r["relation_id"]): (r["reason"], r["added"]) for r in out.collect()} == want
+    before = out._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas", 1)[1].split("\n", 2)[1]
+    assert "Sort" in before, before
+
+
 def test_cascade_and_continuation(spark):
     items = spark.createDataFrame([(i,) for i in "abcd"], "item_id string")
     needs = spark.createDataFrame([("b", "a"), ("c", "b")], "item_id string, needs_id string")
