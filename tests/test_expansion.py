@@ -16,3 +16,13 @@ def test_ranks_and_repeats(spark):
     ]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("position" not in line or "query_id" not in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window"))
+
+
+def test_composed_pairs_are_not_shuffled(spark):
+    """Pairs of order and supplier arise behind the last exchange."""
+    from conftest import SMALL
+
+    from quarrylight.plans.queries import QUERIES
+
+    plan = QUERIES["dependency_composition"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate", 1)[0] and "Exchange" in plan.split("Generate", 1)[1]
