@@ -38,6 +38,7 @@ from quarrylight.llm.components import connected_components
 PER_FRAGMENT = 3_000_000
 HELD = 1_500_000
 _SIGNATURES = 48
+_SLICES = 3  # a fragment's shingles are put in order in 2**_SLICES parts
 _SUPER = 2  # partial overlaps are counted in 2**_SUPER ranges of a pair's shingles
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
@@ -93,11 +94,13 @@ def _cut(fragment_bits: int, k: int):
             h = np.concatenate([x[0] for x in held] or [np.zeros(0, np.uint64)])
             keys = np.concatenate([x[1] for x in held] or [np.zeros(0, np.uint64)])
             n = np.concatenate([x[2] for x in held] or [np.zeros(0, np.int64)])
+            held.clear()
             ids, text_ids, doc_keys, sizes = (np.concatenate(x) for x in zip(*docs, strict=True))
             fragment = (h >> np.uint64(64 - fragment_bits)).astype(np.int32) if fragment_bits else np.zeros(len(h), np.int32)
-            owner = np.repeat(np.arange(len(n)), n)
+            owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
             order = np.argsort(fragment, kind="stable")
-            borders = np.searchsorted(fragment[order], np.arange((1 << fragment_bits) + 1))
+            borders = np.concatenate([[0], np.cumsum(np.bincount(fragment, minlength=1 << fragment_bits))])
+            del fragment
             home = (doc_keys >> np.uint64(64 - fragment_bits)).astype(np.int64) if fragment_bits else np.zeros(len(doc_keys), np.int64)
             for f in range(1 << fragment_bits):
                 at = order[borders[f] : borders[f + 1]]
@@ -109,7 +112,6 @@ def _cut(fragment_bits: int, k: int):
                 low = (h[at] >> np.uint64(max(0, 16 - fragment_bits))) & np.uint64((1 << 48) - 1)
                 row = [f, keys[owner[at][starts]].tobytes(), counts.astype(np.uint32).tobytes(), _pack48(low), ids[mine].tobytes(), text_ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].astype(np.int64).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x], pa.binary()) for x in row[1:]], names=["fragment", "keys", "counts", "hashes", "doc_ids", "doc_texts", "doc_keys", "doc_sizes"])
-            held.clear()
             docs.clear()
             total = 0
 
@@ -137,41 +139,60 @@ def _join_column(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)] or [np.zeros(0, kind)])
 
 
+def _buffers(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    """A binary column's values as arrays, without a copy."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
+
+
 def _shared(fragment_bits: int, buckets: int):
-    """The segments of one fragment -> those of its shingles that two sets have."""
+    """The segments of one fragment -> those of its shingles that two sets have.
 
-    def run(table: pa.Table) -> pa.Table:
-        f = table.column("fragment")[0].as_py()
-        keys = np.repeat(_join_column(table, "keys", np.uint64), _join_column(table, "counts", np.uint32))
-        low = np.concatenate([_unpack48(x.as_py()) for x in table.column("hashes")])
-        h = ((np.uint64(f) << np.uint64(48)) | low) >> np.uint64(max(0, fragment_bits + 48 - 55))
+    Shingles are put in order a slice of the fragment's range at a time, so the
+    whole fragment is held only as it came and as what goes on.
+    """
+    below = np.uint64(max(0, fragment_bits + 48 - 55))
+
+    def one(f: int, s: int, segments: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        low, keys = [], []
+        for own, counts, raw in segments:
+            at = np.flatnonzero(raw[:, 5] >> (8 - _SLICES) == s)
+            low.append(_unpack48(raw[at].tobytes()))
+            keys.append(np.repeat(own, counts)[at])
+        h, keys = ((np.uint64(f) << np.uint64(48)) | np.concatenate(low)) >> below, np.concatenate(keys)
+        if not len(h):
+            return h, keys
         order = np.lexsort((keys, h))
         h, keys = h[order], keys[order]
-        if len(h):
-            new = np.ones(len(h), bool)  # copies in other tasks have sent the same
-            new[1:] = (h[1:] != h[:-1]) | (keys[1:] != keys[:-1])
-            h, keys = h[new], keys[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            df = np.repeat(np.diff(np.concatenate([starts, [len(h)]])), np.diff(np.concatenate([starts, [len(h)]])))
-            h, keys, df = h[df > 1], keys[df > 1], df[df > 1]
-        else:
-            df = np.zeros(0)
+        new = np.ones(len(h), bool)  # copies in other tasks have sent the same
+        new[1:] = (h[1:] != h[:-1]) | (keys[1:] != keys[:-1])
+        h, keys = h[new], keys[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(np.concatenate([starts, [len(h)]]))
+        df = np.repeat(n, n)
+        h, keys, df = h[df > 1], keys[df > 1], df[df > 1]
         # rare first: the number of sets, in eighths of a doubling, above the hash
-        item = (np.minimum(8 * np.log2(np.maximum(df, 1)), 255).astype(np.uint64) << np.uint64(55)) | h
+        return (np.minimum(8 * np.log2(df), 255).astype(np.uint64) << np.uint64(55)) | h, keys
+
+    def run(table: pa.Table) -> pa.Table:
+        f = table.column("fragment")[0].as_py()
+        hashes = (x.reshape(-1, 6) for x in _buffers(table, "hashes", np.uint8))
+        segments = list(zip(_buffers(table, "keys", np.uint64), _buffers(table, "counts", np.uint32), hashes, strict=True))
+        found = [one(f, s, segments) for s in range(1 << _SLICES)]
+        item, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         ids, text_ids, doc_keys, sizes = (_join_column(table, c, k) for c, k in (("doc_ids", np.int64), ("doc_texts", np.int64), ("doc_keys", np.uint64), ("doc_sizes", np.int64)))
-        bucket, home = (keys % np.uint64(buckets)).astype(np.int64), (doc_keys % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        item, keys = item[order], keys[order]
-        borders = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        bucket, home = (keys % np.uint64(buckets)).astype(np.int32), (doc_keys % np.uint64(buckets)).astype(np.int64)
         rows = []
         for b in range(buckets):
-            part, mine = slice(borders[b], borders[b + 1]), home == b
-            own = keys[part]
-            if not len(own) and not mine.any():
+            part, mine = np.flatnonzero(bucket == b), home == b
+            if not len(part) and not mine.any():
                 continue
+            part = part[np.argsort(keys[part], kind="stable")]
+            own = keys[part]
             starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
             counts = np.diff(np.concatenate([starts, [len(own)]])).astype(np.uint32)
             rows.append((b, own[starts].tobytes(), counts.tobytes(), item[part].tobytes(), ids[mine].tobytes(), text_ids[mine].tobytes(), doc_keys[mine].tobytes(), sizes[mine].tobytes()))
+        del item, keys, bucket
         columns = list(zip(*rows, strict=True)) or [[]] * 8
         return pa.table([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["bucket", "keys", "counts", "items", "doc_ids", "doc_texts", "doc_keys", "doc_sizes"])
 
@@ -197,13 +218,27 @@ def _bands(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 def _assemble(table: pa.Table) -> pa.Table:
     """The segments of some documents -> rows of those that can be linked: one
-    with signature and prefix (range -1), and one for each range with its items."""
+    with signature and prefix (range -1), and one for each range with its items.
+    Documents are put in order in 2**_SLICES parts, by their keys."""
     doc_keys, at = np.unique(_join_column(table, "doc_keys", np.uint64), return_index=True)
     sizes = _join_column(table, "doc_sizes", np.int64)[at]
-    keys = np.repeat(_join_column(table, "keys", np.uint64), _join_column(table, "counts", np.uint32))
-    items = _join_column(table, "items", np.uint64)
+    segments = list(zip(*(_buffers(table, c, k) for c, k in (("keys", np.uint64), ("counts", np.uint32), ("items", np.uint64))), strict=True))
+    parts = []
+    for s in range(1 << _SLICES):
+        keys, items = [], []
+        for own, counts, raw in segments:
+            mine = own >> np.uint64(64 - _SLICES) == s
+            keys.append(np.repeat(own[mine], counts[mine]))
+            items.append(raw[np.repeat(mine, counts)])
+        mine = doc_keys >> np.uint64(64 - _SLICES) == s
+        parts.append(_rows_of_sets(doc_keys[mine], sizes[mine], np.concatenate(keys), np.concatenate(items)))
+    return pa.concat_tables(parts)
+
+
+def _rows_of_sets(doc_keys: np.ndarray, sizes: np.ndarray, keys: np.ndarray, items: np.ndarray) -> pa.Table:
     order = np.lexsort((items, keys))
     keys, items = keys[order], items[order]
+    del order
     borders = np.searchsorted(keys, doc_keys)
     ends = np.searchsorted(keys, doc_keys, "right")
     out: dict[str, list] = {c: [] for c in ("key", "n", "shared", "signature", "prefix", "range", "items")}

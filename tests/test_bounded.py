@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+from quarrylight.llm import ngram_join
 from quarrylight.operators.retrieval import _nearest
 
 
@@ -36,3 +37,25 @@ def test_vector_search_holds_a_tile_at_a_time():
         far = np.round(np.clip(1 - (x / length(x)) @ (q[k] / length(q[k])), 0, 2), 9)
         want = sorted((d, e) for d, e in zip(far.tolist(), own.tolist(), strict=True) if e % 2 == scopes[k] and d == d)[:20]
         assert [e for _, e in sorted(got[k])] == [e for _, e in want]
+
+
+def test_shared_shingles_are_put_in_order_by_slices():
+    rng = np.random.default_rng(1)
+    rows, pool, seen = [], rng.integers(0, 1 << 48, 400_000, dtype=np.uint64), {}
+    for _ in range(30):
+        keys = np.sort(rng.integers(0, 1 << 63, 100, dtype=np.uint64))
+        low = pool[rng.integers(0, len(pool), 30_000)]
+        for key, h in zip(np.repeat(keys, 300).tolist(), low.tolist(), strict=True):
+            seen.setdefault(h, set()).add(key)
+        none = np.zeros(0, np.int64).tobytes()
+        rows.append((5, keys.tobytes(), np.full(100, 300, np.uint32).tobytes(), ngram_join._pack48(low), none, none, none, none))
+    names = ["fragment", "keys", "counts", "hashes", "doc_ids", "doc_texts", "doc_keys", "doc_sizes"]
+    table = pa.table([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=names)
+    tracemalloc.start()
+    out = ngram_join._shared(5, 32)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * 900_000  # bytes for a shingle
+    got = {(h, key) for key_, n, items in zip(*(out.column(c).to_pylist() for c in ("keys", "counts", "items")), strict=True)
+           for key, h in zip(np.repeat(np.frombuffer(key_, np.uint64), np.frombuffer(n, np.uint32)).tolist(), (np.frombuffer(items, np.uint64) & np.uint64((1 << 48) - 1)).tolist(), strict=True)}
+    assert got == {(h, key) for h, keys in seen.items() if len(keys) > 1 for key in keys}
