@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.evaluation import ratio
+from quarrylight.runtime import durable
 
 #: What a run costs and how good it was; a report leaves out what a table doesn't have.
 METRICS = (
@@ -70,23 +71,36 @@ def metric_rows(runs: DataFrame, by: list[str], metrics: tuple[str, ...] = METRI
 def metric_report(runs: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS, accuracy: int = 1000) -> DataFrame:
     """count, min, mean, exact median, max, population deviation of every metric and group.
 
-    All metrics go through one shuffle of partial sums, which also brings two bounds
+    The runs are read once: their groups and metrics are written as a narrow table. All
+    metrics go through one shuffle of partial sums, which also brings two bounds
     around the median (approximate quantiles whose rank is off by at most one in
     ``accuracy``). Then only values between the bounds, counted each, are put in order;
     so a group of any size needs no more memory. Null groups are groups.
     """
+    known = [m for m in metrics if m in runs.columns]
+    if not known:
+        raise ValueError("the runs have none of the metrics")
+    runs = durable(runs.select(*by, *[F.col(m).cast("double").alias(m) for m in known if m not in by]), "metrics")
     rows, key = metric_rows(runs, by, metrics), [*by, "metric"]
     off = 2.0 / accuracy
     v = F.col("value")
     told = rows.groupBy(*key).agg(
         F.count("*").alias("count"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.stddev_pop(v).alias("stddev"), F.percentile_approx(v, [max(0.0, 0.5 - off), min(1.0, 0.5 + off)], accuracy).alias("bounds")
     )
-    group = F.struct(*[F.col(c) for c in key])
-    told = told.withColumn("_k", F.to_json(group, {"ignoreNullFields": "false"}))
-    near = rows.withColumn("_k", F.to_json(group, {"ignoreNullFields": "false"})).select("_k", "value").join(told.select("_k", "count", "bounds"), "_k").filter(v <= F.get("bounds", F.lit(1)))
-    near = near.groupBy("_k", "count", F.when(v >= F.get("bounds", F.lit(0)), v).alias("value")).agg(F.count("*").alias("n"))  # null: all below the bounds
-    upto = F.sum("n").over(Window.partitionBy("_k").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    low, high = F.floor((F.col("count") - 1) / 2), F.floor(F.col("count") / 2)
+    told = durable(told, "told")
+    # groups are few as a rule, and their files tell so: then values aren't shuffled to meet them
+    names = [f"_k{i}" for i in range(len(key))]
+    groups = told.select(*[F.col(c).alias(k) for c, k in zip(key, names, strict=True)], F.col("count").alias("_count"), F.get("bounds", F.lit(0)).alias("_from"), F.get("bounds", F.lit(1)).alias("_to"))
+    same = F.lit(True)
+    for c, k in zip(key, names, strict=True):
+        same = same & rows[c].eqNullSafe(groups[k])
+    near = rows.join(groups, same & (rows["value"] <= groups["_to"]))
+    near = near.groupBy(*names, "_count", F.when(v >= F.col("_from"), v).alias("value")).agg(F.count("*").alias("n"))  # null: all below the bounds
+    upto = F.sum("n").over(Window.partitionBy(*names).orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    low, high = F.floor((F.col("_count") - 1) / 2), F.floor(F.col("_count") / 2)
     holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-    middle = near.withColumn("upto", upto).filter(holds(low) | holds(high)).groupBy("_k").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
-    return told.join(middle, "_k").select(*key, "count", "min", "mean", "median", "max", "stddev")
+    middle = near.withColumn("upto", upto).filter(holds(low) | holds(high)).groupBy(*names).agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    same = F.lit(True)
+    for c, k in zip(key, names, strict=True):
+        same = same & told[c].eqNullSafe(middle[k])
+    return told.join(middle, same).select(*[told[c] for c in key], "count", "min", "mean", "median", "max", "stddev")

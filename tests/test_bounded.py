@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarrylight.llm import ngram_join
+from quarrylight.operators import quality
 from quarrylight.operators.retrieval import _nearest
 
 
@@ -59,3 +60,17 @@ def test_shared_shingles_are_put_in_order_by_slices():
     got = {(h, key) for key_, n, items in zip(*(out.column(c).to_pylist() for c in ("keys", "counts", "items")), strict=True)
            for key, h in zip(np.repeat(np.frombuffer(key_, np.uint64), np.frombuffer(n, np.uint32)).tolist(), (np.frombuffer(items, np.uint64) & np.uint64((1 << 48) - 1)).tolist(), strict=True)}
     assert got == {(h, key) for h, keys in seen.items() if len(keys) > 1 for key in keys}
+
+
+def test_metric_report_reads_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    runs = spark.range(50).selectExpr("id % 2 AS g", "id AS files_read", "id % 3 = 0 AS correct", "id % 2 = 0 AS completed").mapInArrow(count, "g long, files_read long, correct boolean, completed boolean")
+    got = {(r["g"], r["completed"], r["metric"]): (r["count"], r["median"]) for r in quality.metric_report(runs, ["g", "completed"]).collect()}
+    assert seen.value == 50
+    assert got[0, True, "files_read"] == (25, 24.0) and got[1, False, "completed"] == (25, 0.0) and len(got) == 6
