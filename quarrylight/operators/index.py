@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.retrieval import SearchQuery, lexemes_of
+from quarrylight.runtime import durable
 
 CLAUSES = "query_id long, part int, alternative int, negated boolean, lexemes array<string>"
 #: Weight of a cover's words, as in the published cover density with one weight.
@@ -144,18 +145,19 @@ def search(queries: DataFrame, evidence: DataFrame, index: DataFrame | None = No
 
     Evidence counts that matches, or has a term of the query as an exact term:
     exact ones first, then by cover density (rounded to ``digits``), then by id.
-    ``index``: postings, else they are made of the queries' lexemes alone.
+    ``index``: postings, else they are made of the queries' lexemes alone, and
+    written, as are the clauses and what matches, so texts are read once.
     """
     from quarrylight.functions.text import query_terms
 
-    clauses = clauses_of(queries)
+    clauses = durable(clauses_of(queries), "clauses")
     if index is None:
-        index = postings(text_entries(evidence), clauses.select(F.explode("lexemes").alias("lexeme")))
+        index = durable(postings(text_entries(evidence), clauses.select(F.explode("lexemes").alias("lexeme"))), "postings")
     matched = matching(clauses, index, evidence)
     wanted = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(query_terms(F.col("query"))).alias("term"))
     exact = evidence.select("evidence_id", F.explode("exact_terms").alias("term")).join(wanted, "term").select("query_id", "evidence_id").distinct()
     both = matched.withColumn("exact", F.lit(False)).unionByName(exact.withColumn("exact", F.lit(True)))
-    both = both.groupBy("query_id", "evidence_id").agg(F.bool_or("exact").alias("exact_match"))
+    both = durable(both.groupBy("query_id", "evidence_id").agg(F.bool_or("exact").alias("exact_match")), "matched")
     scored = both.join(cover_scores(clauses, index, both), ["query_id", "evidence_id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact_match"), F.desc("score"), "evidence_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "evidence_id", "exact_match", "score", "rank")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from quarrylight.llm import ngram_join
-from quarrylight.operators import quality
+from quarrylight.operators import index, quality
 from quarrylight.operators.retrieval import _nearest
 
 
@@ -74,3 +74,19 @@ def test_metric_report_reads_runs_once(spark):
     got = {(r["g"], r["completed"], r["metric"]): (r["count"], r["median"]) for r in quality.metric_report(runs, ["g", "completed"]).collect()}
     assert seen.value == 50
     assert got[0, True, "files_read"] == (25, 24.0) and got[1, False, "completed"] == (25, 0.0) and len(got) == 6
+
+
+def test_search_reads_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    evidence = spark.range(40).selectExpr("id AS evidence_id", "concat('alpha beta ', id) AS content", "array('src') AS exact_terms")
+    evidence = evidence.mapInArrow(count, "evidence_id long, content string, exact_terms array<string>")
+    queries = spark.createDataFrame([(1, '"alpha beta" 7'), (2, "src or 9")], "query_id long, query string")
+    got = {(r["query_id"], r["evidence_id"]): r["exact_match"] for r in index.search(queries, evidence, limit=50).collect()}
+    assert got == {(1, 7): False} | {(2, i): True for i in range(40)}
+    assert seen.value <= 80  # texts once, exact terms once
