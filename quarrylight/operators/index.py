@@ -33,7 +33,11 @@ def text_entries(evidence: DataFrame) -> DataFrame:
 
 def postings(entries: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """lexeme, evidence_id, positions (from 0, ascending). ``only``: a table with a
-    column lexeme; others are dropped before anything is shuffled for them."""
+    column lexeme; others are dropped before anything is shuffled for them. Without
+    it, entries meet by evidence before they are taken apart, so that their lexemes
+    are shuffled as lists, and a text's postings arise where it is."""
+    if only is None:
+        entries = entries.select("evidence_id", "lexemes").repartition("evidence_id")
     rows = entries.select("evidence_id", F.posexplode("lexemes").alias("position", "lexeme"))
     if only is not None:
         rows = rows.join(only.select("lexeme").distinct(), "lexeme", "left_semi")

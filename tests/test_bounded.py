@@ -90,3 +90,10 @@ def test_search_reads_texts_once(spark):
     got = {(r["query_id"], r["evidence_id"]): r["exact_match"] for r in index.search(queries, evidence, limit=50).collect()}
     assert got == {(1, 7): False} | {(2, i): True for i in range(40)}
     assert seen.value <= 80  # texts once, exact terms once
+
+
+def test_postings_arise_where_the_text_is(spark):
+    rows = spark.createDataFrame([(1, "b a b"), (1, "a"), (2, None), (3, "c")], "evidence_id long, content string")
+    made = index.postings(index.text_entries(rows))
+    assert sorted(map(tuple, made.select("lexeme", "evidence_id", "positions").collect())) == [("a", 1, [0, 1]), ("b", 1, [0, 2]), ("c", 3, [0])]
+    assert "hashpartitioning(lexeme" not in made._jdf.queryExecution().executedPlan().toString()
