@@ -71,14 +71,18 @@ def findings(content: Column) -> Column:
 def classify(content: Column, found: Column) -> Column:
     """The class of a text by what ``findings`` found: empty and null texts are safe
     but omitted."""
-    return (
-        F.when(content.isNull() | (content == ""), "safe_text")
-        .when(F.array_contains(found, "invalid_utf8"), "invalid")
-        .when(F.array_contains(found, "binary"), "binary")
-        .when(F.size(F.array_except(found, F.array(F.lit("prompt_injection")))) > 0, "sensitive")
-        .when(F.size(found) > 0, "prompt_injection")
-        .otherwise("safe_text")
-    )
+
+    def told(found: Column) -> Column:
+        return (
+            F.when(content.isNull() | (content == ""), "safe_text")
+            .when(F.array_contains(found, "invalid_utf8"), "invalid")
+            .when(F.array_contains(found, "binary"), "binary")
+            .when(F.size(F.array_except(found, F.array(F.lit("prompt_injection")))) > 0, "sensitive")
+            .when(F.size(found) > 0, "prompt_injection")
+            .otherwise("safe_text")
+        )
+
+    return F.get(F.transform(F.array(found), told), F.lit(0))  # a text is searched once, not for each branch
 
 
 def content_state(content: Column, kind: Column) -> Column:
