@@ -56,7 +56,8 @@ def supported_facts(units: DataFrame, facts: DataFrame) -> DataFrame:
     names = names.unionByName(units.select("query_id", F.col("unit_id").alias("ref"), F.lit(1).alias("way"), "unit_id", "best", "related"))
     names = names.groupBy("query_id", "ref").agg(F.min(F.struct("way", "unit_id", "best", "related")).alias("to")).select("query_id", "ref", "to.unit_id", "to.best", "to.related")
     cited = facts.select("fact_id", F.size("evidence").alias("n"), F.explode("evidence").alias("ref"))
-    return cited.join(names, "ref").groupBy("query_id", "fact_id").agg(
+    # a fact's references lie apart, so lists begun before the shuffle would hold one each
+    return cited.join(names, "ref").drop("ref").repartition("query_id", "fact_id").groupBy("query_id", "fact_id").agg(
         (F.count("*") == F.first("n")).alias("whole"), F.array_sort(F.collect_list("unit_id")).alias("evidence"), F.min("best").alias("best"), F.bool_or("related").alias("related")
     )
 
@@ -85,8 +86,8 @@ def project(retrieved: DataFrame, facts: DataFrame) -> Projection:
     rank, aspects, evidence, place (by rank, kind, id). Relations: query_id, relation_id, predicate,
     origin, from_id, to_id, path, supports, score, rank. Rows without a unit aren't candidates.
     """
-    units = durable(evidence_units(retrieved), "units")
-    found = durable(supported_facts(units, facts), "supported")
+    units, facts = durable(evidence_units(retrieved), "units"), durable(facts, "facts")
+    found = durable(supported_facts(units, facts).withColumn("evidence", F.when(F.col("whole"), F.col("evidence"))), "supported")
     said = found.filter("whole").join(facts.select("fact_id", "statement", "predicate", "subject_id", "subject_kind", "object_id", "object_kind", "inputs"), "fact_id")
     said = durable(said.withColumn("item_id", content_id("fact", F.col("statement"), F.array_join("evidence", ","))), "projected")
     ids = said.select("query_id", F.col("fact_id").alias("input"), F.col("item_id").alias("told"))
@@ -98,7 +99,8 @@ def project(retrieved: DataFrame, facts: DataFrame) -> Projection:
     alone = said.withColumn("_n", one).filter("_n = 1").drop("_n")
     sides = F.filter(F.array(F.struct(F.col("subject_id").alias("id"), F.col("subject_kind").alias("kind")), F.struct(F.col("object_id").alias("id"), F.col("object_kind").alias("kind"))), lambda p: p["id"].isNotNull())
     takers = said.select("query_id", "best", "related", "evidence", "fact_id", origin.alias("origin"), F.explode(sides).alias("p"))
-    takers = takers.groupBy("query_id", F.col("p.id").alias("id")).agg(F.min(F.struct("best", "fact_id", F.col("p.kind").alias("kind"), "origin", "evidence")).alias("top"), F.bool_or("related").alias("related")).select("query_id", "id", "top.*", "related")
+    first = F.struct("best", "fact_id", F.col("p.kind").alias("kind"), "origin")  # evidence apart, so that it moves only where it is wanted
+    takers = takers.groupBy("query_id", F.col("p.id").alias("id")).agg(F.min(first).alias("top"), F.min_by("evidence", first).alias("evidence"), F.bool_or("related").alias("related")).select("query_id", "id", "top.*", "evidence", "related")
     part = F.when(F.col("kind").isin("artifact", "named_element"), F.col("kind")).otherwise("symbol")
     every = (
         _scored(units, "evidence", "unit_id", F.lit("observed"), _aspects(F.lit("evidence"), "source", F.col("related")), F.array("unit_id"))

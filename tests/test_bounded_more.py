@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarrylight.functions import content as C
-from quarrylight.operators import policy, update
+from quarrylight.operators import candidates, policy, update
 from quarrylight.runtime import shared_dir
 
 
@@ -74,3 +74,24 @@ def test_an_update_plan_pairs_by_key_once(spark, monkeypatch):
     assert {r["fact_id"]: (r["action"], r["reasons"]) for r in plan.derived.collect()} == {"d0": ("reusable", [])} | {f"d{i}": ("reevaluate", ["upstream_lineage"]) for i in range(1, 7)}
     flat = update.plan_update(revision(spark, old, chain[:2]), revision(spark, new, [], "2"))
     assert {r["fact_id"]: r["action"] for r in flat.derived.collect()} == {"d0": "reusable", "d1": "reevaluate"}
+
+
+def test_facts_are_told_once(spark):
+    """Facts may be dear: a projection computes them once, and what takes part in them carries evidence only where it is wanted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    hits = spark.range(30).selectExpr("1 AS query_id", "concat('e', id) AS evidence_id", "concat('u', id) AS unit_id", "cast(null AS string) AS external_id", "1D / (id + 1) AS score", "cast(id AS int) AS rank", "false AS related")
+    facts = spark.range(20).selectExpr(
+        "concat('f', id) AS fact_id", "concat('s', id) AS statement", "'call' AS predicate", "'a' AS subject_id", "'symbol' AS subject_kind", "cast(null AS string) AS object_id", "cast(null AS string) AS object_kind",
+        "array(concat('u', id), concat('u', 2 * id)) AS evidence", "if(id % 2 = 0, null, array('f0')) AS inputs",
+    )
+    schema = facts.schema
+    out = candidates.project(hits, facts.mapInArrow(count, schema))
+    rows = {(r["kind"], r["item_id"]): r for r in out.candidates.collect()}
+    assert seen.value == 20
+    assert rows["entity", "a"]["evidence"] == ["u0", "u0"] and rows["entity", "a"]["rank"] == 0 and sum(k == "fact" for k, _ in rows) == 15 and [r["query_id"] for r in out.incomplete.collect()] == [1]
