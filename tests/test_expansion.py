@@ -26,3 +26,40 @@ def test_composed_pairs_are_not_shuffled(spark):
 
     plan = QUERIES["dependency_composition"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.split("Generate", 1)[0] and "Exchange" in plan.split("Generate", 1)[1]
+
+
+def test_the_best_without_all_references(spark):
+    """The same rows as all references give, also where edges are walked twice, and few of them are met."""
+    import random
+
+    rnd = random.Random(5)
+    edges = [(f"{a}>{b}", a, b, "t") for a, b in {(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(200)}]
+    refs = [(f"n{rnd.randrange(40)}", rnd.randrange(3_000)) for _ in range(12_000)] + [("n1", None)]
+    fused = [(q, e, round(rnd.random() / 20, 3)) for q in (1, 2, None) for e in rnd.sample(range(3_000), 6)] + [(3, 1, 0.5)]
+    seeds = [(q, e, s, f"n{rnd.randrange(40)}") for q, e, s in fused for _ in range(4) if q != 3] + [(3, 1, 0.5, "n77")]
+    fused = spark.createDataFrame(fused, "query_id int, evidence_id int, score double")
+    seeds = spark.createDataFrame(seeds, "query_id int, evidence_id int, score double, entity string")
+    edges = spark.createDataFrame(edges, "edge_id string, from_id string, to_id string, type string")
+    refs = spark.createDataFrame(refs, "entity string, evidence_id int")
+    told = lambda df: sorted((str(r["query_id"]), r["rank"], r["evidence_id"], round(r["score"], 9), r["relations"]) for r in df.collect())
+    for budget, limit in ((10**7, 10), (10**7, 5_000), (700, 10)):
+        every = expansion.expand(seeds, edges, refs, budget)
+        assert told(expansion.expand_and_fuse(fused, seeds, edges, refs, budget, limit=limit)) == told(expansion.fuse_relations(fused, every, limit=limit))
+
+
+def test_wide_expansion_meets_few_references(spark):
+    """Evidence that can't be among the best isn't ranked: less is scored than a query's edges lead to."""
+    from conftest import SMALL
+
+    from quarrylight.plans import queries
+
+    fused, seeds, references = queries.expansion_inputs(spark, SMALL)
+    edges = queries.supply_edges(spark, SMALL)
+    scored = []
+    whole = expansion.fuse_relations
+    expansion.fuse_relations = lambda fused, expanded, *more: scored.append(expanded) or whole(fused, expanded, *more)
+    try:
+        expansion.expand_and_fuse(fused, seeds, edges, references, 10_000_000, limit=2)
+    finally:
+        expansion.fuse_relations = whole
+    assert 0 < 2 * scored[0].count() < expansion.expand(seeds, edges, references, 10_000_000).count()
