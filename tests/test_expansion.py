@@ -63,3 +63,21 @@ def test_wide_expansion_meets_few_references(spark):
     finally:
         expansion.fuse_relations = whole
     assert 0 < 2 * scored[0].count() < expansion.expand(seeds, edges, references, 10_000_000).count()
+
+
+def test_composition_of_odd_ids(spark):
+    """Ids of any size or none; repeated edges; no partitions merged before pairs arise."""
+    from quarrylight.operators.graph import composition
+
+    big = 2**62 + 5
+    first = [(1, 7), (1, 7), (1, 8), (-5, 7), (big, 8), (20_000, 8), (None, 7), (3, None), (4, 99)]
+    second = [(7, 1), (7, 1), (7, -big), (8, 1), (8, None), (None, 6), (98, 2)]
+    f, g = (spark.createDataFrame(r, c) for r, c in ((first, "src long, via long"), (second, "via long, dst long")))
+    want = {}
+    for s, v in set(first):
+        for w, d in set(second):
+            if v == w and v is not None:
+                want[s, d] = want.get((s, d), 0) + 1
+    made = composition(f, g, 10 * 50_000)
+    assert {(r["src"], r["dst"]): r["paths"] for r in made.collect()} == want
+    assert "hashpartitioning(src_block" in (plan := made._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
