@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.runtime import discard, durable
+from quarrylight.runtime import brief_shuffles, discard, durable
 
 #: The supports of a fact: each an array, whose order is kept as ordinals.
 SUPPORTS = ("qualifiers", "evidence", "inputs")
@@ -64,18 +64,27 @@ def conflicts(facts: DataFrame, store: str) -> DataFrame:
     return _told(fact_digest(facts), store).filter("differs").select("scope", "fact_id")
 
 
-def persist_facts(facts: DataFrame, store: str) -> int:
+def persist_facts(facts: DataFrame, store: str, fixed: bool = False) -> int:
     """Add the facts that the store doesn't hold; how many those are.
 
     Needs scope, fact_id and the arrays of SUPPORTS; all other columns are kept.
     ValueError, and nothing written, if a fact is without an id or a scope, or
     differs from one of the same id. Repeated equal facts are one. A write of what
-    is there already changes nothing. Its own copies are gone when it ends.
+    is there already changes nothing. Its own copies are gone when it ends, and so
+    are its shuffles. ``fixed``: the facts come from files, are the same and cheap
+    each time they are read, and need no copy.
     """
+    with brief_shuffles(facts.sparkSession):
+        return _persist(facts, store, fixed)
+
+
+def _persist(facts: DataFrame, store: str, fixed: bool) -> int:
     spark = facts.sparkSession
-    copies = [durable(fact_digest(facts), "facts")]
+    rows, copies = fact_digest(facts), []
     try:
-        rows = copies[0]
+        if not fixed:
+            rows = durable(rows, "facts")
+            copies.append(rows)
         is_new = F.when(~F.col("stored"), 1)
         told = _told(rows, store).agg(
             F.count_if(F.col("scope").isNull() | F.col("fact_id").isNull()).alias("nameless"), F.count_if("differs").alias("differ"), F.min(F.when(F.col("differs"), F.col("fact_id"))).alias("bad"),

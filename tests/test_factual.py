@@ -72,3 +72,22 @@ def test_a_write_leaves_no_copies(spark, tmp_path):
     with pytest.raises(ValueError, match="differ"):
         factual.persist_facts(facts(spark, (*A[:3], "z", *A[4:])), store)
     assert copies() == before and len(plain(factual.read_facts(spark, store))) == 3
+
+
+def test_fixed_facts_are_not_copied(spark, tmp_path):
+    """Facts from files are written without a copy of them, and a write leaves no shuffles."""
+    from quarrylight.runtime import durable
+
+    shuffles = lambda: {n for root, _, names in os.walk(spark.conf.get("spark.local.dir", "/tmp")) for n in names if n.startswith("shuffle_")}
+    store, names = str(tmp_path), []
+    given = durable(facts(spark, A, A, B), "given")
+    whole, factual.durable = factual.durable, lambda df, name: names.append(name) or whole(df, name)
+    before = shuffles()
+    try:
+        assert factual.persist_facts(given.filter("fact_id = 'f2'"), store, fixed=True) == 1 and names == []
+        assert factual.persist_facts(given, store, fixed=True) == 1 and names == ["new-facts"]
+        assert factual.persist_facts(given, store, fixed=True) == 0 and names == ["new-facts"]
+    finally:
+        factual.durable = whole
+    assert shuffles() <= before
+    assert plain(factual.read_facts(spark, store)) == [("s", "f1", "x", [("n", "1"), ("m", None)], ["e2", "e1", "e2"], []), ("s", "f2", None, [], ["e1"], ["f1", "f0"])]
