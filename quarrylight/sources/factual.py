@@ -20,6 +20,8 @@ from quarrylight.runtime import brief_shuffles, discard, durable
 #: The supports of a fact: each an array, whose order is kept as ordinals.
 SUPPORTS = ("qualifiers", "evidence", "inputs")
 MARKERS = "batch string, facts long, at timestamp"
+#: Digests in hexadecimal and ids that are alike take half the room.
+SMALL = "zstd"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -83,7 +85,7 @@ def _persist(facts: DataFrame, store: str, fixed: bool) -> int:
     rows, copies = fact_digest(facts), []
     try:
         if not fixed:
-            rows = durable(rows, "facts")
+            rows = durable(rows, "facts", SMALL)
             copies.append(rows)
         is_new = F.when(~F.col("stored"), 1)
         told = _told(rows, store).agg(
@@ -101,12 +103,12 @@ def _persist(facts: DataFrame, store: str, fixed: bool) -> int:
         if told["most"] > 1:
             rows = rows.dropDuplicates(["scope", "fact_id"])
         if told["stored"] or told["most"] > 1:
-            rows = durable(rows, "new-facts")
+            rows = durable(rows if "digest" in facts.columns else rows.drop("digest"), "new-facts", SMALL)
             copies.append(rows)
         batch = uuid.uuid4().hex
         for name in SUPPORTS:
-            rows.select("scope", "fact_id", F.posexplode(name).alias("ordinal", "support")).write.parquet(f"{store}/{name}/{batch}")
-        rows.drop(*SUPPORTS).write.parquet(f"{store}/facts/{batch}")
+            rows.select("scope", "fact_id", F.posexplode(name).alias("ordinal", "support")).write.parquet(f"{store}/{name}/{batch}", compression=SMALL)
+        (rows if "digest" in rows.columns else fact_digest(rows)).drop(*SUPPORTS).write.parquet(f"{store}/facts/{batch}", compression=SMALL)
         spark.createDataFrame([(batch, told["new"])], "batch string, facts long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{store}/markers")
         return told["new"]
     finally:

@@ -81,7 +81,7 @@ def test_fixed_facts_are_not_copied(spark, tmp_path):
     shuffles = lambda: {n for root, _, names in os.walk(spark.conf.get("spark.local.dir", "/tmp")) for n in names if n.startswith("shuffle_")}
     store, names = str(tmp_path), []
     given = durable(facts(spark, A, A, B), "given")
-    whole, factual.durable = factual.durable, lambda df, name: names.append(name) or whole(df, name)
+    whole, factual.durable = factual.durable, lambda df, name, *more: names.append(name) or whole(df, name, *more)
     before = shuffles()
     try:
         assert factual.persist_facts(given.filter("fact_id = 'f2'"), store, fixed=True) == 1 and names == []
